@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pretokens, token_counts
-from .common import small_batches, table
+from . import bpe, packing, pretokens, token_counts, token_files
+from .common import fresh_path, small_batches, table
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    uri = fresh_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), uri, pretokens.path("word_bpe_49k.json"), end_id=2)
+    return token_files.token_file_digests(spark, uri)
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,10 +20,15 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), pretokens.path("word_bpe_49k.json"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), pretokens.path("byte_bpe_50k.json"), end_id=1)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return token_counts.token_counts(table(spark, sf_dir, "documents"), pretokens.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_codec, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_bpe_codec, op4_packing, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
