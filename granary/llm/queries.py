@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pretokens, token_counts, token_files
+from . import bpe, packing, pretokens, quality, token_counts, token_files
 from .common import fresh_path, small_batches, table
 
 
@@ -25,10 +25,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), pretokens.path("byte_bpe_50k.json"), end_id=1)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return token_counts.token_counts(table(spark, sf_dir, "documents"), pretokens.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_bpe_codec, op4_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_bpe_codec, op4_packing, op7_quality, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
