@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,8 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound the rows of one Arrow batch, so that long texts do not add up in a Python worker."""
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, unless PYTHONPATH already leads to it."""
+    package = Path(__file__).resolve().parent.parent
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    context = spark.sparkContext
+    if getattr(context, "_shipped_package", None) is None:
+        at = tempfile.mkdtemp(prefix="package-")
+        shutil.copytree(package, f"{at}/top/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{at}/{package.name}", "zip", f"{at}/top"))
+        context._shipped_package = at
+
+
+def python_tasks(spark: SparkSession, rows: int = 1024) -> None:
+    """Prepare for Python in tasks: the package is there, and the rows of one Arrow batch are bounded, so that long
+    texts do not add up in a worker."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

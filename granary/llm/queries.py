@@ -4,36 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pretokens, quality, token_counts, token_files
-from .common import fresh_path, small_batches, table
+from . import bpe, packing, pretokens, quality, simhash, token_counts, token_files
+from .common import fresh_path, python_tasks, table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    python_tasks(spark)
     uri = fresh_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), uri, pretokens.path("word_bpe_49k.json"), end_id=2)
     return token_files.token_file_digests(spark, uri)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_tasks(spark)
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    python_tasks(spark)
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), pretokens.path("word_bpe_49k.json"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    python_tasks(spark)
     return packing.pack(table(spark, sf_dir, "documents"), pretokens.path("byte_bpe_50k.json"), end_id=1)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    python_tasks(spark)
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    python_tasks(spark)
     return token_counts.token_counts(table(spark, sf_dir, "documents"), pretokens.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_bpe_codec, op4_packing, op7_quality, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_bpe_codec, op4_packing, op7_quality, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
