@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pretokens, quality, simhash, token_counts, token_files
+from . import bpe, digests, packing, pretokens, quality, simhash, token_counts, token_files
 from .common import fresh_path, python_tasks, table
 
 
@@ -40,5 +40,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), pretokens.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_bpe_codec, op4_packing, op7_quality, op8_token_counts)}
+def op10_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_tasks(spark)
+    return digests.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_bpe_codec, op4_packing, op7_quality, op8_token_counts, op10_digests)}
 ORACLE_SQL: dict[str, str] = {}

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import pretokens
 from .common import shuffle_width
+from .ordering import range_bounds, range_of
 
 #: Fixed values of the zstandard frame and seekable formats.
 _SKIPPABLE_DIRECTORY, _SKIPPABLE_SEEK, _SEEKABLE, _HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -136,14 +137,6 @@ def frames(docs: DataFrame, file: str, end_id: int, key: str = "doc_id", text: s
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, "doc_id long, n_tokens long, frame binary, checksum long")
 
 
-def _ranges(docs: DataFrame, key: str, count: int) -> list[int]:
-    """At most count - 1 bounds that cut the keys into ranges of about equal size; read from the key column alone."""
-    if count < 2:
-        return []
-    found = docs.agg(F.percentile_approx(F.col(key).cast("long"), [k / count for k in range(1, count)], 100 * count).alias("b")).first()["b"]
-    return sorted(set(found or []))
-
-
 def write_token_files(docs: DataFrame, uri: str, file: str, end_id: int, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> dict:
     """Write all documents to files under uri and return the manifest, which also lies there as manifest.json.
 
@@ -152,7 +145,7 @@ def write_token_files(docs: DataFrame, uri: str, file: str, end_id: int, key: st
     """
     spark = docs.sparkSession
     ranges = ranges or shuffle_width(spark)
-    bounds = _ranges(docs, key, ranges)
+    bounds = range_bounds(docs, key, ranges)
     fs, at = filesystem(uri)
     fs.create_dir(at, recursive=True)
 
@@ -172,9 +165,7 @@ def write_token_files(docs: DataFrame, uri: str, file: str, end_id: int, key: st
             rows.append((shard, len(writer.keys), writer.tokens))
         yield pa.RecordBatch.from_pylist([dict(zip(("shard", "documents", "tokens"), r, strict=True)) for r in rows], schema=pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
-    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(below).cast("int")
-    dealt = frames(docs, file, end_id, key, text).withColumn("shard", shard).repartition(ranges, "shard")
+    dealt = frames(docs, file, end_id, key, text).withColumn("shard", range_of(F.col("doc_id"), bounds)).repartition(ranges, "shard")
     found = dealt.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "frame").mapInArrow(write, "shard int, documents long, tokens long").collect()
     manifest, before = {"end_id": end_id, "files": []}, 0
     for r in sorted(found):
