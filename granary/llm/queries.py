@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, digests, packing, pretokens, quality, simhash, token_counts, token_files
+from . import bpe, digests, html_text, packing, pretokens, quality, simhash, token_counts, token_files
 from .common import fresh_path, python_tasks, table
 
 
@@ -30,6 +30,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), pretokens.path("byte_bpe_50k.json"), end_id=1)
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_tasks(spark, 256)
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_tasks(spark)
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -45,5 +50,5 @@ def op10_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.edited_likeness(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_bpe_codec, op4_packing, op7_quality, op8_token_counts, op10_digests)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_bpe_codec, op4_packing, op5_main_text, op7_quality, op8_token_counts, op10_digests)}
 ORACLE_SQL: dict[str, str] = {}
