@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, digests, html_text, packing, pretokens, quality, simhash, token_counts, token_files
+from . import ann, bpe, digests, html_text, packing, pretokens, quality, simhash, token_counts, token_files
 from .common import fresh_path, python_tasks, table
 
 
@@ -45,10 +46,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), pretokens.path("byte_bpe_50k.json"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_tasks(spark)
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_tasks(spark)
     return digests.edited_likeness(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_bpe_codec, op4_packing, op5_main_text, op7_quality, op8_token_counts, op10_digests)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_bpe_codec, op4_packing, op5_main_text, op7_quality, op8_token_counts, op9_nearest, op10_digests)}
 ORACLE_SQL: dict[str, str] = {}
