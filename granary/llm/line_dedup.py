@@ -43,10 +43,10 @@ def within(a: Column, b: Column, most: int) -> Column:
     """
     width = 2 * most + 1
     every = F.lit((1 << width) - 1).cast("long")
-    rows, columns = F.split(a, ""), F.split(b, "")
-    m, n = F.char_length(a), F.char_length(b)
+    start = F.struct(F.lit(((1 << (most + 1)) - 1) << most).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.lit(most).alias("edits"))
 
-    def step(state: Column, j: Column) -> Column:
+    def step(pair: Column, state: Column, j: Column) -> Column:
+        rows, columns, m = pair["rows"], pair["columns"], pair["m"]
         up, down = state["up"], state["down"]
         c = F.get(columns, j - 1)
         match = F.lit(0).cast("long")
@@ -69,9 +69,13 @@ def within(a: Column, b: Column, most: int) -> Column:
 
         return _let(match, lambda x: _let(diagonal(x), lambda d: _let(horizontal(d), lambda h: finish(d, h))))
 
-    start = F.struct(F.lit(((1 << (most + 1)) - 1) << most).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.lit(most).alias("edits"))
-    long_enough = (m >= most) & (n >= 1) & (F.abs(m - n) <= most)
-    return F.when(long_enough, F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["edits"]) <= most).otherwise((F.abs(m - n) <= most) & (F.levenshtein(a, b) <= most))
+    def edits(pair: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), pair["n"]), start, lambda state, j: step(pair, state, j), lambda state: state["edits"])
+
+    m, n = F.char_length(a), F.char_length(b)
+    pair = F.struct(F.split(a, "").alias("rows"), F.split(b, "").alias("columns"), m.alias("m"), n.alias("n"))
+    close = F.abs(m - n) <= most
+    return F.when(close & (m >= most) & (n >= 1), _let(pair, edits) <= most).otherwise(close & (F.levenshtein(a, b) <= most))
 
 
 def _segment(length: Column, k: int, count: int) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, digests, html_text, packing, pretokens, quality, simhash, token_counts, token_files
+from . import ann, bpe, digests, html_text, line_dedup, packing, pretokens, quality, simhash, token_counts, token_files
 from .common import fresh_path, python_tasks, table
 
 
@@ -36,6 +36,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.page_texts(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_tasks(spark)
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -56,5 +60,5 @@ def op10_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.edited_likeness(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_bpe_codec, op4_packing, op5_main_text, op7_quality, op8_token_counts, op9_nearest, op10_digests)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_bpe_codec, op4_packing, op5_main_text, op6_line_dedup, op7_quality, op8_token_counts, op9_nearest, op10_digests)}
 ORACLE_SQL: dict[str, str] = {}

@@ -46,15 +46,17 @@ def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> byt
     return np.packbits(2 * total > len(shingles)).tobytes()
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE) -> DataFrame:
-    """key and fp (the fingerprint as a signed long) of every row, in one pass."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to keep, and fp (the fingerprint as a signed long) of every row, in one pass."""
+    names = [key, *keep]
 
     def of(parts):
         for part in parts:
-            data = b"".join(fingerprint(x, words) for x in part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.frombuffer(data, ">i8").astype(np.int64))], names=[key, "fp"])
+            data = b"".join(fingerprint(x, words) for x in part.column(len(names)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(np.frombuffer(data, ">i8").astype(np.int64))], names=[*names, "fp"])
 
-    return docs.select(key, text).mapInArrow(of, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.select(*names, text).mapInArrow(of, f"{schema}, fp long")
 
 
 def _segments(fp: F.Column, count: int) -> list[tuple[F.Column, int]]:
@@ -92,18 +94,28 @@ def links(distinct: DataFrame, most: int = 3, count: int = 2) -> DataFrame:
     return probes.join(table, on).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, most: int = 3) -> DataFrame:
-    """key, fp, component (the smallest key reachable over links, the row's own included) of every row."""
-    rows = written(fingerprints(docs, key, text, words), "fingerprints")
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, most: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to keep, fp, root (the fingerprint that stands for the component) and component (the smallest
+    key reachable over links, the row's own included) of every row."""
+    rows = written(fingerprints(docs, key, text, words, keep), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min(key).alias("least"))
     label = components(links(classes.select("fp"), most))
     # the fingerprint that stands for a component need not be that of its smallest key
     named = classes.join(label, classes.fp == label.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    of = named.join(least, "root").select("fp", "component")
+    of = named.join(least, "root").select("fp", "root", "component")
     return rows.join(of, "fp")
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest key (nulls first; ties by a hash of the text)."""
+    place = F.struct(F.coalesce(F.col(f"x.{key}").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.coalesce(F.col(f"x.{text}"), F.lit(""))).alias("t")).alias("place")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("x")).select("x", place)
+    found = near_duplicates(held.select("place", F.col("x")[key].alias("key"), F.col("x")[text].alias("text")), "key", "text", keep=("place",))
+    first = found.groupBy("root").agg(F.min("place").alias("place")).select("place").distinct()
+    return held.join(first, "place", "left_semi").dropDuplicates(["place"]).select("x.*")
+
+
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fingerprint (16 hexadecimal digits), component_id."""
     found = near_duplicates(docs, key, text)
