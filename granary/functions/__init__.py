@@ -1 +1 @@
-
+"""Column functions: content hashes, sizes, ids, byte ranges, access rules."""

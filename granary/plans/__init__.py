@@ -1 +1 @@
-
+"""Composite queries: compaction, collection, scrubbing, repair, and reads."""

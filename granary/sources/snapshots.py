@@ -1,0 +1,55 @@
+"""Tables that change together: each commit writes a folder of Parquet tables, and a marker makes it visible.
+
+A reader takes the newest snapshot that has a marker, so it sees all tables of a commit or none. Spark writes the
+tables and, through Hadoop's file system, the marker; a commit whose number is taken fails (a single writer).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def latest(spark: SparkSession, root: str) -> int | None:
+    """The number of the newest complete snapshot."""
+    fs, path = _fs(spark, root)
+    if not fs.exists(path(root)):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(path(root))]
+    done = [int(n.removeprefix("committed-")) for n in names if n.startswith("committed-")]
+    return max(done, default=None)
+
+
+def read(spark: SparkSession, root: str, table: str, number: int | None = None) -> DataFrame:
+    number = latest(spark, root) if number is None else number
+    return spark.read.parquet(f"{root}/snapshot-{number:08d}/{table}")
+
+
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None) -> int:
+    """Write all tables as the next snapshot and make it visible; the new number."""
+    number = (latest(spark, root) or 0) + 1
+    for name, df in tables.items():
+        writer = df.write.mode("overwrite")
+        if column := (partition_by or {}).get(name):
+            writer = writer.partitionBy(column)
+        writer.parquet(f"{root}/snapshot-{number:08d}/{name}")
+    fs, path = _fs(spark, root)
+    if not fs.createNewFile(path(f"{root}/committed-{number:08d}")):
+        raise RuntimeError(f"snapshot {number} was committed by another writer")
+    return number
+
+
+def retain(spark: SparkSession, root: str, keep: int) -> list[int]:
+    """Drop all but the newest snapshots; the numbers dropped."""
+    fs, path = _fs(spark, root)
+    done = sorted(int(s.getPath().getName().removeprefix("committed-")) for s in fs.listStatus(path(root)) if s.getPath().getName().startswith("committed-"))
+    gone = done[: max(len(done) - keep, 0)]
+    for n in gone:
+        fs.delete(path(f"{root}/committed-{n:08d}"), False)
+        fs.delete(path(f"{root}/snapshot-{n:08d}"), True)
+    return gone

@@ -1 +1 @@
-
+"""Structured Streaming: arriving objects become chunks and catalog rows."""
