@@ -430,7 +430,7 @@ def latency_percentiles(spark, sf_dir):
     return audit.latency_percentiles(R.operations(spark, sf_dir))
 
 
-@query(f"WITH {R.OPERATIONS} SELECT op, count(*) AS ops, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) / (max("at") - min("at")) AS ops_per_s FROM operations GROUP BY 1")
+@query(f"WITH {R.OPERATIONS} SELECT op, count(*) AS ops, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) / (max(o.\"at\") - min(o.\"at\")) AS ops_per_s FROM operations o GROUP BY 1")
 def throughput_summary(spark, sf_dir):
     """AGG-17, AGG-18."""
     return audit.throughput(R.operations(spark, sf_dir))
