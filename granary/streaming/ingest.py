@@ -41,4 +41,5 @@ def ingest(stream: DataFrame, root: str, checkpoint: str, chunk_size: int, avail
 
 def arrivals_by_partition(stream: DataFrame, hours: int = 24, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Arrivals and bytes of each tumbling window; windows close as the watermark passes them."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, f"{hours} hours")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).select(partition_id(F.unix_timestamp("window.start"), hours).alias("partition_id"), "files", "bytes")
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return timed.withWatermark(ts, late).groupBy(F.window(ts, f"{hours} hours")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).select(partition_id(F.unix_timestamp("window.start"), hours).alias("partition_id"), "files", "bytes")
