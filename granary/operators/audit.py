@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import nearest_ranks
+from .ordered import nearest_ranks, top
 
 #: The most events that one page returns.
 PAGE_LIMIT = 1000
@@ -21,9 +21,7 @@ def page(events: DataFrame, since: int | None = None, until: int | None = None,
         events = events.where(F.col("actor_key_id") == actor)
     if action_prefix is not None:
         events = events.where(F.col("action").startswith(action_prefix))
-    newest = [F.desc("ts"), F.desc("seq")]
-    top = events.orderBy(*newest).limit(min(limit, PAGE_LIMIT))
-    return top.withColumn("place", (F.row_number().over(Window.orderBy(*newest)) - 1).cast("long"))  # over the page alone
+    return top(events, [F.desc("ts"), F.desc("seq")], min(limit, PAGE_LIMIT))
 
 
 def retained(events: DataFrame, cutoff: int) -> DataFrame:

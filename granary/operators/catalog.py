@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.access import partition_allowed
+from .ordered import one_row, top
 
 #: The columns a listing can be sorted by; anything else sorts by the first.
 SORTABLE = ("create_time", "file_name", "file_size")
@@ -38,9 +39,7 @@ def listing(files: DataFrame, query: str | None = None, allowed: list[str] | Non
     if sort != "create_time":
         keys.append(F.asc("create_time") if down else F.desc("create_time"))
     keys.append(F.desc("file_id") if down else F.asc("file_id"))
-    page = files.orderBy(*keys).limit(offset + limit)
-    # the page is bounded, so numbering it in one task is too
-    return page.withColumn("place", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long")).where(F.col("place") >= offset)
+    return top(files, keys, offset + limit).where(F.col("place") >= offset)
 
 
 def totals(files: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -48,7 +47,7 @@ def totals(files: DataFrame, blocks: DataFrame) -> DataFrame:
     f = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("logical_bytes"))
     b = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("size"), F.lit(0)).alias("disk_bytes"))
     ratio = F.when(F.col("disk_bytes") == 0, F.lit(1.0)).otherwise(F.greatest(F.col("logical_bytes") / F.col("disk_bytes"), F.lit(1.0)))
-    return f.join(b).withColumn("dedup_ratio", ratio)  # one row on either side
+    return one_row(f, b).withColumn("dedup_ratio", ratio)
 
 
 def by_partition(files: DataFrame) -> DataFrame:

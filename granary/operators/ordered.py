@@ -67,3 +67,16 @@ def latest(df: DataFrame, keys: list[str], order: Column, n: int) -> DataFrame:
     """The last n rows of each key, the newest numbered 1; the limit goes below the shuffle."""
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn("age", F.row_number().over(w)).where(F.col("age") <= n)
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """The columns of several tables of one row each as one row, without a join."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.agg(*(F.max(c).alias(c) for p in parts for c in p.columns))
+
+
+def top(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
+    """The first n rows in an order, with place (from 0). Only those n meet in one task."""
+    return df.orderBy(*keys).limit(n).withColumn("place", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.content import clamped, content_hash
-from ..operators.ordered import fold
+from ..operators.ordered import fold, one_row, top
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,11 @@ def block_totals(used: DataFrame) -> DataFrame:
     )
 
 
+def sorted_blocks(used: DataFrame, column: str, descending: bool = False, limit: int = 200) -> DataFrame:
+    """The first blocks by one column, with place; blocks without a value come first either way."""
+    return top(used, [F.desc_nulls_first(column) if descending else F.asc_nulls_first(column), F.asc("block_id")], limit)
+
+
 def candidates(used: DataFrame, pinned: DataFrame, options: CompactionOptions, now: int) -> DataFrame:
     """Sealed blocks worth rewriting, with the reason: low_util, undersized or both. Pinned and young blocks stay."""
     low = F.col("utilisation") < options.threshold
@@ -126,7 +131,7 @@ def collection_summary(blocks: DataFrame, pinned: DataFrame, dedup: DataFrame, f
     b = gone.agg(F.count(F.lit(1)).alias("blocks_deleted"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_freed"))
     d = dedup.join(gone.select("block_id"), "block_id", "left_semi").agg(F.count(F.lit(1)).alias("dedup_deleted"))
     p = empty_partitions(blocks, files, hours).agg(F.count(F.lit(1)).alias("empty_partitions"))
-    return b.join(d).join(p)  # one row each
+    return one_row(b, d, p)
 
 
 def empty_partitions(blocks: DataFrame, files: DataFrame, hours: int = 24) -> DataFrame:

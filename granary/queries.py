@@ -211,12 +211,12 @@ def block_totals(spark, sf_dir):
     return maintenance.block_totals(_used(spark, sf_dir))
 
 
-@query(f"WITH {R.STORE} SELECT block_id, row_number() OVER (ORDER BY utilisation ASC NULLS FIRST, block_id) AS up, row_number() OVER (ORDER BY utilisation DESC NULLS FIRST, block_id) AS down FROM used")
+@query(f"""WITH {R.STORE} SELECT block_id, 'up' AS direction, row_number() OVER (ORDER BY utilisation ASC NULLS FIRST, block_id) - 1 AS place FROM used QUALIFY place < 200
+  UNION ALL SELECT block_id, 'down' AS direction, row_number() OVER (ORDER BY utilisation DESC NULLS FIRST, block_id) - 1 AS place FROM used QUALIFY place < 200""")
 def block_sort_orders(spark, sf_dir):
-    """SRT-6: blocks without a size come first either way. Blocks are few next to references; a sorted listing is one order."""
-    u = _used(spark, sf_dir).select("block_id", "utilisation")
-    place = lambda o: F.row_number().over(Window.orderBy(o, "block_id")).cast("long")
-    return u.select("block_id", place(F.asc_nulls_first("utilisation")).alias("up"), place(F.desc_nulls_first("utilisation")).alias("down"))
+    """SRT-6: the first page of blocks either way; the limit is the feature."""
+    up, down = (maintenance.sorted_blocks(_used(spark, sf_dir), "utilisation", d).select("block_id", F.lit(n).alias("direction"), "place") for n, d in (("up", False), ("down", True)))
+    return up.unionByName(down)
 
 
 @query(f"WITH {R.STORE} SELECT block_id, size FROM blocks WHERE ref_count = 0 AND block_id NOT IN (SELECT block_id FROM pinned)")
@@ -291,14 +291,14 @@ def compaction_budget(spark, sf_dir):
     return maintenance.within_budget(_commits(spark, sf_dir), budget=9000, headroom=500).select("lane", "group_no")
 
 
-_MOVED = """, moved AS (SELECT block_id, hash, 1000000 + region AS new_block_id, compressed_size AS new_size,
-    72 + coalesce(sum(compressed_size) OVER (PARTITION BY region ORDER BY block_id, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new_offset
-    FROM (SELECT DISTINCT block_id, hash, compressed_size, region FROM live_refs JOIN candidates USING (block_id)))"""
+_MOVED = """, moved AS (SELECT block_id, hash, 1000000 * (1 + region) + group_no AS new_block_id, compressed_size AS new_size,
+    72 + coalesce(sum(compressed_size) OVER (PARTITION BY region, group_no ORDER BY block_id, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new_offset
+    FROM (SELECT DISTINCT block_id, hash, compressed_size, region, group_no FROM live_refs JOIN packed USING (block_id)))"""
 
 
 def _moved(spark, sf_dir):
-    live = R.references(spark, sf_dir, live=True).join(_candidates(spark, sf_dir).select("block_id", "region"), "block_id")
-    live = live.select("block_id", "hash", "compressed_size", (F.lit(1000000) + F.col("region")).alias("new_block_id"), F.col("hash").alias("offset")).distinct()
+    grouped = maintenance.groups(_candidates(spark, sf_dir), _OPTIONS, F.col("region")).select("block_id", (1000000 * (1 + F.col("lane")) + F.col("group_no")).alias("new_block_id"))
+    live = R.references(spark, sf_dir, live=True).join(grouped, "block_id").select("block_id", "hash", "compressed_size", "new_block_id", F.col("hash").alias("offset")).distinct()
     return maintenance.laid_out(live).select("block_id", "hash", "new_block_id", "new_offset", F.col("compressed_size").alias("new_size"))
 
 
@@ -325,7 +325,7 @@ def repair_plan(spark, sf_dir):
     files = R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"))
     plan = maintenance.repair(files, R.references(spark, sf_dir), blocks, R.dedup(spark, sf_dir), blocks.where("region != 3"))
     counts = [plan[k].agg(F.count(F.lit(1)).alias(f"{k}_removed")) for k in ("blocks", "files", "dedup")]
-    return counts[0].join(counts[1]).join(counts[2])
+    return ordered.one_row(*counts)
 
 
 @query(f"WITH {R.STORE} SELECT s_suppkey + (CASE WHEN s_acctbal > 5000 THEN 500000 ELSE 0 END) AS block_id, CASE WHEN s_acctbal < 2000 THEN 'keep' WHEN s_acctbal <= 5000 THEN 'quarantine' ELSE 'delete' END AS action FROM supplier")
