@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_width, written
 
 SAMPLE, CENTRES, WIDTH = 20_000, 16, 2
-QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 32_768
+#: Rows of a block: of queries at most, of candidates at most, and of candidates at least where more blocks would only give more tasks.
+QUERY_BLOCK, CANDIDATE_BLOCK, LEAST_BLOCK = 4096, 32_768, 4096
 
 
 @dataclass
@@ -155,7 +156,7 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 20, depth: int = 400,
     queries = index.where(is_query)
     sizes = index.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     query_blocks = max(1, -(-sizes[1] // QUERY_BLOCK))
-    blocks = max(1, -(-sizes[0] // CANDIDATE_BLOCK), -(-shuffle_width(spark) // query_blocks))
+    blocks = max(1, -(-sizes[0] // CANDIDATE_BLOCK), min(-(-shuffle_width(spark) // query_blocks), -(-sizes[0] // LEAST_BLOCK)))
     share = depth / blocks
     cell_depth = int(share + 4 * share**0.5) + k
 
