@@ -1,0 +1,175 @@
+"""A collection as one object: what its operators and plans do, over snapshots of its tables.
+
+Payload (the compressed bytes of unique chunks) only ever grows by folders that a commit names; the catalog's tables
+(files, file_chunks, blocks, dedup) are snapshots that become visible together. One writer at a time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.content import compress, decompress
+from .functions.names import id_problem, normalised_id, partition_id
+from .operators import catalog, chunks
+from .plans import maintenance, reads
+from .sources import snapshots
+from .sources.options import Options
+
+_SCHEMAS = {
+    "files": "file_id string, file_name string, file_size bigint, create_time bigint, partition_id bigint",
+    "file_chunks": "file_id string, idx bigint, block_id string, offset bigint, size bigint, compressed_size bigint, hash string",
+    "blocks": "block_id string, ref_count bigint, create_time bigint, size bigint, sealed boolean",
+    "dedup": "hash string, block_id string, offset bigint, size bigint, compressed_size bigint",
+}
+_PAYLOAD = "block_id string, offset bigint, hash string, crc bigint, size bigint, bytes binary, batch int"
+
+
+class Collection:
+    def __init__(self, spark: SparkSession, root: str, options: Options | None = None):
+        self.spark, self.root, self.options = spark, root.rstrip("/"), (options or Options()).checked()
+
+    def table(self, name: str) -> DataFrame:
+        """A table of the newest snapshot."""
+        number = snapshots.latest(self.spark, self.root)
+        if number is None:
+            return self.spark.createDataFrame([], _SCHEMAS[name])
+        return snapshots.read(self.spark, self.root, name, number)
+
+    def payload(self) -> DataFrame:
+        """Stored chunks: those of blocks that the newest snapshot has."""
+        number = snapshots.latest(self.spark, self.root)
+        if number is None:
+            return self.spark.createDataFrame([], _PAYLOAD)
+        stored = self.spark.read.schema(_PAYLOAD).option("basePath", f"{self.root}/payload").parquet(f"{self.root}/payload")
+        return stored.where(F.col("batch") <= number).join(self.table("blocks").select("block_id"), "block_id", "left_semi")
+
+    def _commit(self, tables: dict[str, DataFrame]) -> None:
+        snapshots.commit(self.spark, self.root, tables | {n: self.table(n) for n in _SCHEMAS if n not in tables})
+
+    def _store(self, new: DataFrame, number: int, lane_digits: int) -> DataFrame:
+        """Write the bytes of new chunks (hash, crc, size, bytes) as the payload of a commit; where each one lies."""
+        packed = new.withColumn("bytes", compress(F.col("bytes"), self.options.codec, self.options.codec_level)).withColumn("stored_size", F.octet_length("bytes").cast("long"))
+        laned = packed.withColumn("lane", F.substring("hash", 1, lane_digits))
+        filled = chunks.fill_blocks(laned, "lane", ["hash"], self.options.block_size)
+        block = F.concat_ws("-", F.format_string("%08d", F.lit(number)), "lane", F.col("block_no").cast("string"))
+        path = f"{self.root}/payload/batch={number}"
+        filled.select(block.alias("block_id"), "offset", "hash", "crc", "size", "bytes").write.mode("overwrite").parquet(path)
+        stored = self.spark.read.schema(_PAYLOAD).parquet(path)
+        return stored.select("hash", "block_id", "offset", "size", F.octet_length("bytes").cast("long").alias("compressed_size"))
+
+    def put(self, objects: DataFrame, now: int, policy: str = "error", lane_digits: int = 1) -> DataFrame:
+        """Take in objects (file_id, arrival, content, optionally file_name); file_id, arrival and outcome of each.
+
+        Outcomes: Created, Overwritten, Skipped, AlreadyExists, or why the id is not allowed. Nothing is short-circuited
+        and one commit makes all of it visible.
+        """
+        number = (snapshots.latest(self.spark, self.root) or 0) + 1
+        staged = f"{self.root}/staged/{number}"
+        name = F.col("file_name") if "file_name" in objects.columns else F.element_at(F.split("file_id", "/"), -1)
+        valid = objects.withColumn("file_id", normalised_id(F.col("file_id"))).withColumn("file_name", name).withColumn("problem", id_problem(F.col("file_id")))
+        valid.select("file_id", "arrival", F.coalesce("content", F.lit(b"")).alias("content"), "file_name", "problem").write.mode("overwrite").parquet(staged)
+        valid = self.spark.read.parquet(staged)
+        good = valid.where("problem is null").drop("problem")
+        files = self.table("files")
+        outcomes = catalog.put(good.select("file_id", "arrival"), files, policy)
+        taken = catalog.survivors(outcomes.where(F.col("outcome").isin("Created", "Overwritten")), policy).select("file_id", "arrival")
+        content = good.join(taken, ["file_id", "arrival"], "left_semi")
+
+        cut = chunks.chunks(content, self.options.chunk_size, algorithm=self.options.hash_algorithm)
+        dedup = self.table("dedup")
+        fresh = cut.join(dedup, "hash", "left_anti").groupBy("hash").agg(F.min("size").alias("size"), F.min("crc").alias("crc"), F.min_by("bytes", F.struct("file_id", "idx")).alias("bytes"))
+        places = self._store(fresh, number, lane_digits)
+        known = dedup.unionByName(places)
+        references = cut.select("file_id", "idx", "hash", "size").join(known.drop("size"), "hash").select(*[c.split()[0] for c in _SCHEMAS["file_chunks"].split(", ")])
+
+        made = content.select("file_id", "file_name", F.octet_length("content").cast("long").alias("file_size"), F.lit(now).cast("long").alias("create_time"))
+        made = made.withColumn("partition_id", partition_id(F.col("create_time"), self.options.time_partition_hours))
+        replaced = self.table("file_chunks").join(taken, "file_id", "left_semi")
+        deltas = catalog.reference_deltas(references, replaced)
+        sizes = places.groupBy("block_id").agg(F.max(F.col("offset") + F.col("compressed_size")).alias("size"))
+        new_blocks = sizes.select("block_id", F.lit(0).cast("long").alias("ref_count"), F.lit(now).cast("long").alias("create_time"), "size", F.lit(True).alias("sealed"))
+        tables = {
+            "files": catalog.upsert(files, made, "file_id"),
+            "file_chunks": catalog.delete(self.table("file_chunks"), taken, "file_id").unionByName(references),
+            "blocks": catalog.apply_deltas(self.table("blocks").unionByName(new_blocks), deltas),
+            "dedup": known,
+        }
+        said = outcomes.select("file_id", "arrival", "outcome").unionByName(valid.where("problem is not null").select("file_id", "arrival", F.col("problem").alias("outcome")))
+        said.write.mode("overwrite").parquet(f"{self.root}/outcomes/{number}")  # before the commit, which changes what they follow from
+        self._commit(tables)
+        return self.spark.read.parquet(f"{self.root}/outcomes/{number}")
+
+    def delete(self, ids: DataFrame) -> None:
+        """Remove files (file_id) and give their references back."""
+        gone = self.table("file_chunks").join(ids.select("file_id").distinct(), "file_id", "left_semi")
+        deltas = catalog.reference_deltas(self.spark.createDataFrame([], "block_id string"), gone)
+        self._commit({"files": catalog.delete(self.table("files"), ids, "file_id"), "file_chunks": catalog.delete(self.table("file_chunks"), ids, "file_id"), "blocks": catalog.apply_deltas(self.table("blocks"), deltas)})
+
+    def delete_partition(self, partition: int) -> None:
+        self.delete(self.table("files").where(F.col("partition_id") == partition).select("file_id"))
+
+    def _chunks_of(self, ids: DataFrame) -> DataFrame:
+        wanted = self.table("file_chunks").join(ids.select("file_id").distinct(), "file_id", "left_semi")
+        joined = wanted.join(self.payload().select("block_id", "offset", "hash", "bytes"), ["block_id", "offset", "hash"])
+        return joined.select("file_id", "idx", "size", decompress(F.col("bytes"), F.col("size"), self.options.codec).alias("bytes"))
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        """file_id, content (null for an unknown id)."""
+        return ids.select("file_id").distinct().join(reads.whole(self._chunks_of(ids)), "file_id", "left")
+
+    def get_ranges(self, requests: DataFrame) -> DataFrame:
+        """request_id, status, content of byte ranges (request_id, file_id, first, last)."""
+        return reads.byte_ranges(self._chunks_of(requests), requests, self.table("files"))
+
+    def files(self, **how) -> DataFrame:
+        return catalog.listing(self.table("files"), **how)
+
+    def stats(self) -> DataFrame:
+        return catalog.totals(self.table("files"), self.table("blocks"))
+
+    def utilisation(self) -> DataFrame:
+        return maintenance.utilisation(self.table("blocks"), maintenance.live_bytes(self.table("file_chunks")))
+
+    def collect_garbage(self, pinned: DataFrame | None = None) -> DataFrame:
+        """Drop unreferenced blocks and their dedup rows from the catalog; what was dropped."""
+        pinned = self.spark.createDataFrame([], "block_id string") if pinned is None else pinned
+        before = snapshots.latest(self.spark, self.root)
+        gone = maintenance.reclaimable(self.table("blocks"), pinned)
+        self._commit({"blocks": catalog.delete(self.table("blocks"), gone, "block_id"), "dedup": catalog.purge_dedup(self.table("dedup"), gone)})
+        return maintenance.reclaimable(snapshots.read(self.spark, self.root, "blocks", before), pinned)
+
+    def scrub(self) -> DataFrame:
+        plain = self.payload().withColumn("bytes", decompress(F.col("bytes"), F.col("size"), self.options.codec))
+        return maintenance.scrub_report(maintenance.scrub(plain, self.options.hash_algorithm))
+
+    def compact(self, options: maintenance.CompactionOptions, now: int, lane_digits: int = 1) -> None:
+        """Rewrite the live chunks of the blocks that the options select into new blocks, and follow all references."""
+        number = (snapshots.latest(self.spark, self.root) or 0) + 1
+        lane = F.substring(F.element_at(F.split("block_id", "-"), 2), 1, lane_digits)
+        nothing = self.spark.createDataFrame([], "block_id string")
+        grouped = maintenance.groups(maintenance.candidates(self.utilisation(), nothing, options, now), options, lane)
+        sources = grouped.join(maintenance.commits(grouped, options).select("lane", "group_no"), ["lane", "group_no"], "left_semi").select("block_id")
+        references = self.table("file_chunks")
+        live = references.join(sources, "block_id", "left_semi").select("block_id", "hash").distinct()
+        chosen = live.groupBy("hash").agg(F.min("block_id").alias("block_id"))
+        bytes_ = self.payload().join(chosen, ["block_id", "hash"]).withColumn("bytes", decompress(F.col("bytes"), F.col("size"), self.options.codec))
+        places = self._store(bytes_.select("hash", "crc", "size", "bytes"), number, lane_digits)
+        moved = live.join(places, "hash").select(live.block_id, "hash", places.block_id.alias("new_block_id"), F.col("offset").alias("new_offset"), F.col("compressed_size").alias("new_size"))
+        after = maintenance.remap(references, moved).select(*references.columns)
+        counts = chunks.reference_counts(after)
+        sizes = places.groupBy("block_id").agg(F.max(F.col("offset") + F.col("compressed_size")).alias("size"))
+        made = sizes.join(counts, "block_id").select("block_id", "ref_count", F.lit(now).cast("long").alias("create_time"), "size", F.lit(True).alias("sealed"))
+        dedup = catalog.purge_dedup(self.table("dedup"), sources)
+        self._commit({"file_chunks": after, "blocks": catalog.delete(self.table("blocks"), sources, "block_id").unionByName(made), "dedup": dedup.unionByName(places.join(dedup, "hash", "left_anti"))})
+
+    def repair(self) -> dict[str, int]:
+        """Drop blocks whose payload is gone, the files that used them, and their dedup rows; how many of each."""
+        present = self.payload().select("block_id").distinct()
+        plan = maintenance.repair(self.table("files"), self.table("file_chunks"), self.table("blocks"), self.table("dedup"), present)
+        counts = {k: v.count() for k, v in plan.items()}
+        kept = catalog.delete(self.table("file_chunks"), plan["files"], "file_id")
+        recount = chunks.reference_counts(kept)
+        blocks = catalog.delete(self.table("blocks"), plan["blocks"], "block_id").drop("ref_count").join(recount, "block_id", "left").fillna(0, ["ref_count"])
+        self._commit({"files": catalog.delete(self.table("files"), plan["files"], "file_id"), "file_chunks": kept, "blocks": blocks.select(*[c.split()[0] for c in _SCHEMAS["blocks"].split(", ")]), "dedup": catalog.purge_dedup(self.table("dedup"), plan["blocks"])})
+        return counts

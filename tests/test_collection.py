@@ -1,0 +1,81 @@
+"""A collection from first upload to compaction."""
+
+import random
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
+
+from granary.collection import Collection
+from granary.plans.maintenance import CompactionOptions
+from granary.sources.options import Options
+
+OPTIONS = Options(chunk_size=512, block_size=4096, codec="zstd")
+
+
+def objects(spark, rows):
+    return spark.createDataFrame(rows, "file_id string, arrival long, content binary")
+
+
+def contents(c, spark):
+    ids = c.table("files").select("file_id")
+    return {r.file_id: bytes(r.content) for r in c.get(ids).collect()}
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return Collection(spark, str(tmp_path / "c"), OPTIONS)
+
+
+def test_life_of_a_collection(spark, store):
+    r = random.Random(1)
+    data = {f"dir/f{k}": bytes(r.randrange(256) for _ in range(r.randrange(0, 3000))) for k in range(12)}
+    data["dir/copy"] = data["dir/f3"]
+    data["dir/empty"] = b""
+    said = store.put(objects(spark, [(k, n, v) for n, (k, v) in enumerate(data.items())] + [("a//b", 99, b"x")]), now=90_000).collect()
+    assert {x.outcome for x in said} == {"Created", "empty segment"}
+    assert contents(store, spark) == data
+    s = store.stats().first()
+    assert s.files == 14 and s.logical_bytes == sum(map(len, data.values()))
+    assert store.scrub().first().faults == 0
+    assert store.table("blocks").agg(F.sum("ref_count")).first()[0] == store.table("file_chunks").count()
+
+    again = {x.file_id: x.outcome for x in store.put(objects(spark, [("dir/f1", 1, b"new"), ("dir/n", 2, b"n")]), now=90_001, policy="skip").collect()}
+    assert again == {"dir/f1": "Skipped", "dir/n": "Created"}
+    store.put(objects(spark, [("dir/f1", 1, b"first"), ("dir/f1", 2, b"last")]), now=90_002, policy="overwrite")
+    data |= {"dir/f1": b"last", "dir/n": b"n"}
+    assert contents(store, spark) == data
+
+    asked = spark.createDataFrame([(1, "dir/f3", 100, 700), (2, "none", 0, 1)], "request_id long, file_id string, first long, last long")
+    got = {x.request_id: (x.status, x.content and bytes(x.content)) for x in store.get_ranges(asked).collect()}
+    n = len(data["dir/f3"])
+    assert got[2] == ("missing", None) and got[1] == (("ok", data["dir/f3"][100:701]) if n > 100 else ("unsatisfiable", None))
+
+    store.delete(spark.createDataFrame([(f"dir/f{k}",) for k in (0, 2, 4, 5, 6)], "file_id string"))
+    data = {k: v for k, v in data.items() if k not in {f"dir/f{k}" for k in (0, 2, 4, 5, 6)}}
+    assert contents(store, spark) == data
+    assert store.table("blocks").agg(F.sum("ref_count")).first()[0] == store.table("file_chunks").count()
+
+    before = store.table("blocks").count()
+    gone = store.collect_garbage().count()
+    assert store.table("blocks").count() == before - gone and store.table("blocks").where("ref_count = 0").count() == 0
+    store.compact(CompactionOptions(threshold=1.1, block_size=4096), now=90_100)
+    assert contents(store, spark) == data and store.scrub().first().faults == 0
+    assert store.table("blocks").agg(F.sum("ref_count")).first()[0] == store.table("file_chunks").count()
+    used = store.utilisation().agg(F.sum(F.col("size") - 72).alias("size"), F.sum("live_bytes").alias("live")).first()
+    assert used.size == used.live
+
+
+def test_repair_after_lost_payload(spark, store):
+    store.put(objects(spark, [("a", 1, b"a" * 700)]), now=1)
+    store.put(objects(spark, [("b", 1, b"b" * 700), ("c", 2, b"a" * 700 + b"c")]), now=2)
+    shutil.rmtree(f"{store.root}/payload/batch=1")
+    counts = store.repair()
+    assert counts["files"] >= 1
+    left = contents(store, spark)
+    assert "b" in left and "a" not in left
+
+
+def test_empty_collection(spark, store):
+    assert store.stats().first().files == 0 and store.files().count() == 0
+    assert store.get(spark.createDataFrame([("x",)], "file_id string")).first().content is None
