@@ -27,6 +27,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 THRESHOLD, SHORTEST = 2, 24
 
 
@@ -116,59 +118,79 @@ def _lines(text: Column) -> Column:
 
 
 def removals(docs: DataFrame, most: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """d, t, fate: for each document (by key and text hash) whether each of its lines goes, in order.
+    """d, t, gone: for each document (by key and text hash) that loses lines, their places from 0.
 
-    docs: d (key, never null), t (hash of the text), text.
+    docs: d (key, never null), t (hash of the text), text; no two rows with the same d and t. The classes of equal
+    lines are written with a short number for each, so that what is probed is small. The three joins that need texts
+    are on (d, t), over the same columns, so Spark shuffles the texts once and reuses that exchange.
     """
-    places = docs.select("d", "t", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", F.btrim("line"))
-    occurrences = places.select("d", "t", "pos", F.when(F.col("line") != "", F.xxhash64("line")).alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
-    classes = occurrences.where("h is not null").groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    places = docs.select("d", "t", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", F.btrim("line")).where("line != ''")
+    occurrences = places.select("d", "t", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    classes = occurrences.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "lines")
 
     # the text of each class's first line, fetched by document
-    firsts = classes.select("first.d", "first.t", "first.pos", "h", "g")
-    by_document = firsts.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "h", "g")).alias("firsts"))
-    single = docs.dropDuplicates(["d", "t"])
-    parted = single.join(by_document, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
-    fetched = parted.select(F.inline(F.transform("firsts", lambda f: F.struct(f["h"].alias("h"), F.btrim(F.get("lines", f["pos"])).alias("line")))))
+    firsts = classes.select("first.d", "first.t", "first.pos", "id")
+    by_document = firsts.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "id")).alias("firsts"))
+    parted = docs.join(by_document, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
+    fetched = parted.select(F.inline(F.transform("firsts", lambda f: F.struct(f["id"].alias("id"), F.btrim(F.get("lines", f["pos"])).alias("line")))))
     near = fetched.withColumn("length", F.char_length("line")).where(F.col("length") >= shortest)
-    index = near.select(F.col("h").alias("b"), F.explode(index_keys(F.col("line"), F.col("length"), most)).alias("key"))
-    probes = near.select(F.col("h").alias("a"), F.explode(probe_keys(F.col("line"), F.col("length"), most)).alias("key"))
-    pairs = probes.join(index, "key").where("a != b").select("a", "b").distinct()
+    index = near.select(F.col("id").alias("b"), F.explode(index_keys(F.col("line"), F.col("length"), most)).alias("key"))
+    probes = near.select(F.col("id").alias("a"), F.explode(probe_keys(F.col("line"), F.col("length"), most)).alias("key"))
+    pairs = probes.join(index, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # both lines of a pair, fetched by document again
-    ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("h")), F.struct(F.lit(1).alias("side"), F.col("b").alias("h")))).alias("e")).select("a", "b", "e.side", "e.h")
-    asked = ends.join(firsts, "h").groupBy("d", "t").agg(F.collect_list(F.struct("a", "b", "side", "pos", "h", "g")).alias("asked"))
-    told = single.join(asked, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
-    told = told.select("d", "t", F.inline(F.transform("asked", lambda f: F.struct(*(f[c].alias(c) for c in ("a", "b", "side", "pos", "h", "g")), F.btrim(F.get("lines", f["pos"])).alias("line")))))
-    told = told.select("a", "b", "side", F.struct("d", "t", "pos").alias("first"), "h", "g", "line")
-    left = told.where("side = 0").select("a", "b", *(F.col(c).alias(f"{c}0") for c in ("first", "h", "g", "line")))
-    right = told.where("side = 1").select("a", "b", *(F.col(c).alias(f"{c}1") for c in ("first", "h", "g", "line")))
-    links = left.join(right, ["a", "b"]).where(within(F.col("line0"), F.col("line1"), most))
-    late = F.when(F.col("first0") > F.col("first1"), F.struct(F.col("h0").alias("h"), F.col("g0").alias("g"))).otherwise(F.struct(F.col("h1").alias("h"), F.col("g1").alias("g")))
-    later = links.select(late.alias("l")).select("l.h", "l.g").distinct().withColumn("linked", F.lit(True))
-
-    repeated = classes.join(later, ["h", "g"], "left").where("n > 1 or linked").select("h", "g", "first", "linked")
-    goes = F.coalesce(F.col("linked") | (F.struct("d", "t", "pos") != F.col("first")), F.lit(False))
-    judged = occurrences.join(repeated, ["h", "g"], "left").select("d", "t", "pos", goes.alias("goes"))
-    # rows that repeat a document have each of its places more than once
-    return judged.groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("pos", "goes"))).alias("fate"))
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    asked = ends.join(firsts, "id").groupBy("d", "t").agg(F.collect_list(F.struct("a", "b", "pos", "id")).alias("asked"))
+    told = docs.join(asked, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
+    told = told.select("d", "t", F.inline(F.transform("asked", lambda f: F.struct(*(f[c].alias(c) for c in ("a", "b", "pos", "id")), F.btrim(F.get("lines", f["pos"])).alias("line")))))
+    both = told.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct(F.struct("d", "t", "pos").alias("first"), "id", "line"))).alias("two"))
+    links = both.where(within(F.get("two", F.lit(0))["line"], F.get("two", F.lit(1))["line"], most))
+    later = links.select(F.get("two", F.lit(1))["id"].alias("id")).distinct().withColumn("linked", F.lit(True))
+
+    repeated = classes.join(later, "id", "left").where("n > 1 or linked").select("h", "g", "first", "linked")
+    goes = F.coalesce("linked", F.lit(False)) | (F.struct("d", "t", "pos") != F.col("first"))
+    return occurrences.join(repeated, ["h", "g"]).where(goes).groupBy("d", "t").agg(F.collect_set("pos").alias("gone"))
+
+
+_NO_KEY = -(1 << 63)
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """d, t, text of every row. Null keys come first, as the smallest number."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(whole).alias("t"), whole.alias("text"))
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("d"), F.xxhash64(whole).alias("t"), whole.alias("text"))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """rows if none repeats another's key and text (the usual case, found from keys and hashes alone), else one of each."""
+    twice = rows.groupBy("d", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    return rows.dropDuplicates(["d", "t"]) if twice else rows
+
+
+def _left(text: Column, gone: Column) -> Column:
+    """The text without the lines at those places."""
+    lines = _lines(text)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.when(gone.isNull(), text).otherwise(_let(lines, lambda ls: F.array_join(F.transform(stay, lambda k: F.get(ls, k)), "\n")))
+
+
+def _counts(text: Column, gone: Column) -> tuple[Column, Column]:
+    return F.size(_lines(text)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """docs with the remaining lines in the text column, plus two columns: n_lines and n_removed."""
-    fates = removals(keyed(docs, key, text), most, shortest)
-    whole = F.coalesce(F.col(f"x.{text}"), F.lit(""))
-    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("x")).withColumn("d", F.coalesce(F.col(f"x.{key}").cast("long"), F.lit(-(1 << 63)))).withColumn("t", F.xxhash64(whole))
-    joined = plain.join(fates, ["d", "t"], "left")
-    stays = F.transform(F.filter(F.arrays_zip(_lines(whole).alias("line"), F.col("fate.goes").alias("goes")), lambda z: ~z["goes"]), lambda z: z["line"])
-    kept = F.when(F.exists("fate.goes", lambda g: g), F.array_join(stays, "\n")).otherwise(whole)
-    columns = [kept.alias(c) if c == text else F.col(f"x.`{c}`").alias(c) for c in docs.columns]
-    return joined.select(*columns, F.size("fate").cast("long").alias("n_lines"), F.size(F.filter("fate.goes", lambda g: g)).cast("long").alias("n_removed"))
+    """docs with the remaining lines in the text column, plus two columns: n_lines and n_removed.
+
+    The other columns meet the texts where the texts already lie, so texts are not shuffled for them.
+    """
+    once = _once(keyed(docs, key, text))
+    shortened = once.join(removals(once, most, shortest), ["d", "t"], "left").select("d", "t", *_counts(F.col("text"), F.col("gone")), _left(F.col("text"), F.col("gone")).alias("text"))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    number = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NO_KEY))
+    others = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("x"), number.alias("d"), F.xxhash64(whole).alias("t"))
+    columns = [F.col("text").alias(c) if c == text else F.col(f"x.`{c}`").alias(c) for c in docs.columns]
+    return shortened.join(others, ["d", "t"]).select(*columns, "n_lines", "n_removed")
 
 
 def line_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
