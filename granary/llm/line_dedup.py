@@ -8,7 +8,10 @@ Exact copies first: lines are grouped by two 64-bit hashes, and each group's fir
 those lines is cut into threshold + 1 segments of nearly equal length. Lines within the threshold share a segment, so
 each line probes, for every length that a partner may have, the substrings that can match that partner's segments (a
 few start places each, as edits before and after a segment are bounded together). Probe and index meet on a hash of
-length, segment number and substring. A pair that meets is verified on its text by a banded bit-parallel edit
+length, segment number and substring, and a pair that meets must also have letter parities that so few edits can
+explain: a bit for each class of characters tells whether their count is odd, an insertion or deletion changes one
+bit and a substitution two at most. That keeps the many variants of one line, which share segments though they are
+further apart, from becoming pairs. What is left is verified on its text by a banded bit-parallel edit
 distance: a column of the band is two bit vectors, and each character of the second line moves the band by one.
 
 Every join is on a hash or a document key and can be split where it is skewed; groups of copies are reduced to one
@@ -98,10 +101,11 @@ def index_keys(line: Column, length: Column, most: int) -> Column:
 
 
 def probe_keys(line: Column, length: Column, most: int) -> Column:
-    """The keys of the substrings that can be a segment of a partner that is shorter by 0 to most characters.
+    """(key, flips) of the substrings that can be a segment of a partner that is shorter by 0 to most characters.
 
     Before the k-th segment there are at most k edits (an edit more, and an earlier segment is whole), behind it at
-    most most - k; both bound how far the substring's start can be from the segment's.
+    most most - k; both bound how far the substring's start can be from the segment's. flips: how many parities may
+    differ, as at least shorter edits are insertions or deletions.
     """
     out = []
     for shorter in range(most + 1):
@@ -109,10 +113,15 @@ def probe_keys(line: Column, length: Column, most: int) -> Column:
             start, size = _segment(length - shorter, k, most + 1)
             low = max(-k, shorter - (most - k))
             high = min(k, shorter + (most - k))
-            out += [_key(line, length - shorter, k, start + shift, size) for shift in range(low, high + 1)]
+            out += [F.struct(_key(line, length - shorter, k, start + shift, size).alias("key"), F.lit(2 * most - shorter).alias("flips")) for shift in range(low, high + 1)]
     return F.array(*out)
 
 
+def parities(line: Column) -> Column:
+    """For each of 32 classes of characters, a bit that tells whether the line has an odd number of them."""
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(31)))))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -120,24 +129,25 @@ def _lines(text: Column) -> Column:
 def removals(docs: DataFrame, most: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """d, t, gone: for each document (by key and text hash) that loses lines, their places from 0.
 
-    docs: d (key, never null), t (hash of the text), text; no two rows with the same d and t. The classes of equal
+    docs: d (key, never null), t (what tells rows of one key apart), text; no two rows with the same d and t. The classes of equal
     lines are written with a short number for each, so that what is probed is small. The three joins that need texts
     are on (d, t), over the same columns, so Spark shuffles the texts once and reuses that exchange.
     """
     places = docs.select("d", "t", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", F.btrim("line")).where("line != ''")
-    occurrences = places.select("d", "t", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
-    classes = occurrences.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    occurrences = places.select("d", "t", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), parities(F.col("line")).alias("odd"))
+    classes = occurrences.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("odd").alias("odd"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "lines")
 
     # the text of each class's first line, fetched by document
-    firsts = classes.select("first.d", "first.t", "first.pos", "id")
-    by_document = firsts.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "id")).alias("firsts"))
+    firsts = classes.select("first.d", "first.t", "first.pos", "id", "odd")
+    by_document = firsts.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "id", "odd")).alias("firsts"))
     parted = docs.join(by_document, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
-    fetched = parted.select(F.inline(F.transform("firsts", lambda f: F.struct(f["id"].alias("id"), F.btrim(F.get("lines", f["pos"])).alias("line")))))
+    fetched = parted.select(F.inline(F.transform("firsts", lambda f: F.struct(f["id"].alias("id"), f["odd"].alias("odd"), F.btrim(F.get("lines", f["pos"])).alias("line")))))
     near = fetched.withColumn("length", F.char_length("line")).where(F.col("length") >= shortest)
-    index = near.select(F.col("id").alias("b"), F.explode(index_keys(F.col("line"), F.col("length"), most)).alias("key"))
-    probes = near.select(F.col("id").alias("a"), F.explode(probe_keys(F.col("line"), F.col("length"), most)).alias("key"))
-    pairs = probes.join(index, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    index = near.select(F.col("id").alias("b"), F.col("odd").alias("odd_b"), F.explode(index_keys(F.col("line"), F.col("length"), most)).alias("key"))
+    probes = near.select(F.col("id").alias("a"), F.col("odd").alias("odd_a"), F.inline(probe_keys(F.col("line"), F.col("length"), most)))
+    meets = (probes.key == index.key) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= F.col("flips"))
+    pairs = probes.join(index, meets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # both lines of a pair, fetched by document again
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
@@ -156,16 +166,8 @@ def removals(docs: DataFrame, most: int = THRESHOLD, shortest: int = SHORTEST) -
 _NO_KEY = -(1 << 63)
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """d, t, text of every row. Null keys come first, as the smallest number."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("d"), F.xxhash64(whole).alias("t"), whole.alias("text"))
-
-
-def _once(rows: DataFrame) -> DataFrame:
-    """rows if none repeats another's key and text (the usual case, found from keys and hashes alone), else one of each."""
-    twice = rows.groupBy("d", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
-    return rows.dropDuplicates(["d", "t"]) if twice else rows
+def _repeats(rows: DataFrame, *keys: str) -> bool:
+    return bool(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect())
 
 
 def _left(text: Column, gone: Column) -> Column:
@@ -184,11 +186,17 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
 
     The other columns meet the texts where the texts already lie, so texts are not shuffled for them.
     """
-    once = _once(keyed(docs, key, text))
-    shortened = once.join(removals(once, most, shortest), ["d", "t"], "left").select("d", "t", *_counts(F.col("text"), F.col("gone")), _left(F.col("text"), F.col("gone")).alias("text"))
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     number = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NO_KEY))
-    others = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("x"), number.alias("d"), F.xxhash64(whole).alias("t"))
+    once = docs.select(number.alias("d"), whole.alias("text"))
+    # found from the keys alone: where they are unique, as usual, rows need no hash of their text beside them
+    tied = _repeats(once, "d")
+    tie = F.xxhash64(whole) if tied else F.lit(0).cast("long")
+    once = docs.select(number.alias("d"), tie.alias("t"), whole.alias("text"))
+    if tied and _repeats(once, "d", "t"):
+        once = once.dropDuplicates(["d", "t"])
+    shortened = once.join(removals(once, most, shortest), ["d", "t"], "left").select("d", "t", *_counts(F.col("text"), F.col("gone")), _left(F.col("text"), F.col("gone")).alias("text"))
+    others = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("x"), number.alias("d"), tie.alias("t"))
     columns = [F.col("text").alias(c) if c == text else F.col(f"x.`{c}`").alias(c) for c in docs.columns]
     return shortened.join(others, ["d", "t"]).select(*columns, "n_lines", "n_removed")
 

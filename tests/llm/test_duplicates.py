@@ -96,7 +96,7 @@ def edits(a, b):
     return row[-1]
 
 
-def changed(r, text, most, alphabet="abcé"):
+def changed(r, text, most, alphabet="abcé?_"):
     out = list(text)
     for _ in range(r.randrange(most + 1)):
         at, kind = r.randrange(len(out) + 1), r.randrange(3)
