@@ -145,8 +145,11 @@ def removals(docs: DataFrame, most: int = THRESHOLD, shortest: int = SHORTEST) -
     fetched = parted.select(F.inline(F.transform("firsts", lambda f: F.struct(f["id"].alias("id"), f["odd"].alias("odd"), F.btrim(F.get("lines", f["pos"])).alias("line")))))
     near = fetched.withColumn("length", F.char_length("line")).where(F.col("length") >= shortest)
     index = near.select(F.col("id").alias("b"), F.col("odd").alias("odd_b"), F.explode(index_keys(F.col("line"), F.col("length"), most)).alias("key"))
-    probes = near.select(F.col("id").alias("a"), F.col("odd").alias("odd_a"), F.inline(probe_keys(F.col("line"), F.col("length"), most)))
-    meets = (probes.key == index.key) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= F.col("flips"))
+    # parities and the flips allowed in one number: a narrower row is less to shuffle
+    probes = near.select(F.col("id").alias("a"), "odd", F.inline(probe_keys(F.col("line"), F.col("length"), most)))
+    probes = probes.select("a", "key", F.shiftleft(F.col("flips").cast("long"), 32).bitwiseOR(F.col("odd")).alias("odd_a"))
+    differ = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")).bitwiseAND(F.lit((1 << 32) - 1)))
+    meets = (probes.key == index.key) & (F.col("a") != F.col("b")) & (differ <= F.shiftright(F.col("odd_a"), 32))
     pairs = probes.join(index, meets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # both lines of a pair, fetched by document again
