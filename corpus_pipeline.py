@@ -3,7 +3,8 @@
 1. quality: documents that the compression classifier rejects go (fitted on the labels, see granary.llm.quality).
 2. lines: a line that repeats an earlier one, exactly or within two edits, goes from its document; the document stays,
    with the text that is left and its length.
-3. near_duplicates: of each component of SimHash near duplicates, the document of the smallest doc_id stays.
+3. near_duplicates: of each component of documents whose five-word shingles have Jaccard 0.8 or more, the document of
+   the smallest doc_id stays (see granary.llm.near_texts).
 4. packing: what is left, as sequences of power-of-two lengths.
 
 Every stage but the last returns the columns of documents. Null texts count as empty, and empty documents pass
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import line_dedup, packing, pretokens, quality, simhash
+from granary.llm import line_dedup, near_texts, packing, pretokens, quality
 from granary.llm.common import python_tasks, table, written
 
 
@@ -33,7 +34,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     python_tasks(spark)
-    return simhash.one_of_each(docs)
+    return near_texts.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("lines", drop_repeated_lines), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
 
-#: SQL cannot express the classifier, the fingerprints or the tokenizer; tests hold the stages to brute force instead.
+#: SQL cannot express the classifier, the shingles or the tokenizer; tests hold the stages to brute force instead.
 ORACLE_SQL = None
 
 
