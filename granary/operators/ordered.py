@@ -80,3 +80,25 @@ def one_row(*parts: DataFrame) -> DataFrame:
 def top(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
     """The first n rows in an order, with place (from 0). Only those n meet in one task."""
     return df.orderBy(*keys).limit(n).withColumn("place", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+
+
+def places(df: DataFrame, group: str, value: str, tie: str, count: int = 64) -> DataFrame:
+    """df with place (from 0) of every row of a group: by value (a double, nulls first), then by tie (a number).
+
+    Rows are dealt to ranges of values, and those of a null or of a value that is a bound, as frequent ones are, to
+    ranges of ties; places inside a range go up by the rows of the ranges before it. Bounds come to the driver once.
+    """
+    shares = [k / count for k in range(1, count)]
+    bounds = df.groupBy(group).agg(F.percentile_approx(value, shares, 50 * count).alias("_values"), F.percentile_approx(F.col(tie).cast("double"), shares, 50 * count).alias("_ties")).collect()
+    schema = f"`{group}` {df.schema[group].dataType.simpleString()}, _values array<double>, _ties array<double>"
+    fixed = df.sparkSession.createDataFrame([(b[group], sorted(set(b["_values"] or [])), sorted(set(b["_ties"] or []))) for b in bounds], schema)
+    below = F.size(F.filter("_values", lambda b: b < F.col(value)))
+    equal = F.array_contains("_values", F.col(value))
+    dealt = df.join(F.broadcast(fixed), group)
+    dealt = dealt.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(2 * below + equal.cast("int")))
+    dealt = dealt.withColumn("_part", F.when(F.col(value).isNull() | equal, F.size(F.filter("_ties", lambda b: b < F.col(tie)))).otherwise(0)).drop("_values", "_ties")
+    at = [group, "_range", "_part"]
+    earlier = Window.partitionBy(group).orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).select(*at, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*at).orderBy(F.asc_nulls_first(value), tie)) - 1
+    return dealt.withColumn("_in", inside).join(before, at).withColumn("place", F.col("_in") + F.col("_before")).drop("_range", "_part", "_in", "_before")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.content import clamped, content_hash
-from ..operators.ordered import fold, one_row, top
+from ..operators.ordered import fold, one_row, places, top
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,18 @@ def sorted_blocks(used: DataFrame, column: str, descending: bool = False, limit:
     return top(used, [F.desc_nulls_first(column) if descending else F.asc_nulls_first(column), F.asc("block_id")], limit)
 
 
+SORTED_BY = ("block_id", "size", "live_bytes", "utilisation", "ref_count", "create_time")
+
+
+def block_places(used: DataFrame, columns: tuple[str, ...] = SORTED_BY) -> DataFrame:
+    """block_id, sorted_by, direction, place: every block in the order of each column either way; blocks without a value
+    come first, equal ones go by block_id. Values are compared as doubles."""
+    orders = [(c, n, sign * F.col(c).cast("double")) for c in columns for n, sign in (("up", 1), ("down", -1))]
+    each = F.inline(F.array(*(F.struct(F.lit(f"{c} {n}").alias("_order"), v.alias("_value")) for c, n, v in orders)))
+    placed = places(used.select("block_id", each), "_order", "_value", "block_id")
+    return placed.select("block_id", F.split_part("_order", F.lit(" "), F.lit(1)).alias("sorted_by"), F.split_part("_order", F.lit(" "), F.lit(2)).alias("direction"), "place")
+
+
 def candidates(used: DataFrame, pinned: DataFrame, options: CompactionOptions, now: int) -> DataFrame:
     """Sealed blocks worth rewriting, with the reason: low_util, undersized or both. Pinned and young blocks stay."""
     low = F.col("utilisation") < options.threshold

@@ -214,11 +214,17 @@ def block_totals(spark, sf_dir):
 @query(f"""WITH {R.STORE} SELECT block_id, 'up' AS direction, row_number() OVER (ORDER BY utilisation ASC NULLS FIRST, block_id) - 1 AS place FROM used QUALIFY place < 200
   UNION ALL SELECT block_id, 'down' AS direction, row_number() OVER (ORDER BY utilisation DESC NULLS FIRST, block_id) - 1 AS place FROM used QUALIFY place < 200""")
 def block_sort_orders(spark, sf_dir):
-    """SRT-6: the first page of blocks either way; the limit is the feature."""
+    """SRT-6: the first page of blocks either way, by one column; block_sort_places has all blocks and columns."""
     up, down = (maintenance.sorted_blocks(_used(spark, sf_dir), "utilisation", d).select("block_id", F.lit(n).alias("direction"), "place") for n, d in (("up", False), ("down", True)))
     return up.unionByName(down)
 
 
+@query(f"WITH {R.STORE} " + " UNION ALL ".join(f"SELECT block_id, '{c}' AS sorted_by, '{n}' AS direction, row_number() OVER (ORDER BY {c} {o} NULLS FIRST, block_id) - 1 AS place FROM used" for c in maintenance.SORTED_BY for n, o in (("up", "ASC"), ("down", "DESC"))))
+def block_sort_places(spark, sf_dir):
+    """SRT-6: the place of every block in the order of each of six columns, either way."""
+    return maintenance.block_places(_used(spark, sf_dir))
+
+
 @query(f"WITH {R.STORE} SELECT block_id, size FROM blocks WHERE ref_count = 0 AND block_id NOT IN (SELECT block_id FROM pinned)")
 def gc_reclaim(spark, sf_dir):
     """FLT-4, JOIN-6, SET-2, SNK-10, MNT-11."""
