@@ -1,7 +1,7 @@
 """Operator 6: line deduplication by a segment-partition edit join, in DataFrame functions only.
 
 A line goes if an earlier line (by document key, then place) is equal to it or within THRESHOLD edits of it. Lines are
-compared without the white space around them; lines of white space alone are always kept. Near matching is for lines
+compared without the white space of ASCII around them (tabs, carriage returns); lines of white space alone are always kept. Near matching is for lines
 of at least SHORTEST characters, as a few edits make another line of a short one; shorter lines go if equal.
 
 Exact copies first: lines are grouped by two 64-bit hashes, and each group's first place stands for it. The text of
@@ -126,6 +126,10 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\v\f\r"))
+
+
 def removals(docs: DataFrame, most: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """d, t, gone: for each document (by key and text hash) that loses lines, their places from 0.
 
@@ -133,7 +137,7 @@ def removals(docs: DataFrame, most: int = THRESHOLD, shortest: int = SHORTEST) -
     lines are written with a short number for each, so that what is probed is small. The three joins that need texts
     are on (d, t), over the same columns, so Spark shuffles the texts once and reuses that exchange.
     """
-    places = docs.select("d", "t", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", F.btrim("line")).where("line != ''")
+    places = docs.select("d", "t", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", _trimmed(F.col("line"))).where("line != ''")
     occurrences = places.select("d", "t", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), parities(F.col("line")).alias("odd"))
     classes = occurrences.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("odd").alias("odd"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "lines")
@@ -142,7 +146,7 @@ def removals(docs: DataFrame, most: int = THRESHOLD, shortest: int = SHORTEST) -
     firsts = classes.select("first.d", "first.t", "first.pos", "id", "odd")
     by_document = firsts.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "id", "odd")).alias("firsts"))
     parted = docs.join(by_document, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
-    fetched = parted.select(F.inline(F.transform("firsts", lambda f: F.struct(f["id"].alias("id"), f["odd"].alias("odd"), F.btrim(F.get("lines", f["pos"])).alias("line")))))
+    fetched = parted.select(F.inline(F.transform("firsts", lambda f: F.struct(f["id"].alias("id"), f["odd"].alias("odd"), _trimmed(F.get("lines", f["pos"])).alias("line")))))
     near = fetched.withColumn("length", F.char_length("line")).where(F.col("length") >= shortest)
     index = near.select(F.col("id").alias("b"), F.col("odd").alias("odd_b"), F.explode(index_keys(F.col("line"), F.col("length"), most)).alias("key"))
     # parities and the flips allowed in one number: a narrower row is less to shuffle
@@ -156,7 +160,7 @@ def removals(docs: DataFrame, most: int = THRESHOLD, shortest: int = SHORTEST) -
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     asked = ends.join(firsts, "id").groupBy("d", "t").agg(F.collect_list(F.struct("a", "b", "pos", "id")).alias("asked"))
     told = docs.join(asked, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
-    told = told.select("d", "t", F.inline(F.transform("asked", lambda f: F.struct(*(f[c].alias(c) for c in ("a", "b", "pos", "id")), F.btrim(F.get("lines", f["pos"])).alias("line")))))
+    told = told.select("d", "t", F.inline(F.transform("asked", lambda f: F.struct(*(f[c].alias(c) for c in ("a", "b", "pos", "id")), _trimmed(F.get("lines", f["pos"])).alias("line")))))
     both = told.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct(F.struct("d", "t", "pos").alias("first"), "id", "line"))).alias("two"))
     links = both.where(within(F.get("two", F.lit(0))["line"], F.get("two", F.lit(1))["line"], most))
     later = links.select(F.get("two", F.lit(1))["id"].alias("id")).distinct().withColumn("linked", F.lit(True))
