@@ -1,26 +1,30 @@
 """Operator 6: line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-A line goes if an earlier line (by document key, then place) is equal to it or within THRESHOLD edits of it. Lines are
-compared without the white space of ASCII around them (tabs, carriage returns); lines of white space alone are always kept. Near matching is for lines
-of at least SHORTEST characters, as a few edits make another line of a short one; shorter lines go if equal.
+A line goes if an earlier line (by document key, then place) is equal to it or close to it: within one edit for every
+EVERY characters of the shorter of the two, and THRESHOLD edits at most. Lines are compared without the white space of
+ASCII around them (blanks, tabs, form feeds, carriage returns); lines of white space alone are always kept.
 
 Exact copies first: lines are grouped by two 64-bit hashes, and each group's first place stands for it. The text of
 those lines is cut into threshold + 1 segments of nearly equal length. Lines within the threshold share a segment, so
 each line probes, for every length that a partner may have, the substrings that can match that partner's segments (a
 few start places each, as edits before and after a segment are bounded together). Probe and index meet on a hash of
-length, segment number and substring, and a pair that meets must also have letter parities that so few edits can
-explain: a bit for each class of characters tells whether their count is odd, an insertion or deletion changes one
-bit and a substitution two at most. That keeps the many variants of one line, which share segments though they are
-further apart, from becoming pairs. What is left is verified on its text by a banded bit-parallel edit
-distance: a column of the band is two bit vectors, and each character of the second line moves the band by one.
-
-Every join is on a hash or a document key and can be split where it is skewed; groups of copies are reduced to one
-line before they meet anything. Nothing is capped. No class needs to be collected: a line's fate depends on its own
-group's first place and on verified links of that group.
-
-Null text counts as empty and comes back as the empty text. Null keys come first in the order. Rows that repeat key
-and text are one document and come back as often as they came; rows that repeat only the key are ordered by a hash of
-their texts. An empty table gives no rows. Other columns are kept as they are, whatever their names.
+threshold, length, segment number and substring. A pair that meets must also have letter counts that so few edits can
+explain: the counts of LETTERS modulo four stand in one number as Gray codes, so one insertion or deletion changes one
+bit at most and a substitution two. What is left is verified on its text by a banded bit-parallel edit distance: a
+column of the band is two bit vectors, and each character of the second line moves the band by one.
+
+Pairs are bounded: a line's fate needs one earlier line that is close, not all of them. So a key of the index is
+represented by (nearly) its earliest line, and each probe meets that one only; a group of m variants of one line gives
+m pairs. Then those of a group that are not settled meet the group's other lines. Both rounds together meet
+every pair of which the later line is not yet known to go. Texts of the lines in pairs are fetched once for each line
+and joined to the pairs, which Spark can split where a line has very many.
+
+Every join is on a hash, a number or a document key and can be split where it is skewed; nothing is capped.
+
+Null text counts as empty and comes back as the empty text. Keys are whole numbers; null keys come first in the order.
+Rows that repeat key and text are one document and come back as often as they came; rows that repeat only the key are
+ordered by a hash of their texts. An empty table gives no rows. Very long texts are one row each, split and joined
+inside it. Other columns are kept as they are, whatever their names, but for those that the counts are asked to take.
 """
 
 from __future__ import annotations
@@ -32,7 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-THRESHOLD, SHORTEST = 2, 24
+THRESHOLD, EVERY = 2, 12
+#: The letters whose counts are compared before texts are; any choice gives the same result.
+LETTERS = "enisrtaduolhcmg "
+_SKETCH = (1 << 2 * len(LETTERS)) - 1
+#: Ranges of equal width that the keys are dealt to, for telling early lines from late ones.
+_RANGES = 1 << 20
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -91,35 +100,58 @@ def _segment(length: Column, k: int, count: int) -> tuple[Column, Column]:
     return start.cast("int"), (size + F.when(F.lit(k) >= first_longer, 1).otherwise(0)).cast("int")
 
 
-def _key(line: Column, length: Column, k: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(k), F.substring(line, start, size))
+def _key(line: Column, length: Column, k: int, most: int, start: Column, size: Column) -> Column:
+    return F.xxhash64(length.cast("int"), F.lit(most * 16 + k), F.substring(line, start, size))
 
 
-def index_keys(line: Column, length: Column, most: int) -> Column:
+def _allowed(length: Column, most: int, every: int) -> Column:
+    """The edits that a line of that length, the shorter of a pair, allows."""
+    return F.least(F.lit(most), F.floor(length / every)).cast("int")
+
+
+def index_keys(line: Column, length: Column, most: int, every: int) -> Column:
     """The keys of a line's own segments."""
-    return F.array(*(_key(line, length, k, *_segment(length, k, most + 1)) for k in range(most + 1)))
+    found = F.array(F.lit(0).cast("long"))
+    for t in range(1, most + 1):
+        found = F.when(length >= t * every, F.array(*(_key(line, length, k, t, *_segment(length, k, t + 1)) for k in range(t + 1)))).otherwise(found)
+    return found
 
 
-def probe_keys(line: Column, length: Column, most: int) -> Column:
-    """(key, flips) of the substrings that can be a segment of a partner that is shorter by 0 to most characters.
+def _probes(line: Column, length: Column, shorter: int, t: int) -> list[Column]:
+    """(key, flips) of the substrings that can be a segment of a partner that is shorter by so many characters.
 
     Before the k-th segment there are at most k edits (an edit more, and an earlier segment is whole), behind it at
-    most most - k; both bound how far the substring's start can be from the segment's. flips: how many parities may
-    differ, as at least shorter edits are insertions or deletions.
+    most t - k; both bound how far the substring's start can be from the segment's. flips: how many bits of the
+    sketches may differ, as at least shorter edits are insertions or deletions.
     """
     out = []
+    for k in range(t + 1):
+        start, size = _segment(length - shorter, k, t + 1)
+        low, high = max(-k, shorter - (t - k)), min(k, shorter + (t - k))
+        out += [F.struct(_key(line, length - shorter, k, t, start + shift, size).alias("key"), F.lit(2 * t - shorter).alias("flips")) for shift in range(low, high + 1)]
+    return out
+
+
+def probe_keys(line: Column, length: Column, most: int, every: int) -> Column:
+    """(key, flips) for every partner that is shorter or of equal length; the shorter line says how many edits are allowed."""
+    none = F.array().cast("array<struct<key:bigint,flips:int>>")
+    parts = []
     for shorter in range(most + 1):
-        for k in range(most + 1):
-            start, size = _segment(length - shorter, k, most + 1)
-            low = max(-k, shorter - (most - k))
-            high = min(k, shorter + (most - k))
-            out += [F.struct(_key(line, length - shorter, k, start + shift, size).alias("key"), F.lit(2 * most - shorter).alias("flips")) for shift in range(low, high + 1)]
-    return F.array(*out)
+        part = none
+        for t in range(max(shorter, 1), most + 1):
+            part = F.when(length - shorter >= t * every, F.array(*_probes(line, length, shorter, t))).otherwise(part)
+        parts.append(part)
+    whole = F.array(*(p for shorter in range(most + 1) for p in _probes(line, length, shorter, most)))
+    return F.when(length >= most * every + most, whole).otherwise(F.concat(*parts))
 
 
-def parities(line: Column) -> Column:
-    """For each of 32 classes of characters, a bit that tells whether the line has an odd number of them."""
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(31)))))
+def sketch(line: Column) -> Column:
+    """The counts of LETTERS modulo four, each as a Gray code of two bits."""
+    bits = F.lit(0).cast("long")
+    for k, c in enumerate(LETTERS):
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(3))
+        bits = bits.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).cast("long"), 2 * k))
+    return bits
 
 
 def _lines(text: Column) -> Column:
@@ -130,44 +162,77 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\v\f\r"))
 
 
-def removals(docs: DataFrame, most: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
+def _texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The columns of firsts (d, t, pos and others; a row for each line) and the line itself, fetched by document."""
+    columns = [c for c in firsts.columns if c not in ("d", "t")]
+    by_document = firsts.groupBy("d", "t").agg(F.collect_list(F.struct(*columns)).alias("firsts"))
+    parted = docs.join(by_document, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
+    return parted.select("d", "t", F.inline(F.transform("firsts", lambda f: F.struct(*(f[c].alias(c) for c in columns), _trimmed(F.get("lines", f["pos"])).alias("line")))))
+
+
+def _later(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, most: int, every: int) -> DataFrame:
+    """id of the lines that are close to an earlier line, of the pairs (a, b) of ids."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = written(_texts(docs, firsts.join(ids, "id", "left_semi")).select("id", F.struct("d", "t", "pos").alias("place"), "line"), "lines")
+    x, y = (texts.select(F.col("id").alias(c), F.col("place").alias(f"place_{c}"), F.col("line").alias(f"line_{c}")) for c in "ab")
+    both = pairs.join(x, "a").join(y, "b")
+    m, n = F.char_length("line_a"), F.char_length("line_b")
+    close = F.lit(False)
+    for t in range(1, most + 1):
+        close = F.when(F.least(m, n) >= t * every, within(F.col("line_a"), F.col("line_b"), t)).otherwise(close)
+    return both.where(close).select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+
+
+def _pairs(a: Column, b: Column, rows: DataFrame) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _fits(sketch_a: Column, flips: Column, sketch_b: Column) -> Column:
+    return F.bit_count(sketch_a.bitwiseXOR(sketch_b).bitwiseAND(F.lit(_SKETCH))) <= flips
+
+
+def removals(docs: DataFrame, most: int = THRESHOLD, every: int = EVERY) -> DataFrame:
     """d, t, gone: for each document (by key and text hash) that loses lines, their places from 0.
 
-    docs: d (key, never null), t (what tells rows of one key apart), text; no two rows with the same d and t. The classes of equal
-    lines are written with a short number for each, so that what is probed is small. The three joins that need texts
-    are on (d, t), over the same columns, so Spark shuffles the texts once and reuses that exchange.
+    docs: d (key, never null), t (what tells rows of one key apart), text; no two rows with the same d and t. The
+    classes of equal lines are written with a short number for each, so that what is probed is small. All joins that
+    need texts are on (d, t), over the same columns, so Spark shuffles the texts once and reuses that exchange.
     """
     places = docs.select("d", "t", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", _trimmed(F.col("line"))).where("line != ''")
-    occurrences = places.select("d", "t", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), parities(F.col("line")).alias("odd"))
-    classes = occurrences.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("odd").alias("odd"))
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "lines")
-
-    # the text of each class's first line, fetched by document
-    firsts = classes.select("first.d", "first.t", "first.pos", "id", "odd")
-    by_document = firsts.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "id", "odd")).alias("firsts"))
-    parted = docs.join(by_document, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
-    fetched = parted.select(F.inline(F.transform("firsts", lambda f: F.struct(f["id"].alias("id"), f["odd"].alias("odd"), _trimmed(F.get("lines", f["pos"])).alias("line")))))
-    near = fetched.withColumn("length", F.char_length("line")).where(F.col("length") >= shortest)
-    index = near.select(F.col("id").alias("b"), F.col("odd").alias("odd_b"), F.explode(index_keys(F.col("line"), F.col("length"), most)).alias("key"))
-    # parities and the flips allowed in one number: a narrower row is less to shuffle
-    probes = near.select(F.col("id").alias("a"), "odd", F.inline(probe_keys(F.col("line"), F.col("length"), most)))
-    probes = probes.select("a", "key", F.shiftleft(F.col("flips").cast("long"), 32).bitwiseOR(F.col("odd")).alias("odd_a"))
-    differ = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")).bitwiseAND(F.lit((1 << 32) - 1)))
-    meets = (probes.key == index.key) & (F.col("a") != F.col("b")) & (differ <= F.shiftright(F.col("odd_a"), 32))
-    pairs = probes.join(index, meets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    # both lines of a pair, fetched by document again
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    asked = ends.join(firsts, "id").groupBy("d", "t").agg(F.collect_list(F.struct("a", "b", "pos", "id")).alias("asked"))
-    told = docs.join(asked, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
-    told = told.select("d", "t", F.inline(F.transform("asked", lambda f: F.struct(*(f[c].alias(c) for c in ("a", "b", "pos", "id")), _trimmed(F.get("lines", f["pos"])).alias("line")))))
-    both = told.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct(F.struct("d", "t", "pos").alias("first"), "id", "line"))).alias("two"))
-    links = both.where(within(F.get("two", F.lit(0))["line"], F.get("two", F.lit(1))["line"], most))
-    later = links.select(F.get("two", F.lit(1))["id"].alias("id")).distinct().withColumn("linked", F.lit(True))
-
-    repeated = classes.join(later, "id", "left").where("n > 1 or linked").select("h", "g", "first", "linked")
+    occurrences = places.select("d", "t", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), sketch(F.col("line")).alias("sketch"))
+    classes = occurrences.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("sketch").alias("sketch"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    firsts = classes.select("first.d", "first.t", "first.pos", "id", "sketch")
+
+    known = docs.where(F.col("d") != _NO_KEY).agg(F.min("d").alias("low"), F.max("d").alias("high")).first()
+    low, high = float(known.low or 0), float(known.high or 0)
+    early = F.greatest(F.lit(0), F.floor((F.col("d").cast("double") - low) / (high - low + 1) * (_RANGES - 1))).cast("long")
+    near = _texts(docs, firsts).withColumn("length", F.char_length("line")).where(F.col("length") >= every)
+    # two numbers in one make a narrower row, and so less to shuffle
+    index = near.select(F.col("id").alias("b"), F.shiftleft(early, 32).bitwiseOR(F.col("sketch")).alias("word"), F.explode(index_keys(F.col("line"), F.col("length"), most, every)).alias("key"))
+    probes = near.select(F.col("id").alias("a"), "sketch", F.inline(probe_keys(F.col("line"), F.col("length"), most, every)))
+    probes = probes.select("a", "key", F.shiftleft(F.col("flips").cast("long"), 32).bitwiseOR(F.col("sketch")).alias("asks"))
+
+    # each key's earliest line stands for the key's lines
+    index = index.repartition("key")
+    heads = index.groupBy("key").agg(F.min_by("b", "word").alias("head"), F.min("word").alias("word"), F.count(F.lit(1)).alias("lines"))
+    flips = F.shiftright(F.col("asks"), 32)
+    fits = (F.col("a") != F.col("head")) & _fits(F.col("asks"), flips, F.col("word"))
+    met = probes.join(heads, "key").where(fits | (F.col("lines") > 1) & (F.col("a") != F.col("head")))
+    met = written(met.select("key", "a", "asks", "head", fits.alias("fits"), (F.col("lines") > 1).alias("others")), "met")
+    settled = written(_later(docs, firsts, _pairs(F.col("a"), F.col("head"), met.where("fits")), most, every).select("id", F.lit(True).alias("linked")), "settled")
+
+    # lines that are not settled meet the other lines of their keys
+    open_a = met.where("others").join(settled.withColumnRenamed("id", "a"), "a", "left").select("key", "a", "asks", "head", F.col("linked").isNull().alias("open_a"))
+    keys = open_a.select("key", "head").distinct()
+    others = index.join(keys, "key").where(F.col("b") != F.col("head")).join(settled.withColumnRenamed("id", "b"), "b", "left").select("key", "b", "word", F.col("linked").isNull().alias("open_b"))
+    more = open_a.join(others, "key").where((F.col("a") != F.col("b")) & (F.col("open_a") | F.col("open_b")) & _fits(F.col("asks"), flips, F.col("word")))
+    last = _later(docs, firsts, written(_pairs(F.col("a"), F.col("b"), more), "pairs"), most, every).select("id", F.lit(True).alias("linked"))
+
+    linked = settled.unionByName(last).distinct()
+    repeated = classes.join(linked, "id", "left").where("n > 1 or linked").select("h", "g", "first", "linked")
     goes = F.coalesce("linked", F.lit(False)) | (F.struct("d", "t", "pos") != F.col("first"))
-    return occurrences.join(repeated, ["h", "g"]).where(goes).groupBy("d", "t").agg(F.collect_set("pos").alias("gone"))
+    return occurrences.drop("sketch").join(repeated, ["h", "g"]).where(goes).groupBy("d", "t").agg(F.collect_set("pos").alias("gone"))
 
 
 _NO_KEY = -(1 << 63)
@@ -188,8 +253,9 @@ def _counts(text: Column, gone: Column) -> tuple[Column, Column]:
     return F.size(_lines(text)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")
 
 
-def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """docs with the remaining lines in the text column, plus two columns: n_lines and n_removed.
+def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = THRESHOLD, every: int = EVERY, counts: tuple[str, str] | None = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the remaining lines in the text column, and how many lines there were and how many went, in columns
+    of these names (which replace columns of docs); counts None: docs' own columns only.
 
     The other columns meet the texts where the texts already lie, so texts are not shuffled for them.
     """
@@ -202,10 +268,12 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     once = docs.select(number.alias("d"), tie.alias("t"), whole.alias("text"))
     if tied and _repeats(once, "d", "t"):
         once = once.dropDuplicates(["d", "t"])
-    shortened = once.join(removals(once, most, shortest), ["d", "t"], "left").select("d", "t", *_counts(F.col("text"), F.col("gone")), _left(F.col("text"), F.col("gone")).alias("text"))
-    others = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("x"), number.alias("d"), tie.alias("t"))
-    columns = [F.col("text").alias(c) if c == text else F.col(f"x.`{c}`").alias(c) for c in docs.columns]
-    return shortened.join(others, ["d", "t"]).select(*columns, "n_lines", "n_removed")
+    found = once.join(removals(once, most, every), ["d", "t"], "left")
+    shortened = found.select("d", "t", *_counts(F.col("text"), F.col("gone")), _left(F.col("text"), F.col("gone")).alias("text"))
+    others = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.lit(0).alias("_")).alias("x"), number.alias("d"), tie.alias("t"))
+    taken = {c.lower() for c in counts or ()}
+    columns = [F.col("text").alias(c) if c == text else F.col(f"x.`{c}`").alias(c) for c in docs.columns if c.lower() not in taken]
+    return shortened.join(others, ["d", "t"]).select(*columns, *(F.col(c).alias(n) for c, n in zip(("n_lines", "n_removed"), counts or (), strict=False)))
 
 
 def line_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -122,7 +122,8 @@ def test_line_dedup_is_brute_force(spark, most):
     r = random.Random(10 + most)
     words = "alpha beta gamma delta epsilon zeta".split()
     base = [" ".join(r.choice(words) for _ in range(r.randrange(1, 9))) for _ in range(30)]
-    rows = [(k, "\n".join(r.choice([changed(r, r.choice(base), 3), r.choice(base), "", "  " + r.choice(base)]) for _ in range(r.randrange(9))), "x", k) for k in range(60)]
+    base += [" ".join(r.choice(words) for _ in range(9))[: r.randrange(10, 28)].strip() for _ in range(10)]  # about the lengths where another edit is allowed
+    rows = [(k, "\n".join(r.choice([changed(r, r.choice(base), 3), r.choice(base), "", "  " + r.choice(base), "\t" + r.choice(base) + "\r"]) for _ in range(r.randrange(9))), "x", k) for k in range(60)]
     rows += [(200, None, "x", 1), (201, "", "x", 1), (None, base[0] + "\na line of its own that is long enough", "x", 1), (5, "same key", None, None), (9, "twice\ntwice", "y", 2), (9, "twice\ntwice", "y", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, d string, t long")
     got = line_dedup.without_repeated_lines(docs, most=most).collect()
@@ -132,8 +133,8 @@ def test_line_dedup_is_brute_force(spark, most):
         if (key, text) not in done:
             kept = []
             for line in (text or "").split("\n"):
-                own = line.strip(" ")
-                if own and any(own == s or min(len(own), len(s)) >= 24 and edits(own, s) <= most for s in seen):
+                own = line.strip(" \t\v\f\r")
+                if own and any(own == s or edits(own, s) <= min(most, min(len(own), len(s)) // line_dedup.EVERY) for s in seen):
                     seen.append(own)
                     continue
                 seen += [own] if own else []
@@ -142,9 +143,25 @@ def test_line_dedup_is_brute_force(spark, most):
         want.append((key, done[key, text]))
     assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted(want, key=str)
     assert set(docs.columns) < set(got[0].asDict())
+    assert line_dedup.without_repeated_lines(docs.withColumns({"N_lines": F.lit("own"), "x": F.lit(1)})).select("n_lines", "x").schema.simpleString() == "struct<n_lines:bigint,x:int>"
+    assert line_dedup.without_repeated_lines(docs.withColumn("n_lines", F.lit("own")), counts=None).select("n_lines").distinct().collect() == [("own",)]
     assert line_dedup.without_repeated_lines(docs.where(F.lit(False))).count() == 0
 
 
+def test_variants_of_one_line_make_few_pairs(spark, monkeypatch):
+    """Variants are paired with one of them, in whatever order they come; those too far from it meet each other."""
+    r = random.Random(4)
+    line = "".join(r.choice("abcdefgh ") for _ in range(120))
+    lines = [line[:k] + c + line[k + 1 :] for k in range(120) for c in "xyzuvw01234"]
+    r.shuffle(lines)
+    counted = []
+    monkeypatch.setattr(line_dedup, "_pairs", lambda a, b, rows, own=line_dedup._pairs: counted.append(own(a, b, rows)) or counted[-1])
+    docs = spark.createDataFrame([(k, "\n".join(lines[10 * k : 10 * k + 10])) for k in range(len(lines) // 10)], "doc_id long, text string")
+    got = line_dedup.without_repeated_lines(docs)
+    assert got.agg(F.sum("n_removed")).first()[0] == len(lines) - 1
+    assert sum(p.count() for p in counted) < 20 * len(lines)
+
+
 def test_line_dedup_stays_in_the_jvm(spark, sf):
     plan = line_dedup.line_digests(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|BroadcastNestedLoop", plan)

@@ -16,7 +16,7 @@ def test_white_space_around_lines(spark):
         for line in text.split("\n"):
             own = line.strip(" \t\v\f\r")
             # the two long lines differ by one character
-            if own and any(own == s or min(len(own), len(s)) >= 24 for s in seen):
+            if own and any(own == s or min(len(own), len(s)) >= 40 for s in seen):
                 continue
             seen += [own] if own else []
             kept.append(line)
