@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,24 +30,45 @@ def ship_package(spark: SparkSession) -> None:
         context._shipped_package = at
 
 
-def python_tasks(spark: SparkSession, rows: int = 1024) -> None:
+def python_tasks(spark: SparkSession) -> None:
     """Prepare for Python in tasks: the package is there, and the rows of one Arrow batch are bounded, so that long
-    texts do not add up in a worker."""
+    texts do not add up in a worker. All operators ask for the same bound, as the setting is the session's."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, a folder of our own, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: The paths that are written inside a block of cleared(), innermost last.
+_written: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete what operators wrote for themselves inside the block. Their results must have been written by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

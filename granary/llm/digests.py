@@ -1,16 +1,20 @@
 """Operator 10: document fingerprints from improbable features.
 
-Every window of 16 bytes has an entropy. How often each level of entropy occurs is counted over all documents, and a
-window is the better a feature the rarer its level. In every neighbourhood of 32 windows the rarest one (the leftmost
-of equals) gets a point, and windows with enough points are the text's features. They go into a chain of Bloom
-filters of 2048 bits, at most 160 to each, in the order of the text. Two chains are alike as far as their filters'
-common bits go beyond chance: each filter of the shorter chain takes its best partner, and the mean, by the filters'
-set bits, is the likeness.
+A window of 16 bytes begins at every byte of a text (zero bytes stand behind its end) and has an entropy. How often
+each level of entropy occurs is counted over all documents, and a window is the better a feature the rarer its level.
+In every neighbourhood of windows the rarest one (the leftmost of equals) gets a point, and the windows with enough
+points are chosen. They are chosen twice, by one rule for texts of every length: neighbourhoods of 32 windows choose
+features of 16 bytes, and neighbourhoods that grow with the text, so that it has some 30 to 60 of them, choose features
+of 5 bytes. In a text of a few words the latter are all its runs of 5 bytes, in a long one they are few beside the
+others. Features go into a chain of Bloom filters of 2048 bits, at most 160 to each, in the order of the text. Two
+chains are alike as far as their filters' common bits go beyond chance: each filter of the shorter chain takes its
+best partner, and the mean, by the filters' set bits, is the likeness.
 
 Entropies are sums of integers, so a window's level does not depend on the text around it or on the machine. Null
 text counts as empty; an empty text has the empty fingerprint, which is like another empty one (1) and unlike any
-other (0). Texts under 64 bytes have all their windows of 5 bytes as features, or the whole text. Equal texts have equal fingerprints, and
-equal fingerprints have likeness 1. Null keys come first. Only key and text are read.
+other (0). Equal texts have equal fingerprints, and equal fingerprints have likeness 1. Null keys come first, and rows
+of one key by a hash of their texts, so very many of them lie in several tasks. Keys are whole numbers. A very long
+text is read whole, in one row; an empty table gives no rows. Only key and text are read.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .ordering import with_next
 
-WINDOW, NEIGHBOURS, POINTS = 16, 32, 8
-SHORT, SHORT_WINDOW = 64, 5
+#: Bytes of a window, windows of a neighbourhood, and the share of a neighbourhood's size that is enough points.
+WINDOW, NEIGHBOURS, ENOUGH = 16, 32, 4
+#: Bytes of a small feature, and the neighbourhoods that a text has for them at least.
+SMALL, SMALL_COUNT = 5, 16
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 LEVELS = 1000
 _SCALE = 1 << 16
@@ -54,18 +60,20 @@ def levels(data: np.ndarray) -> np.ndarray:
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]).tolist()
+    """The texts one after another with zero bytes behind each, and where each begins."""
+    data = np.frombuffer(b"".join(x for t in texts for x in (t, bytes(WINDOW - 1))), np.uint8)
+    return data, np.cumsum([0, *(len(t) + WINDOW - 1 for t in texts)]).tolist()
 
 
 def histogram(texts: list[bytes]) -> np.ndarray:
     """How many windows of the texts have each level."""
     out = np.zeros(LEVELS + 1, np.int64)
     data, at = _joined(texts)
-    if len(data) >= WINDOW:
+    if any(texts):
         found = levels(data)
-        for a, b in zip(at, at[1:], strict=False):
-            if b - a >= WINDOW:
-                out += np.bincount(found[a : b - WINDOW + 1], minlength=LEVELS + 1)
+        for t, a in zip(texts, at, strict=False):
+            if t:
+                out += np.bincount(found[a : a + len(t)], minlength=LEVELS + 1)
     return out
 
 
@@ -77,9 +85,9 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chosen(rank: np.ndarray) -> np.ndarray:
-    """Places of the windows that are the rarest of enough neighbourhoods."""
-    n, width = len(rank), min(NEIGHBOURS, len(rank))
+def _chosen(rank: np.ndarray, width: int) -> np.ndarray:
+    """Places of the windows that are the rarest of enough neighbourhoods of so many windows."""
+    n, width = len(rank), min(width, len(rank))
     low = rank << 32 | np.arange(n)
     reach = 1
     while 2 * reach <= width:
@@ -88,21 +96,29 @@ def _chosen(rank: np.ndarray) -> np.ndarray:
     if rest := width - reach:
         low = np.minimum(low[:-rest], low[rest:])
     points = np.bincount(low & 0xFFFFFFFF, minlength=n)
-    found = np.flatnonzero(points >= min(POINTS, n - width + 1))
+    # a text has n - width + 1 neighbourhoods; no window can have more points than there are
+    found = np.flatnonzero(points >= max(1, min(width // ENOUGH, n - width + 1)))
     return found if len(found) else np.array([int(points.argmax())])
 
 
-def chain(text: bytes, rank: np.ndarray | None) -> list[bytes]:
-    """The text's Bloom filters; rank: of its windows, None if it is a short one."""
+def features(text: bytes, rank: np.ndarray) -> list[bytes]:
+    """The features of a text that is not empty, each once, in its order; rank: of the windows at its bytes."""
+    padded = text + bytes(WINDOW - 1)
+    small = max(1, len(text) - SMALL + 1)
+    places = [(k, WINDOW) for k in _chosen(rank, NEIGHBOURS).tolist()] + [(k, SMALL) for k in _chosen(rank[:small], max(1, small // SMALL_COUNT)).tolist()]
+    return list(dict.fromkeys(padded[k : k + size] for k, size in sorted(places)))
+
+
+def chain(text: bytes, rank: np.ndarray) -> list[bytes]:
+    """The text's Bloom filters; rank: of the windows at its bytes."""
     if not text:
         return []
-    features = [text[k : k + SHORT_WINDOW] for k in range(max(1, len(text) - SHORT_WINDOW + 1))] if rank is None else [text[k : k + WINDOW] for k in _chosen(rank).tolist()]
-    features = list(dict.fromkeys(features))
+    found = features(text, rank)
     # five places of eleven bits each from a feature's hash
-    hashes = np.array([xxhash.xxh3_64_intdigest(f) for f in features], np.uint64)
+    hashes = np.array([xxhash.xxh3_64_intdigest(f) for f in found], np.uint64)
     places = (hashes[:, None] >> (11 * np.arange(HASHES, dtype=np.uint64))) & np.uint64(FILTER_BITS - 1)
     out = []
-    for k in range(0, len(features), FILTER_FEATURES):
+    for k in range(0, len(found), FILTER_FEATURES):
         bits = np.zeros(FILTER_BITS, np.uint8)
         bits[places[k : k + FILTER_FEATURES].ravel().astype(np.int64)] = 1
         out.append(np.packbits(bits).tobytes())
@@ -111,8 +127,8 @@ def chain(text: bytes, rank: np.ndarray | None) -> list[bytes]:
 
 def chains(texts: list[bytes], table: np.ndarray) -> list[list[bytes]]:
     data, at = _joined(texts)
-    rank = table[levels(data)] if len(data) >= WINDOW else None
-    return [chain(t, rank[a : a + len(t) - WINDOW + 1] if len(t) >= SHORT else None) for t, a in zip(texts, at, strict=False)]
+    rank = table[levels(data)] if any(texts) else data
+    return [chain(t, rank[a : a + len(t)]) for t, a in zip(texts, at, strict=False)]
 
 
 def likeness(a: list[bytes], b: list[bytes]) -> float:

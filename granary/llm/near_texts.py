@@ -125,15 +125,20 @@ def labels(held: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST)
     # copies are reduced to one entry before they are dealt out
     entries = rows.select("id", "n", F.posexplode("prefix").alias("pos", "key")).groupBy("key", "id").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     entries = entries.repartition("key")
-    of_key = Window.partitionBy("key")
-    entries = entries.withColumn("one", F.min(F.struct("id", "n", "pos")).over(of_key)).withColumn("last", F.max("id").over(of_key))
-    entries = written(entries.where("last != one.id").drop("last"), "entries")
-
-    star = entries.where((F.col("id") != F.col("one.id")) & _can(least, F.col("n"), F.col("pos"), F.col("one.n"), F.col("one.pos")))
-    links = _verified(star.select(F.col("id").alias("a"), F.col("one.id").alias("b")), firsts, held, words, least)
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    entries = written(entries.join(shared, "key"), "entries")
+
+    # the text whose shingles most others have stands for each of its shingles; each text meets one of those only
+    degree = entries.groupBy("id").agg(F.sum("held").alias("degree"))
+    ranked = entries.join(degree, "id")
+    heads = ranked.groupBy("key").agg(F.max(F.struct("degree", "id", "n", "pos")).alias("one"))
+    star = ranked.join(heads, "key").where((F.col("id") != F.col("one.id")) & _can(least, F.col("n"), F.col("pos"), F.col("one.n"), F.col("one.pos")))
+    met = star.groupBy("id", F.col("one.id").alias("one")).agg(F.count(F.lit(1)).alias("times"), F.max("one.degree").alias("degree"))
+    best = met.groupBy("id").agg(F.max(F.struct("times", "degree", "one"))["one"].alias("one"))
+    links = _verified(best.select(F.col("id").alias("a"), F.col("one").alias("b")), firsts, held, words, least)
 
     known = components(links).select(F.col("node").alias("id"), "root")
-    placed = entries.drop("one").join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = entries.drop("held").join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("largest"))
     placed = written(placed.join(most, "key"), "placed")

@@ -11,48 +11,70 @@ from pyspark.sql import functions as F
 from .common import shuffle_width
 
 
+#: What a null key counts as where keys are compared.
+NO_KEY = -(1 << 63)
+
+
+def comparable(key: F.Column) -> F.Column:
+    return F.coalesce(key.cast("long"), F.lit(NO_KEY))
+
+
 def range_bounds(docs: DataFrame, key: str, count: int) -> list[int]:
-    """At most count - 1 bounds that cut the keys into ranges of about equal size; read from the key column alone."""
+    """count - 1 bounds, ascending, that cut the rows into ranges of about equal size; read from the key column alone.
+
+    A key that fills several ranges is a bound several times.
+    """
     if count < 2:
         return []
-    found = docs.agg(F.percentile_approx(F.col(key).cast("long"), [k / count for k in range(1, count)], 100 * count).alias("b")).first()["b"]
-    return sorted(set(found or []))
+    found = docs.agg(F.percentile_approx(comparable(F.col(f"`{key}`")), [k / count for k in range(1, count)], 100 * count).alias("b")).first()["b"]
+    return sorted(found or [])
+
+
+def range_of(key: F.Column, tie: F.Column, bounds: list[int]) -> F.Column:
+    """The number of the range that a row lies in, by a search of the bounds in as many steps as their logarithm.
+
+    Rows in order of (key, tie) have ascending numbers. tie: a hash; a key that is a bound several times is dealt to
+    all of its ranges by it.
+    """
+    places: dict[int, list[int]] = {}
+    for k, b in enumerate(bounds):
+        places.setdefault(b, []).append(k)
+    known = [(b, at[0], len(at)) for b, at in places.items()]
+    own = comparable(key)
+    share = (F.shiftright(tie, 33) + (1 << 30)).cast("double") / (1 << 31)
 
+    def search(low: int, high: int) -> F.Column:
+        if low == high:
+            return F.lit(known[low - 1][1] + known[low - 1][2] if low else 0)
+        mid = (low + high) // 2
+        bound, first, times = known[mid]
+        equal = F.lit(first) if times == 1 else (F.lit(first) + F.floor(share * (times + 1))).cast("int")
+        return F.when(own < bound, search(low, mid)).when(own == bound, equal).otherwise(search(mid + 1, high))
 
-def range_of(key: F.Column, bounds: list[int]) -> F.Column:
-    """The number of the range that a key lies in; nulls lie in the first."""
-    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < key)) if bounds else F.lit(0)
-    return F.when(key.isNull(), 0).otherwise(below).cast("int")
+    return search(0, len(known)).cast("int")
 
 
 def with_next(docs: DataFrame, key: str, text: str, work: Callable[[list[tuple], str], list[tuple]], schema: str, arrow: pa.Schema, size: int = 300_000) -> DataFrame:
     """work([(key, text), ...], text of the row after the last) gives the rows of the result, for runs of rows.
 
-    Order: nulls first, then ascending keys, ties by text; the row after the last is the first. Null texts are empty.
-    Each range of keys is a partition; its last row needs the first row of the next range, which is sent along. Those
-    first rows are found by an aggregation, one for each range.
+    Order: nulls first, then ascending keys, ties by a hash of the text; the row after the last is the first. Null
+    texts are empty. Each range of rows is a partition; its last row needs the first row of the next range, which is
+    sent along. Those first rows are found by an aggregation, one for each range.
     """
     count = shuffle_width(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    bounds = range_bounds(rows, "k", count)
-    rows = rows.withColumn("r", range_of(F.col("k"), bounds))
-    found = {x.r: (x.k, x.nulls) for x in rows.groupBy("r").agg(F.min("k").alias("k"), F.count_if(F.col("k").isNull()).alias("nulls")).collect()}
-    order = sorted(found)
-    after = dict(zip(order, [*order[1:], *order[:1]], strict=True))
-    before = {b: a for a, b in after.items()}
-    heads = {r: k for r, (k, nulls) in found.items() if not nulls}
-    parts = [rows.select("r", F.lit(0).alias("head"), "k", "t")]
-    if heads:
-        # the first row of a range goes to the range before it
-        to = F.element_at(F.create_map(*(F.lit(x) for r, k in heads.items() for x in (k, before[r]))), F.col("k"))
-        parts.append(rows.where(F.col("k").isin(list(heads.values()))).groupBy("k").agg(F.min("t").alias("t")).select(to.alias("r"), F.lit(1).alias("head"), "k", "t"))
-    for r in found.keys() - heads.keys():
-        first = rows.where("k is null").agg(F.min("t").alias("t"))
-        parts.append(first.select(F.lit(before[r]).alias("r"), F.lit(1).alias("head"), F.lit(None).cast("long").alias("k"), "t"))
-    dealt = parts[0]
-    for p in parts[1:]:
-        dealt = dealt.unionByName(p)
-    dealt = dealt.repartition(count, "r").sortWithinPartitions("r", "head", F.asc_nulls_first("k"), "t")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = rows.withColumn("r", range_of(F.col("k"), F.col("h"), range_bounds(docs, key, count)))
+    first = {x.r: x.first for x in rows.groupBy("r").agg(F.min(F.struct(comparable(F.col("k")).alias("k"), "h")).alias("first")).collect()}
+    order = sorted(first)
+    before = dict(zip([*order[1:], *order[:1]], order, strict=True))
+    dealt = rows.select("r", F.lit(0).alias("head"), "k", "h", "t")
+    if first:
+        # the first row of a range goes to the range before it too
+        known = docs.sparkSession.createDataFrame([(r, before[r], x.k, x.h) for r, x in first.items()], "r int, before int, first_k long, first_h long")
+        heads = rows.where(comparable(F.col("k")).isin(list({x.k for x in first.values()}))).join(F.broadcast(known), "r")
+        heads = heads.where((comparable(F.col("k")) == F.col("first_k")) & (F.col("h") == F.col("first_h"))).groupBy("before").agg(F.min("k").alias("k"), F.min("h").alias("h"), F.min("t").alias("t"))
+        dealt = dealt.unionByName(heads.select(F.col("before").alias("r"), F.lit(1).alias("head"), "k", "h", "t"))
+    dealt = dealt.repartitionById(count, F.col("r")).sortWithinPartitions("r", "head", F.asc_nulls_first("k"), "h", "t").select("r", "head", "k", "t")
 
     def runs(batches) -> Iterator[list[tuple]]:
         held: list[tuple] = []

@@ -2,8 +2,12 @@
 
 A document's ids (with its end id) are cut into pieces whose lengths are powers of two: as many of the longest as
 fit, then the binary digits of the rest, long ones first. Pieces of one length form a bucket, and each piece is a
-sequence of its own, so no sequence crosses documents and none needs padding. Sequences are numbered without gaps,
-the longest bucket first.
+sequence of its own, so no sequence crosses documents and none needs padding.
+
+A sequence's number is made where the piece is cut, of its bucket, the task and its rank among the task's pieces of
+that bucket, so packing is one pass without a shuffle, a window or a second read, and nothing is sent around. Numbers
+are unique; they are dense within a task's bucket only. They hold 2^23 tasks of 2^36 pieces a bucket: 100 TB of text
+are some 25 * 10^12 ids, so 10^11 pieces or so in 10^6 tasks of 128 MB, 10^5 pieces each.
 
 Null or empty text: one piece that holds the end id. Null keys and repeated rows are packed like any other row.
 Very long texts give many pieces. An empty table gives no rows. Only key and text are read, so extra columns of any
@@ -16,14 +20,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.taskcontext import TaskContext
 
 from . import pretokens
-from .common import written
 
 LONGEST = 2048
+#: Pieces that a task holds before it passes them on.
+ROWS = 4096
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -31,9 +35,24 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in reversed(range(longest.bit_length() - 1)) if n % longest >> b & 1]
 
 
-def pieces(docs: DataFrame, file: str, end_id: int, longest: int = LONGEST, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each piece, with its place (task, rank) among the task's pieces of its length."""
+def sequence_number(bucket: int, task: int, rank: int) -> int:
+    """One number for a bucket (under 16; the longest first), a task under 2^23 and a rank under 2^36."""
+    if bucket >> 4 or task >> 23 or rank >> 36:
+        raise OverflowError(f"bucket {bucket}, task {task} and rank {rank} do not fit in one number")
+    return bucket << 59 | task << 36 | rank
+
+
+def pack(docs: DataFrame, file: str, end_id: int, longest: int = LONGEST, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """key, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for) of every piece."""
     kind = docs.schema[key].dataType.simpleString()
+    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+
+    def batch(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        arrays = [keys.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:6]), pa.array(np.zeros(len(rows), np.int64))]
+        if with_ids:
+            arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[6]], pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def cut(parts):
         task, ranks = TaskContext.get().partitionId(), {}
@@ -46,32 +65,17 @@ def pieces(docs: DataFrame, file: str, end_id: int, longest: int = LONGEST, key:
                 for length in piece_lengths(n, longest):
                     own = ids[4 * start : 4 * (start + length)]
                     rank = ranks[length] = ranks.get(length, -1) + 1
-                    rows.append((k, start, length, zlib.crc32(own), n, task, rank, own))
+                    rows.append((k, start, length, zlib.crc32(own), n, sequence_number(16 - length.bit_length(), task, rank), own if with_ids else None))
                     start += length
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            arrays = [keys.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:7])]
-            if with_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[7]], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, "start", "length", "ids_crc32", "doc_tokens", "task", "rank", *["ids"] * with_ids])
+                    if len(rows) >= ROWS:
+                        yield batch(keys, rows)
+                        rows = []
+            yield batch(keys, rows)
 
-    schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long" + ", ids array<int>" * with_ids
+    schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(key, text).mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, file: str, end_id: int, longest: int = LONGEST, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """key, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for) of every piece.
-
-    The pieces are written once; a sequence's number is its rank in its task and bucket plus the sizes of what comes
-    before. Those sizes are a row for each task and bucket, at most 12 times the tasks, whatever the input's size.
-    """
-    cut = written(pieces(docs, file, end_id, longest, key, text, with_ids), "pieces")
-    sizes = cut.groupBy("length", "task").agg((F.max("rank") + 1).alias("size"))
-    before = Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "task", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    out = cut.join(F.broadcast(bases), ["length", "task"])
-    return out.select(key, "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)
-
-
 def write_buckets(docs: DataFrame, path: str, file: str, end_id: int, longest: int = LONGEST) -> None:
     """Training files: the sequences' ids, a folder for each length."""
     pack(docs, file, end_id, longest, with_ids=True).write.partitionBy("length").parquet(path)

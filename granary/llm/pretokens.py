@@ -27,8 +27,8 @@ _WORDS = re.compile(f"{_SUFFIXES}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{N
 #: What the fast split does not cover. U+0130 is left out because its lower case is two code points.
 _BEYOND_BYTES = re.compile("[^\u0001-įı-ſ]|  |<\\|")
 _BEYOND_WORDS = re.compile("[^\u0000-\u001b -įı-ſ]|<\\|")
-#: Chunks that one worker remembers; beyond it the dictionary starts anew.
-REMEMBERED = 500_000
+#: Bytes, by estimate, that one worker remembers for one file; beyond it the dictionary starts anew.
+REMEMBERED = 120_000_000
 
 
 def path(name: str) -> str:
@@ -101,13 +101,17 @@ class Remembered:
 
     def __init__(self, file: str, values_of: Callable[[list[list[str]]], list], limit: int = REMEMBERED):
         self.chunks, self.pieces = FAST.get(os.path.basename(file), (lambda _: None, None))
-        self.values_of, self.limit, self.known = values_of, limit, {}
+        self.values_of, self.limit, self.known, self.held = values_of, limit, {}, 0
 
     def learn(self, batch: list[list[str]]) -> dict:
+        """What is known, with all chunks of the batch. A chunk counts for its text, its value and their objects."""
         seen = set().union(*batch)
-        if len(self.known) + len(seen) > self.limit:
-            self.known = {}
         unknown = list(seen.difference(self.known))
+        size = sum(map(len, unknown)) * 6 + 200 * len(unknown)
+        if self.held + size > self.limit:
+            self.known, self.held, unknown = {}, 0, list(seen)
+            size = sum(map(len, unknown)) * 6 + 200 * len(unknown)
+        self.held += size
         split = [[byte_level(p) for p in self.pieces(c)] for c in unknown]
         self.known.update(zip(unknown, self.values_of(split), strict=True))
         return self.known
@@ -119,6 +123,8 @@ class Remembered:
             value = self.learn([p for p in parts if p is not None]).__getitem__
             for text, part in zip(batch, parts, strict=True):
                 yield whole(text) if part is None else list(map(value, part))
+            if self.held > self.limit:
+                self.known, self.held = {}, 0
 
 
 def batches(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str]]:

@@ -7,13 +7,24 @@ shrinks at all, and its worst piece, stand beside it. A logistic calibration, fi
 dictionary, turns these sizes into a probability of label 1.
 
 Only the text is an input of a score. Labels are read for fitting alone, from rows whose crc32(key as text) mod 5 is
-not 0: remainders 1 and 2 build the dictionaries, 3 and 4 calibrate. Null text counts as empty, and the empty text
-has a score like any other. Equal texts get equal scores. Null labels are not used. Where a class has no labelled
-row, every score is the share of label 1 (0.5 without any labels). Extra columns are not read.
+not 0: remainders 1 and 2 build the dictionaries, 3 and 4 calibrate.
+
+The fit reads a bounded sample: of each class and part at most FIT_ROWS labelled keys, those of the smallest hash, and
+of their texts, in that order, each that still fits in FIT_BYTES; one that does not fit is passed over, so a text of
+more than FIT_BYTES never takes part in the fit. First the keys and the sizes of their texts come to the driver, then
+the chosen texts: 4 * FIT_BYTES at most. Which rows are chosen does not depend on their order in the table: a key with
+labels of both classes is not used, and of several texts of one key the shortest is (of equal lengths the first).
+
+Scores cover all rows and whole texts; very long ones are compressed piece by piece. Null text counts as empty, and
+the empty text has a score like any other. Equal texts get equal scores, and repeated rows are scored like any others.
+Null labels are not used. Where a class has no labelled row, every score is the share of label 1 (0.5 without any
+labels). An empty table gives no rows. Extra columns are not read, and score and predicted replace columns of those
+names.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,33 +116,49 @@ def remainder(key: str) -> F.Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> QualityModel:
-    """Fit on at most rows labelled rows of each class and part (those of the smallest hash), and size bytes of each."""
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, size: int) -> dict[tuple[int, int], list[str]]:
+    """The texts of the fit by (class, part)."""
     spark = docs.sparkSession
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).alias("y"), remainder(key).alias("r")).where("r != 0")
-    known = known.withColumn("part", F.when(F.col("r") <= 2, 0).otherwise(1)).withColumn("h", F.xxhash64(key))
-    chosen = [r for y in (0, 1) for part in (0, 1) for r in known.where((F.col("y") == y) & (F.col("part") == part)).dropDuplicates([key]).orderBy("h", key).limit(rows).select(key, "y", "part", "h").collect()]
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
+    known = known.select(key, F.col("y").cast("int").alias("y"), F.when(remainder(key) <= 2, 0).otherwise(1).alias("part"), F.xxhash64(key).alias("h")).where(remainder(key) != 0)
+    tops = [known.where((F.col("y") == y) & (F.col("part") == part)).orderBy("h", key).limit(rows) for y in (0, 1) for part in (0, 1)]
+    chosen = functools.reduce(DataFrame.unionByName, tops).collect()
     if not chosen:
+        return {}
+
+    def of(found: list) -> DataFrame:
+        ids = spark.createDataFrame([(r[key],) for r in found], known.select(key).schema)
+        return docs.select(key, F.col(text).alias("text")).join(F.broadcast(ids), key).where("text is not null").groupBy(key)
+
+    sizes = {r[key]: r.n for r in of(chosen).agg(F.min(F.octet_length("text")).alias("n")).collect()}
+    held, taken = {}, []
+    for r in sorted(chosen, key=lambda r: (r.h, r[key])):
+        k = r.y, r.part
+        if r[key] in sizes and held.get(k, 0) + sizes[r[key]] <= size:
+            held[k] = held.get(k, 0) + sizes[r[key]]
+            taken.append(r)
+    texts = {r[key]: r.text for r in of(taken).agg(F.min(F.struct(F.octet_length("text"), "text"))["text"].alias("text")).collect()} if taken else {}
+    out: dict[tuple[int, int], list[str]] = {}
+    for r in taken:
+        out.setdefault((r.y, r.part), []).append(texts[r[key]])
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> QualityModel:
+    """Fit on at most rows labelled keys of each class and part (those of the smallest hash), and size bytes of each."""
+    texts = _sample(docs, labels, key, text, label, rows, size)
+    if not texts:
         return QualityModel(None, np.array([0.5]), np.ones(1), np.ones(1))
-    ids = spark.createDataFrame(chosen, known.select(key, "y", "part", "h").schema)
-    found = docs.select(key, F.col(text).alias("text")).join(F.broadcast(ids), key).dropDuplicates([key]).withColumn("n", F.octet_length("text")).where(F.col("n").isNotNull())
-    texts: dict[tuple[int, int], list[str]] = {}
-    held: dict[tuple[int, int], int] = {}
-    for r in sorted(found.where(F.col("n") <= size // 10).collect(), key=lambda r: (r.h, r[key])):
-        k = (r.y, r.part)
-        if held.get(k, 0) + r.n <= size:
-            held[k] = held.get(k, 0) + r.n
-            texts.setdefault(k, []).append(r.text)
     if not all(texts.get((y, part)) for y in (0, 1) for part in (0, 1)):
         n = [sum(len(texts.get((y, part), ())) for part in (0, 1)) for y in (0, 1)]
-        return QualityModel(None, np.array([n[1] / sum(n) if sum(n) else 0.5]), np.ones(1), np.ones(1))
+        return QualityModel(None, np.array([n[1] / sum(n)]), np.ones(1), np.ones(1))
     compressors = Compressors(*(_dictionary(texts[y, 0]) for y in (1, 0)))
     x = np.array([compressors.features(t) for y in (0, 1) for t in texts[y, 1]])
     return QualityModel(compressors, *_calibrated(x, np.repeat([0.0, 1.0], [len(texts[0, 1]), len(texts[1, 1])])))
 
 
-def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs with score and predicted, which replace columns of those names; one pass, no shuffle."""
+def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score and predicted (or what names says), which replace columns of those names; one pass, no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 32 KB and ten numbers
 
     @F.pandas_udf("double")
@@ -140,7 +167,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
 
         return pd.Series(held.value.scores(texts.tolist()))
 
-    return docs.withColumn("score", of(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn(names[0], of(F.col(text))).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    python_tasks(spark, 256)
+    python_tasks(spark)
     return html_text.page_texts(table(spark, sf_dir, "pages"))
 
 

@@ -7,7 +7,8 @@ the join emits none but links that hold, each once. Components of the links come
 
 Null text counts as empty. A text without words has fingerprint zero and is linked like any other; fewer words than
 a shingle has make one shingle. Repeated rows share a fingerprint. A row with a null key belongs to its
-fingerprint's component and never names it. An empty table gives no rows. Other columns are not read.
+fingerprint's component and never names it. A very long text is read whole, in one row. An empty table gives no rows.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_width, written
 from .components import components
 
 BITS, SHINGLE, SEED = 64, 3, 42
@@ -99,7 +100,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     key reachable over links, the row's own included) of every row."""
     rows = written(fingerprints(docs, key, text, words, keep), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min(key).alias("least"))
-    label = components(links(classes.select("fp"), most))
+    # dealt out before each fingerprint becomes many probes, to as many tasks as there are
+    label = components(links(classes.select("fp").repartition(shuffle_width(docs.sparkSession), "fp"), most))
     # the fingerprint that stands for a component need not be that of its smallest key
     named = classes.join(label, classes.fp == label.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))

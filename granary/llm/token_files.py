@@ -12,8 +12,9 @@ A reader takes the two tables from the file's end and then only the frames of th
 checksum differs raises an error. Files are cut by ranges of the key, ordered inside, and named by range, so a task
 that runs again writes the same file again (under a temporary name first).
 
-Null or empty text: no ids but the end id. Null keys come first, by themselves. Rows that repeat a key are kept, in the order of their
-frames' bytes. An empty table gives no file. Only key and text are read, so extra columns do no harm.
+Null or empty text: no ids but the end id. Keys are whole numbers; null keys come first. Rows that repeat a key are
+kept, in the order of a hash of their frames, and a key that many rows have fills several files. A very long text is
+one frame. An empty table gives no file. Only key and text are read, so extra columns do no harm.
 """
 
 from __future__ import annotations
@@ -111,12 +112,23 @@ class FrameReader:
 
     def ids(self, k: int) -> np.ndarray:
         """The ids of the k-th document: only its frame is read and decompressed."""
-        packed, size, checksum = map(int, self.table[k])
-        data = zstandard.ZstdDecompressor().decompress(self._at(int(self.offsets[k]), packed), max_output_size=size) if size else b""
+        return self._ids(k, self._at(int(self.offsets[k]), int(self.table[k, 0])))
+
+    def _ids(self, k: int, frame: bytes) -> np.ndarray:
+        size, checksum = map(int, self.table[k, 1:])
+        data = zstandard.ZstdDecompressor().decompress(frame, max_output_size=size) if size else b""
         if len(data) != size or _checksum(data) != checksum:
             raise ValueError(f"frame {k} of {self.uri} is damaged")
         return np.frombuffer(data, "<u4")
 
+    def runs(self, low: int, high: int, size: int = 8 << 20) -> Iterator[list[tuple[int, np.ndarray]]]:
+        """(k, ids) of the documents from low to high, in runs of about size bytes that are each read at once."""
+        while low < high:
+            end = min(high, max(low + 1, int(np.searchsorted(self.offsets, self.offsets[low] + size, "right")) - 1))
+            data = self._at(int(self.offsets[low]), int(self.offsets[end] - self.offsets[low]))
+            yield [(k, self._ids(k, data[self.offsets[k] - self.offsets[low] : self.offsets[k + 1] - self.offsets[low]])) for k in range(low, end)]
+            low = end
+
     def find(self, wanted: set[int | None]) -> Iterator[int]:
         return (k for k in range(len(self)) if self.key(k) in wanted)
 
@@ -165,8 +177,9 @@ def write_token_files(docs: DataFrame, uri: str, file: str, end_id: int, key: st
             rows.append((shard, len(writer.keys), writer.tokens))
         yield pa.RecordBatch.from_pylist([dict(zip(("shard", "documents", "tokens"), r, strict=True)) for r in rows], schema=pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
-    dealt = frames(docs, file, end_id, key, text).withColumn("shard", range_of(F.col("doc_id"), bounds)).repartition(ranges, "shard")
-    found = dealt.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "frame").mapInArrow(write, "shard int, documents long, tokens long").collect()
+    dealt = frames(docs, file, end_id, key, text).withColumn("h", F.xxhash64("frame"))
+    dealt = dealt.withColumn("shard", range_of(F.col("doc_id"), F.col("h"), bounds)).repartitionById(ranges, F.col("shard"))
+    found = dealt.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "h", "frame").drop("h").mapInArrow(write, "shard int, documents long, tokens long").collect()
     manifest, before = {"end_id": end_id, "files": []}, 0
     for r in sorted(found):
         manifest["files"].append({"name": f"{r.shard:06d}.zst", "documents": r.documents, "tokens": r.tokens, "start": before})
@@ -190,9 +203,9 @@ def _read(spark: SparkSession, uri: str, schema: str, to_batch, wanted: set | No
         for part in parts:
             for name, start, low, high in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 reader = FrameReader(f"{uri}/{name}")
-                chosen = range(low, high) if wanted is None else [k for k in reader.find(wanted) if low <= k < high]
-                for at in range(0, len(chosen), 512):
-                    yield to_batch([(reader.key(k), start + reader.start(k), reader.ids(k)) for k in chosen[at : at + 512]])
+                runs = reader.runs(low, high) if wanted is None else ([(k, reader.ids(k))] for k in reader.find(wanted) if low <= k < high)
+                for run in runs:
+                    yield to_batch([(reader.key(k), start + reader.start(k), ids) for k, ids in run])
 
     rows = spark.createDataFrame(work, "name string, start long, low long, high long")
     return rows.repartition(max(1, min(len(work), shuffle_width(spark) * 3))).mapInArrow(read, schema)

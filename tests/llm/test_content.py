@@ -58,6 +58,17 @@ def test_quality_on_held_out_rows(spark, sf):
     assert sum(r.predicted for r in held if r.quality) / sum(r.quality for r in held) > 0.95
 
 
+def test_quality_fit_does_not_depend_on_order(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    again = docs.select("doc_id", F.concat("text", F.lit(" and more"))).toDF("doc_id", "text").limit(50)
+    odd = labels.limit(5).withColumn("quality", 1 - F.col("quality"))
+    docs, labels = docs.select("doc_id", "text").unionByName(again), labels.unionByName(odd)
+    one, two = quality.fit(docs, labels), quality.fit(docs.orderBy(F.rand(1)), labels.orderBy(F.rand(2)))
+    assert one.compressors == two.compressors and one.weights.tolist() == two.weights.tolist()
+    sample = quality._sample(docs, labels, "doc_id", "text", "quality", 50, 20_000)
+    assert all(len(t) <= 50 and sum(len(x.encode()) for x in t) <= 20_000 for t in sample.values()) and len(sample) == 4
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, 5.0), (2, "", 5.0), (3, "text", 5.0), (None, "text", 5.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -121,10 +132,87 @@ def test_digests(spark):
     assert len({g.fingerprint for g in got if g.doc_id in (None, 0)}) == 1
     long = [g for g in got if g.n_chars > 300 and g.doc_id not in (None, 3)]
     assert all(0.5 < g.near_edited <= 1 and 0 <= g.near_next < 0.3 for g in long)
-    assert digests.read_from(long[0].fingerprint) == digests.chain(texts[long[0].doc_id].encode(), digests.rarity(docs)[digests.levels(np.frombuffer(texts[long[0].doc_id].encode(), np.uint8))])
     assert digests.edited_likeness(docs.where(F.lit(False))).count() == 0 and digests.edited_likeness(docs.where("doc_id = 1")).count() == 1
 
 
+def brute_fingerprint(text, rank_of):
+    """The filters as sets of bits, straight from the definition."""
+    import xxhash
+
+    data = text.encode()
+    if not data:
+        return []
+    padded = data + bytes(15)
+    rank = [rank_of[level(padded[k : k + 16])] for k in range(len(data))]
+
+    def chosen(ranks, width):
+        n, width = len(ranks), min(width, len(ranks))
+        points = [0] * n
+        for k in range(n - width + 1):
+            points[min(range(k, k + width), key=lambda i: (ranks[i], i))] += 1
+        enough = max(1, min(width // 4, n - width + 1))
+        return [k for k in range(n) if points[k] >= enough] or [points.index(max(points))]
+
+    small = max(1, len(data) - 4)
+    places = sorted([(k, 16) for k in chosen(rank, 32)] + [(k, 5) for k in chosen(rank[:small], max(1, small // 16))])
+    found = list(dict.fromkeys(padded[k : k + size] for k, size in places))
+    hashes = [xxhash.xxh3_64_intdigest(f) for f in found]
+    bits = [{h >> (11 * j) & 2047 for j in range(5)} for h in hashes]
+    return [set().union(*bits[k : k + 160]) for k in range(0, len(bits), 160)]
+
+
+def level(window):
+    scaled = [round(c * np.log2(c) * 65536) if c else 0 for c in (window.count(b) for b in range(256))]
+    return sum(scaled) * 1000 // round(16 * 4 * 65536)
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    if len(a) > len(b):
+        a, b = b, a
+    total = 0.0
+    for x in a:
+        scores = [(len(x & y) - len(x) * len(y) / 2048) / max(min(len(x), len(y)) - len(x) * len(y) / 2048, 1e-9) for y in b]
+        total += len(x) * max(0, min(1, max(scores)))
+    return total / sum(map(len, a))
+
+
+def test_digests_are_brute_force(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghé") for _ in range(r.randrange(2, 9))) for _ in range(200)]
+    texts = ["", "a", "abcd", "abcde", "abcdef"] + [" ".join(r.choice(words) for _ in range(n)) for n in (1, 2, 3, 5, 8, 9, 10, 11, 12, 13, 20, 60, 300)] + ["a" * 70, "short text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = np.zeros(1001, np.int64)
+    for t in texts:
+        padded = t.encode() + bytes(15)
+        for k in range(len(t.encode())):
+            counts[level(padded[k : k + 16])] += 1
+    rank_of = {lv: place for place, lv in enumerate(sorted(range(1000), key=lambda lv: (counts[lv], lv)))} | {1000: 1000}
+    prints = {k: brute_fingerprint(t, rank_of) for k, t in enumerate(texts)}
+
+    def bits(fingerprint):
+        return [set(np.flatnonzero(np.unpackbits(np.frombuffer(f, np.uint8))).tolist()) for f in digests.read_from(fingerprint)]
+
+    for g in digests.edited_likeness(docs).collect():
+        text, following = texts[g.doc_id], texts[(g.doc_id + 1) % len(texts)]
+        edited = brute_fingerprint(text[: len(text) - len(text) // 4] + following[: len(text) // 4], rank_of)
+        assert bits(g.fingerprint) == prints[g.doc_id] and bits(g.edited_fingerprint) == edited
+        assert g.near_edited == pytest.approx(brute_likeness(prints[g.doc_id], edited))
+        assert g.near_next == pytest.approx(brute_likeness(prints[g.doc_id], prints[(g.doc_id + 1) % len(texts)]))
+
+
+def test_digests_have_no_cliff(spark):
+    """Texts about 64 bytes long and everywhere else are like their copies with a byte more or less."""
+    r = random.Random(5)
+    letters = "".join(r.choice("abcdefghijklmnop ") for _ in range(400))
+    docs = spark.createDataFrame([(k, letters[:k]) for k in range(400)], "doc_id long, text string")
+    got = {g.doc_id: g.near_next for g in digests.edited_likeness(docs).collect()}
+    assert min(got[k] for k in range(24, 399)) > 0.6
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -104,7 +104,9 @@ def test_damage_and_plain_readers(spark, tmp_path):
 
 def test_packing(spark, docs):
     rows = packing.pack(docs, BYTE, 1, longest=64, with_ids=True).collect()
-    assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
+    assert len({r.sequence_id for r in rows}) == len(rows) and all(0 <= r.sequence_id < 1 << 63 for r in rows)
+    plan = packing.pack(docs, BYTE, 1)._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "Window" not in plan and "Exchange" not in plan
     assert all(r.length & (r.length - 1) == 0 and r.length <= 64 and r.offset == 0 and zlib.crc32(packed(r.ids)) == r.ids_crc32 for r in rows)
     by_length = sorted(rows, key=lambda r: r.sequence_id)
     assert [r.length for r in by_length] == sorted((r.length for r in rows), reverse=True)
@@ -114,6 +116,42 @@ def test_packing(spark, docs):
             assert [i for r in own for i in r.ids] == ids + [1] and all(r.doc_tokens == len(ids) + 1 for r in own)
 
 
+def test_sequence_numbers_do_not_meet():
+    assert packing.sequence_number(15, (1 << 23) - 1, (1 << 36) - 1) == (1 << 63) - 1
+    with pytest.raises(OverflowError):
+        packing.sequence_number(0, 1 << 23, 0)
+
+
+def test_long_pieces_and_what_is_remembered():
+    import time
+
+    r = random.Random(3)
+    began = time.time()
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ab", "a", "0123456789+/ABCDEF", "é世a"):
+        texts = ["".join(r.choice(alphabet) for _ in range(n)) for n in (63, 64, 65, 500, 20_000)]
+        assert token_counts.count_texts(texts, BYTE) == [len(i) for i in ids_of(texts, BYTE)]
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    assert token_counts.count_texts([long], BYTE) == [len(i) for i in ids_of([long], BYTE)]
+    assert time.time() - began < 60
+    small = pretokens.Remembered(BYTE, lambda chunks: [len(c) for c in chunks], limit=1_000_000)
+    for k in range(60):  # texts without spaces are one chunk each
+        list(small.over([f"{k}" + "x" * 20_000], len))
+        assert small.held <= 1_000_000 and sum(map(len, small.known)) * 6 <= 1_000_000
+
+
+def test_ranges_split_a_hot_key(spark):
+    from granary.llm.ordering import range_bounds, range_of
+
+    rows = [(7 if k % 3 else None if k % 2 else k, k) for k in range(6000)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    bounds = range_bounds(df, "k", 12)
+    got = df.select("k", F.xxhash64("v").alias("h"), range_of(F.col("k"), F.xxhash64("v"), bounds).alias("r")).collect()
+    assert len(bounds) == 11 and {x.r for x in got} <= set(range(12))
+    ordered = sorted(got, key=lambda x: (x.k is not None, x.k or 0, x.h))
+    assert [x.r for x in ordered] == sorted(x.r for x in got)
+    assert max(sum(x.r == r for x in got) for r in range(12)) < 1000
+
+
 def test_piece_lengths():
     assert packing.piece_lengths(0) == [] and packing.piece_lengths(5000) == [2048, 2048, 512, 256, 128, 8]
     assert all(sum(packing.piece_lengths(n)) == n for n in range(5000))
