@@ -226,3 +226,22 @@ def test_pipeline(spark, sf):
     assert counts[0] == counts[1] > counts[2] > 0
     rows = corpus_pipeline.run(spark, sf).collect()
     assert len({r.doc_id for r in rows}) == counts[2]
+
+
+def test_pipeline_edges(spark, sf, tmp_path):
+    """Clashing columns keep their values; null and repeated keys, empty and very long texts, and an empty table pass."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "n_chars")
+    good = docs.orderBy("doc_id").limit(1).first().text
+    odd = spark.createDataFrame([(None, good, 7), (None, None, 0), (3, "", 0), (3, "", 0), (4, good + "\n" + "a very long line of prose " * 40_000, 1)], "doc_id long, text string, n_chars long")
+    docs = docs.unionByName(odd).withColumns({"score": F.lit(-5.0), "Predicted": F.lit("p"), "n_lines": F.lit(-1), "n_removed": F.lit("r"), "x": F.lit(1), "d": F.lit(2), "id": F.lit(3)})
+    for at, rows in (("all", docs), ("none", docs.where(F.lit(False)))):
+        rows.write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/{at}/labels.parquet")
+    left = spark.read.parquet(f"{tmp_path}/all/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, f"{tmp_path}/all")
+        assert left.columns == docs.columns
+        assert [tuple(r) for r in left.select("score", "Predicted", "n_lines", "n_removed", "x", "d", "id").distinct().collect()] == [(-5.0, "p", -1, "r", 1, 2, 3)]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
