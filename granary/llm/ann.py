@@ -3,15 +3,23 @@
 Vectors are cut into subspaces of two dimensions with 16 centres each, so a vector is a code of four bits for each.
 Codebooks and codes minimise an anisotropic loss: the part of the residual along the vector counts more than the part
 across it, as it is the former that changes large inner products. A scan adds up table entries by code (two codes to
-a table of 256), in cells of a block of queries and a block of candidates; each cell reranks its best candidates by
-the exact inner product in double precision, and a query's best over all cells are its result.
-
-The codebooks are fitted on at most SAMPLE vectors (those of the smallest hash); every vector is encoded. Null
-vectors, zero vectors and vectors with null or non-finite components take no part, nor do rows without a key, nor
-vectors whose length is not the sample's commonest. A query is no candidate of its own. Ties go to the smaller key.
-Of exactly equal vectors the k + 1 smallest keys can be in a result at most, so only those are candidates; that loses
-nothing and keeps large groups of copies out of the cells. Rows that repeat a key count once. Blocks are dealt by a
-hash of the key and bounded in size, whatever the table's. Only key and vector are read.
+a table of 256), in cells of a block of queries and a block of candidates; a cell sorts its best candidates again by a
+byte for each component, and passes on a few more than are asked for. The best of all cells meet their vectors by a
+join and are ranked by the exact inner product in double precision.
+
+So a cell gets codes and bytes only, some 100 bytes a candidate where a vector of 64 doubles has 512; vectors move
+once for each neighbour that is reranked, whatever the count of blocks. Queries meet all candidates: a coarse
+partition was measured and left out, as it would have to be searched by half for nine tenths of the neighbours (see
+the README).
+
+The codebooks are fitted on at most SAMPLE vectors (those of the smallest hash), which come to the driver; every
+vector is encoded. Null vectors, zero vectors and vectors with null or non-finite components take no part, nor do rows
+without a key, nor vectors whose length is not the sample's commonest (an inner product needs equal lengths). A query
+is no candidate of its own. Ties go to the smaller key. Of exactly equal vectors the k + 1 smallest keys can be in a
+result at most, so only those are candidates; that loses nothing and keeps large groups of copies out of the cells.
+Rows that repeat a key count once. Keys are whole numbers. Blocks are dealt by a hash of the key and bounded in size,
+whatever the table's. An empty table gives no rows, and so does one without a vector that takes part. Only key and
+vector are read.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +37,8 @@ from .common import shuffle_width, written
 SAMPLE, CENTRES, WIDTH = 20_000, 16, 2
 #: Rows of a block: of queries at most, of candidates at most, and of candidates at least where more blocks would only give more tasks.
 QUERY_BLOCK, CANDIDATE_BLOCK, LEAST_BLOCK = 4096, 32_768, 4096
+#: Neighbours beyond those asked for that are passed on to the exact reranking.
+MARGIN = 12
 
 
 @dataclass
@@ -98,10 +109,19 @@ def fit_codebook(sample: np.ndarray, threshold: float = 0.2, rounds: int = 8, se
     return book
 
 
-def scan(book: Codebook, queries: np.ndarray, query_ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, depth: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, candidates' ids, exact scores), best first, for a block of queries and one of candidates."""
+def byte_form(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as a whole number of one byte for each component, and what one unit is worth."""
+    unit = np.abs(x).max(1) / 127
+    return np.rint(x / unit[:, None]).astype(np.int8), unit
+
+
+def scan(book: Codebook, queries: np.ndarray, query_ids: np.ndarray, codes: np.ndarray, small: np.ndarray, unit: np.ndarray, ids: np.ndarray, keep: int, depth: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, candidates' ids, scores by their bytes), best first, for a block of queries and one of candidates.
+
+    depth: how many a query's scan of the codes leaves; keep: how many of those it returns.
+    """
     order = np.argsort(ids, kind="stable")
-    codes, vectors, ids = codes[order], vectors[order], ids[order]
+    codes, small, unit, ids = codes[order], small[order], unit[order], ids[order]
     columns = np.ascontiguousarray(codes.T)
     out = []
     for at in range(0, len(queries), 64):
@@ -118,8 +138,8 @@ def scan(book: Codebook, queries: np.ndarray, query_ids: np.ndarray, codes: np.n
             else:
                 found = np.arange(len(ids))
             found = found[ids[found] != query_id]
-            score = (vectors[found] * q).sum(1)
-            best = np.lexsort((ids[found], -score))[:k]
+            score = (small[found] @ q) * unit[found]
+            best = np.lexsort((ids[found], -score))[:keep]
             out.append((query_id, ids[found][best], score[best]))
     return out
 
@@ -133,8 +153,8 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest(rows: DataFrame, is_query: F.Column, k: int = 20, depth: int = 400, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query (over the column id) holds.
 
-    depth: how many candidates are reranked exactly for each query, over all cells; each cell takes its even share
-    and four standard deviations more.
+    depth: how many candidates the scan leaves for each query, over all cells; each cell takes its even share and four
+    standard deviations more. k + MARGIN of them are reranked exactly.
     """
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -149,31 +169,45 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 20, depth: int = 400,
 
     def encode(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, dims)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in book.value.packed(x)], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "code", "v"])
-
-    index = written(kept.mapInArrow(encode, "id long, code binary, v binary"), "vectors")
-    queries = index.where(is_query)
+            x = batch.column(1).flatten().to_numpy().reshape(-1, dims) + 0.0  # no negative zeros, so equal vectors have equal bytes
+            small, unit = byte_form(x)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([v.tobytes() for v in m], pa.binary()) for m in (book.value.packed(x), small)), pa.array(unit), pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in x], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())],
+                names=["id", "code", "small", "unit", "same", "v"],
+            )
+
+    index = written(kept.mapInArrow(encode, "id long, code binary, small binary, unit double, same binary, v binary"), "vectors")
     sizes = index.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     query_blocks = max(1, -(-sizes[1] // QUERY_BLOCK))
     blocks = max(1, -(-sizes[0] // CANDIDATE_BLOCK), min(-(-shuffle_width(spark) // query_blocks), -(-sizes[0] // LEAST_BLOCK)))
-    share = depth / blocks
-    cell_depth = int(share + 4 * share**0.5) + k
+    share, keep = depth / blocks, k + MARGIN
+    cell_depth = int(share + 4 * share**0.5) + keep
 
-    copies = Window.partitionBy("v").orderBy("id")
-    candidates = index.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).select("id", "code", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
+    copies = Window.partitionBy("same").orderBy("id")
+    candidates = index.select("id", "code", "small", "unit", F.row_number().over(copies).alias("n")).where(F.col("n") <= k + 1)
+    candidates = candidates.select("id", "code", "small", "unit", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
+    queries = index.where(is_query).select("id", "v")
     asked = queries.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"))
-    cell = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    cell = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("rough", pa.float64())])
 
-    def matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    def matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return cell.empty_table()
-        found = scan(book.value, matrix(right["v"], "<f8"), right["id"].to_numpy(), matrix(left["code"], np.uint8), matrix(left["v"], "<f8"), left["id"].to_numpy(), k, cell_depth)
-        return pa.table([np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]), np.concatenate([i for _, i, _ in found]), np.concatenate([s for _, _, s in found])], schema=cell)
+        found = scan(book.value, matrix(right["v"], "<f8"), right["id"].to_numpy(), matrix(left["code"], np.uint8), matrix(left["small"], np.int8), left["unit"].to_numpy(), left["id"].to_numpy(), keep, cell_depth)
+        return pa.table([np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]), np.concatenate([i for _, i, _ in found]), np.concatenate([x for _, _, x in found])], schema=cell)
 
-    hits = candidates.groupBy("q", "c").cogroup(asked.groupBy("q", "c")).applyInArrow(work, "query_id long, vec_id long, score double")
+    def exact(batches):
+        for batch in batches:
+            score = (matrix(batch.column(2), "<f8") * matrix(batch.column(3), "<f8")).sum(1) if len(batch) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    hits = candidates.groupBy("q", "c").cogroup(asked.groupBy("q", "c")).applyInArrow(work, "query_id long, vec_id long, rough double")
+    first = Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id")
+    hits = hits.withColumn("place", F.row_number().over(first)).where(F.col("place") <= keep).select("query_id", "vec_id")
+    hits = hits.join(index.select(F.col("id").alias("vec_id"), F.col("v").alias("x")), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("y")), "query_id")
+    scored = hits.select("query_id", "vec_id", "x", "y").mapInArrow(exact, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -104,6 +104,22 @@ def test_nearest(spark):
     assert ann.nearest(few.where(F.lit(False)), F.col("id") == 0).count() == 0
 
 
+def test_recall_with_a_small_share_reranked(spark):
+    """8,000 candidates without any structure, of which a query's scan leaves 400 and 32 are reranked exactly."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(8000, 64))
+    got = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    by = {}
+    for g in got:
+        by.setdefault(g.query_id, set()).add(g.vec_id)
+    hits = 0
+    for q, found in by.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found & set(np.argsort(-score)[:20].tolist()))
+    assert len(by) == 400 and hits / (20 * 400) >= 0.95
+
+
 def test_levels_are_entropies():
     data = np.random.default_rng(0).integers(97, 103, 300).astype(np.uint8)
     w = digests.WINDOW
