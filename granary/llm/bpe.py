@@ -6,7 +6,8 @@ prefix that it leaves) stays unmerged beside it. Following those last tokens bac
 
 Null and empty texts have no ids and decode to the empty text. Special strings inside a text become their ids, as
 the library's default has it. Each row is encoded by itself: ties and repeated rows do not matter, and only the
-key and the text are read, so extra columns of any name do no harm.
+key and the text are read, so extra columns of any name do no harm. A very long text is encoded whole, in time in
+proportion to its length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from . import pretokens
 
 #: Stands for the end-of-word mark, so that a mark is one character of the automaton's alphabet.
 _END = "\ue000"
+_BYTE_OF = {c: b for b, c in pretokens.BYTE_ALPHABET.items()}
 #: Pairs whose test one worker remembers.
 _PAIRS = 600_000
 
@@ -31,6 +33,10 @@ class PrefixCoder:
     def __init__(self, file: str):
         found = pretokens.vocabulary(file)
         model = found["model"]
+        decoder = (found.get("decoder") or {}).get("type")
+        if decoder not in (None, "ByteLevel"):
+            raise ValueError(f"{file} has a decoder that is not supported: {decoder}")
+        self.between = "" if decoder else " "
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         cut = len(self.suffix)
@@ -97,8 +103,9 @@ class PrefixCoder:
         return out[::-1]
 
     def decode(self, ids: list[int]) -> str:
-        """As the library decodes without a decoder: the tokens' own strings, a space between."""
-        return " ".join([self.text[i] for i in ids])
+        """As the library decodes: the tokens' own strings with a space between, or the bytes that they stand for."""
+        spelled = self.between.join([self.text[i] for i in ids])
+        return spelled if self.between else bytes(map(_BYTE_OF.__getitem__, spelled)).decode("utf-8", "replace")
 
 
 @functools.cache
@@ -126,7 +133,7 @@ def encode_and_decode(texts: list[str | None], file: str):
         return [(np.array(ids, "<u4").tobytes(), c.decode(ids))]
 
     for found in _remembered(file).over(texts, whole):
-        yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+        yield b"".join([x[0] for x in found]), c.between.join([x[1] for x in found if x[1]])
 
 
 def bpe_digests(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -152,6 +152,16 @@ def test_ranges_split_a_hot_key(spark):
     assert max(sum(x.r == r for x in got) for r in range(12)) < 1000
 
 
+@pytest.mark.parametrize("file", [WORD, BYTE])
+def test_bpe_ids_decode_as_the_library_does(spark, docs, file):
+    rows = bpe.bpe_ids(docs, file).collect()
+    assert len(rows) == docs.count()
+    known = pretokens.tokenizer(file)
+    for r in rows:
+        assert r.decoded == known.decode(r.ids, skip_special_tokens=False)
+    assert all(list(i) == r for i, r in zip((np.frombuffer(b, "<u4") for b, _ in bpe.encode_and_decode(EDGES + mixed(200, 9), file)), ids_of(EDGES + mixed(200, 9), file), strict=True))
+
+
 def test_piece_lengths():
     assert packing.piece_lengths(0) == [] and packing.piece_lengths(5000) == [2048, 2048, 512, 256, 128, 8]
     assert all(sum(packing.piece_lengths(n)) == n for n in range(5000))
