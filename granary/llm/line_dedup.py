@@ -162,18 +162,27 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\v\f\r"))
 
 
-def _texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The columns of firsts (d, t, pos and others; a row for each line) and the line itself, fetched by document."""
-    columns = [c for c in firsts.columns if c not in ("d", "t")]
-    by_document = firsts.groupBy("d", "t").agg(F.collect_list(F.struct(*columns)).alias("firsts"))
+def _texts(docs: DataFrame, by_document: DataFrame) -> DataFrame:
+    """The line itself beside the columns that by_document holds for each document (d, t, asked: structs with pos)."""
+    columns = by_document.schema["asked"].dataType.elementType.names
     parted = docs.join(by_document, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
-    return parted.select("d", "t", F.inline(F.transform("firsts", lambda f: F.struct(*(f[c].alias(c) for c in columns), _trimmed(F.get("lines", f["pos"])).alias("line")))))
+    return parted.select("d", "t", F.inline(F.transform("asked", lambda f: F.struct(*(f[c].alias(c) for c in columns), _trimmed(F.get("lines", f["pos"])).alias("line")))))
+
+
+def _by_document(firsts: DataFrame) -> DataFrame:
+    """d, t, asked: the other columns of firsts (a row for each class of lines), collected by the document."""
+    return firsts.groupBy("d", "t").agg(F.collect_list(F.struct(*(c for c in firsts.columns if c not in ("d", "t")))).alias("asked"))
 
 
 def _later(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, most: int, every: int) -> DataFrame:
-    """id of the lines that are close to an earlier line, of the pairs (a, b) of ids."""
+    """id of the lines that are close to an earlier line, of the pairs (a, b) of ids.
+
+    What is asked of documents is written first, so Spark knows its size: it is sent to the documents while it is
+    small, and meets them in a shuffle when it is not.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(_texts(docs, firsts.join(ids, "id", "left_semi")).select("id", F.struct("d", "t", "pos").alias("place"), "line"), "lines")
+    asked = written(_by_document(firsts.join(ids, "id", "left_semi").select("d", "t", "pos", "id")), "asked")
+    texts = written(_texts(docs, asked).select("id", F.struct("d", "t", "pos").alias("place"), "line"), "texts")
     x, y = (texts.select(F.col("id").alias(c), F.col("place").alias(f"place_{c}"), F.col("line").alias(f"line_{c}")) for c in "ab")
     both = pairs.join(x, "a").join(y, "b")
     m, n = F.char_length("line_a"), F.char_length("line_b")
@@ -195,19 +204,19 @@ def removals(docs: DataFrame, most: int = THRESHOLD, every: int = EVERY) -> Data
     """d, t, gone: for each document (by key and text hash) that loses lines, their places from 0.
 
     docs: d (key, never null), t (what tells rows of one key apart), text; no two rows with the same d and t. The
-    classes of equal lines are written with a short number for each, so that what is probed is small. All joins that
-    need texts are on (d, t), over the same columns, so Spark shuffles the texts once and reuses that exchange.
+    classes of equal lines are written with a short number for each, so that what is probed is small. Texts are
+    shuffled once for the probes; what pairs need of them is fetched as _later says.
     """
     places = docs.select("d", "t", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", _trimmed(F.col("line"))).where("line != ''")
     occurrences = places.select("d", "t", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), sketch(F.col("line")).alias("sketch"))
     classes = occurrences.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("sketch").alias("sketch"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    firsts = classes.select("first.d", "first.t", "first.pos", "id", "sketch")
+    firsts = classes.select("first.d", "first.t", "first.pos", "id")
 
     known = docs.where(F.col("d") != _NO_KEY).agg(F.min("d").alias("low"), F.max("d").alias("high")).first()
     low, high = float(known.low or 0), float(known.high or 0)
     early = F.greatest(F.lit(0), F.floor((F.col("d").cast("double") - low) / (high - low + 1) * (_RANGES - 1))).cast("long")
-    near = _texts(docs, firsts).withColumn("length", F.char_length("line")).where(F.col("length") >= every)
+    near = _texts(docs, _by_document(classes.select("first.d", "first.t", "first.pos", "id", "sketch"))).withColumn("length", F.char_length("line")).where(F.col("length") >= every)
     # two numbers in one make a narrower row, and so less to shuffle
     index = near.select(F.col("id").alias("b"), F.shiftleft(early, 32).bitwiseOR(F.col("sketch")).alias("word"), F.explode(index_keys(F.col("line"), F.col("length"), most, every)).alias("key"))
     probes = near.select(F.col("id").alias("a"), "sketch", F.inline(probe_keys(F.col("line"), F.col("length"), most, every)))
@@ -220,7 +229,7 @@ def removals(docs: DataFrame, most: int = THRESHOLD, every: int = EVERY) -> Data
     fits = (F.col("a") != F.col("head")) & _fits(F.col("asks"), flips, F.col("word"))
     met = probes.join(heads, "key").where(fits | (F.col("lines") > 1) & (F.col("a") != F.col("head")))
     met = written(met.select("key", "a", "asks", "head", fits.alias("fits"), (F.col("lines") > 1).alias("others")), "met")
-    settled = written(_later(docs, firsts, _pairs(F.col("a"), F.col("head"), met.where("fits")), most, every).select("id", F.lit(True).alias("linked")), "settled")
+    settled = written(_later(docs, firsts, written(_pairs(F.col("a"), F.col("head"), met.where("fits")), "pairs"), most, every).select("id", F.lit(True).alias("linked")), "settled")
 
     # lines that are not settled meet the other lines of their keys
     open_a = met.where("others").join(settled.withColumnRenamed("id", "a"), "a", "left").select("key", "a", "asks", "head", F.col("linked").isNull().alias("open_a"))
@@ -257,7 +266,8 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     """docs with the remaining lines in the text column, and how many lines there were and how many went, in columns
     of these names (which replace columns of docs); counts None: docs' own columns only.
 
-    The other columns meet the texts where the texts already lie, so texts are not shuffled for them.
+    The places that go are written first, so Spark knows their size: they are sent to the documents while they are
+    few, and meet them in a shuffle when they are not.
     """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     number = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NO_KEY))
@@ -268,12 +278,12 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     once = docs.select(number.alias("d"), tie.alias("t"), whole.alias("text"))
     if tied and _repeats(once, "d", "t"):
         once = once.dropDuplicates(["d", "t"])
-    found = once.join(removals(once, most, every), ["d", "t"], "left")
-    shortened = found.select("d", "t", *_counts(F.col("text"), F.col("gone")), _left(F.col("text"), F.col("gone")).alias("text"))
-    others = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.lit(0).alias("_")).alias("x"), number.alias("d"), tie.alias("t"))
+    gone = written(removals(once, most, every), "removals")
+    held = docs.select(number.alias("d"), tie.alias("t"), whole.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.lit(0).alias("_")).alias("x"))
+    found = held.join(gone, ["d", "t"], "left")
     taken = {c.lower() for c in counts or ()}
-    columns = [F.col("text").alias(c) if c == text else F.col(f"x.`{c}`").alias(c) for c in docs.columns if c.lower() not in taken]
-    return shortened.join(others, ["d", "t"]).select(*columns, *(F.col(c).alias(n) for c, n in zip(("n_lines", "n_removed"), counts or (), strict=False)))
+    columns = [_left(F.col("text"), F.col("gone")).alias(c) if c == text else F.col(f"x.`{c}`").alias(c) for c in docs.columns if c.lower() not in taken]
+    return found.select(*columns, *(c.alias(n) for c, n in zip(_counts(F.col("text"), F.col("gone")), counts or (), strict=False)))
 
 
 def line_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
