@@ -4,20 +4,21 @@ A line goes if an earlier line (by document key, then place) is equal to it or c
 EVERY characters of the shorter of the two, and THRESHOLD edits at most. Lines are compared without the white space of
 ASCII around them (blanks, tabs, form feeds, carriage returns); lines of white space alone are always kept.
 
-Exact copies first: lines are grouped by two 64-bit hashes, and each group's first place stands for it. The text of
-those lines is cut into threshold + 1 segments of nearly equal length. Lines within the threshold share a segment, so
-each line probes, for every length that a partner may have, the substrings that can match that partner's segments (a
-few start places each, as edits before and after a segment are bounded together). Probe and index meet on a hash of
-threshold, length, segment number and substring. A pair that meets must also have letter counts that so few edits can
-explain: the counts of LETTERS modulo four stand in one number as Gray codes, so one insertion or deletion changes one
-bit at most and a substitution two. What is left is verified on its text by a banded bit-parallel edit distance: a
-column of the band is two bit vectors, and each character of the second line moves the band by one.
+Exact copies are found by two 64-bit hashes; the first place of each class of equal lines stands for it. A line is cut
+into threshold + 1 segments of nearly equal length. Lines within the threshold share a segment, so each line probes,
+for every length that a partner may have, the substrings that can match that partner's segments (a few start places
+each, as edits before and after a segment are bounded together). Probe and index meet on a hash of threshold, length,
+segment number and substring; both are made where the documents lie, from hashes alone, so no text is moved for them.
+For the few lines that meet another, the text is fetched. Letter counts come first: those of LETTERS modulo four stand
+in one number as Gray codes, so an insertion or deletion changes one bit at most and a substitution two. What is left
+is verified by a banded bit-parallel edit distance: a column of the band is two bit vectors, and each character of the
+second line moves the band by one.
 
 Pairs are bounded: a line's fate needs one earlier line that is close, not all of them. So a key of the index is
 represented by (nearly) its earliest line, and each probe meets that one only; a group of m variants of one line gives
-m pairs. Then those of a group that are not settled meet the group's other lines. Both rounds together meet
-every pair of which the later line is not yet known to go. Texts of the lines in pairs are fetched once for each line
-and joined to the pairs, which Spark can split where a line has very many.
+m pairs. Then those of a group that are not settled meet the group's other lines, where their letter counts allow it.
+Both rounds together meet every pair of which the later line is not yet known to go. Texts are joined to pairs by
+line, which Spark can split where a line has very many.
 
 Every join is on a hash, a number or a document key and can be split where it is skewed; nothing is capped.
 
@@ -39,9 +40,8 @@ from .common import written
 THRESHOLD, EVERY = 2, 12
 #: The letters whose counts are compared before texts are; any choice gives the same result.
 LETTERS = "enisrtaduolhcmg "
-_SKETCH = (1 << 2 * len(LETTERS)) - 1
-#: Ranges of equal width that the keys are dealt to, for telling early lines from late ones.
-_RANGES = 1 << 20
+#: Documents that are sent to every task, as those to fetch lines from, at most; more are found by a shuffle.
+SENT = 1_000_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -104,37 +104,31 @@ def _key(line: Column, length: Column, k: int, most: int, start: Column, size: C
     return F.xxhash64(length.cast("int"), F.lit(most * 16 + k), F.substring(line, start, size))
 
 
-def _allowed(length: Column, most: int, every: int) -> Column:
-    """The edits that a line of that length, the shorter of a pair, allows."""
-    return F.least(F.lit(most), F.floor(length / every)).cast("int")
-
-
 def index_keys(line: Column, length: Column, most: int, every: int) -> Column:
     """The keys of a line's own segments."""
-    found = F.array(F.lit(0).cast("long"))
+    found = F.array().cast("array<bigint>")
     for t in range(1, most + 1):
         found = F.when(length >= t * every, F.array(*(_key(line, length, k, t, *_segment(length, k, t + 1)) for k in range(t + 1)))).otherwise(found)
     return found
 
 
 def _probes(line: Column, length: Column, shorter: int, t: int) -> list[Column]:
-    """(key, flips) of the substrings that can be a segment of a partner that is shorter by so many characters.
+    """(key, own) of the substrings that can be a segment of a partner that is shorter by so many characters.
 
     Before the k-th segment there are at most k edits (an edit more, and an earlier segment is whole), behind it at
-    most t - k; both bound how far the substring's start can be from the segment's. flips: how many bits of the
-    sketches may differ, as at least shorter edits are insertions or deletions.
+    most t - k; both bound how far the substring's start can be from the segment's. own: it is a segment of the line.
     """
     out = []
     for k in range(t + 1):
         start, size = _segment(length - shorter, k, t + 1)
         low, high = max(-k, shorter - (t - k)), min(k, shorter + (t - k))
-        out += [F.struct(_key(line, length - shorter, k, t, start + shift, size).alias("key"), F.lit(2 * t - shorter).alias("flips")) for shift in range(low, high + 1)]
+        out += [F.struct(_key(line, length - shorter, k, t, start + shift, size).alias("key"), F.lit(int(not shorter and not shift)).cast("long").alias("own")) for shift in range(low, high + 1)]
     return out
 
 
 def probe_keys(line: Column, length: Column, most: int, every: int) -> Column:
-    """(key, flips) for every partner that is shorter or of equal length; the shorter line says how many edits are allowed."""
-    none = F.array().cast("array<struct<key:bigint,flips:int>>")
+    """(key, own) for every partner that is shorter or of equal length; the shorter line says how many edits are allowed."""
+    none = F.array().cast("array<struct<key:bigint,own:bigint>>")
     parts = []
     for shorter in range(most + 1):
         part = none
@@ -162,86 +156,82 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\v\f\r"))
 
 
-def _texts(docs: DataFrame, by_document: DataFrame) -> DataFrame:
-    """The line itself beside the columns that by_document holds for each document (d, t, asked: structs with pos)."""
-    columns = by_document.schema["asked"].dataType.elementType.names
-    parted = docs.join(by_document, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
-    return parted.select("d", "t", F.inline(F.transform("asked", lambda f: F.struct(*(f[c].alias(c) for c in columns), _trimmed(F.get("lines", f["pos"])).alias("line")))))
-
+def _id(h: Column) -> Column:
+    """A line's number in probes and index: its hash, with the lowest bit free for a mark."""
+    return h.bitwiseAND(F.lit(~1))
 
-def _by_document(firsts: DataFrame) -> DataFrame:
-    """d, t, asked: the other columns of firsts (a row for each class of lines), collected by the document."""
-    return firsts.groupBy("d", "t").agg(F.collect_list(F.struct(*(c for c in firsts.columns if c not in ("d", "t")))).alias("asked"))
 
+def _fetched(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, h, g, place, line and sketch of the first line of each class (h, g, first) whose id is among ids.
 
-def _later(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, most: int, every: int) -> DataFrame:
-    """id of the lines that are close to an earlier line, of the pairs (a, b) of ids.
-
-    What is asked of documents is written first, so Spark knows its size: it is sent to the documents while it is
-    small, and meets them in a shuffle when it is not.
+    What is asked of documents is counted first: it is sent to them if it is little, and else meets them in a shuffle.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = written(_by_document(firsts.join(ids, "id", "left_semi").select("d", "t", "pos", "id")), "asked")
-    texts = written(_texts(docs, asked).select("id", F.struct("d", "t", "pos").alias("place"), "line"), "texts")
-    x, y = (texts.select(F.col("id").alias(c), F.col("place").alias(f"place_{c}"), F.col("line").alias(f"line_{c}")) for c in "ab")
-    both = pairs.join(x, "a").join(y, "b")
-    m, n = F.char_length("line_a"), F.char_length("line_b")
-    close = F.lit(False)
-    for t in range(1, most + 1):
-        close = F.when(F.least(m, n) >= t * every, within(F.col("line_a"), F.col("line_b"), t)).otherwise(close)
-    return both.where(close).select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+    wanted = classes.select("h", "g", "first", _id(F.col("h")).alias("id")).join(ids, "id", "left_semi").select("first.d", "first.t", F.struct("first.pos", "h", "g").alias("x"))
+    asked = written(wanted.groupBy("d", "t").agg(F.collect_list("x").alias("asked")), "asked")
+    if asked.count() <= SENT:
+        asked = F.broadcast(asked)
+    parted = docs.join(asked, ["d", "t"]).withColumn("lines", _lines(F.col("text")))
+    found = parted.select("d", "t", F.inline(F.transform("asked", lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), x["g"].alias("g"), _trimmed(F.get("lines", x["pos"])).alias("line")))))
+    return found.select(_id(F.col("h")).alias("id"), "h", "g", F.struct("d", "t", "pos").alias("place"), "line", sketch(F.col("line")).alias("sketch"))
 
 
 def _pairs(a: Column, b: Column, rows: DataFrame) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _fits(sketch_a: Column, flips: Column, sketch_b: Column) -> Column:
-    return F.bit_count(sketch_a.bitwiseXOR(sketch_b).bitwiseAND(F.lit(_SKETCH))) <= flips
+def _fits(x: Column, y: Column, most: int) -> Column:
+    """Whether two sketches can be those of lines within so many edits."""
+    return F.bit_count(x.bitwiseXOR(y)) <= 2 * most
+
+
+def _later(texts: DataFrame, pairs: DataFrame, most: int, every: int) -> DataFrame:
+    """h, g of the lines that are close to an earlier line, of the pairs (a, b) of ids."""
+    x, y = (texts.select(F.col("id").alias(c), F.struct("h", "g", "place", "line", "sketch").alias(f"of_{c}")) for c in "ab")
+    x, y, both = F.col("of_a"), F.col("of_b"), pairs.join(x, "a").join(y, "b")
+    both = both.where(_fits(x["sketch"], y["sketch"], most))
+    shorter = F.least(F.char_length(x["line"]), F.char_length(y["line"]))
+    close = F.lit(False)
+    for t in range(1, most + 1):
+        close = F.when(shorter >= t * every, within(x["line"], y["line"], t)).otherwise(close)
+    later = F.when(x["place"] > y["place"], x).otherwise(y)
+    return both.where(close).select(later["h"].alias("h"), later["g"].alias("g")).distinct()
 
 
 def removals(docs: DataFrame, most: int = THRESHOLD, every: int = EVERY) -> DataFrame:
     """d, t, gone: for each document (by key and text hash) that loses lines, their places from 0.
 
-    docs: d (key, never null), t (what tells rows of one key apart), text; no two rows with the same d and t. The
-    classes of equal lines are written with a short number for each, so that what is probed is small. Texts are
-    shuffled once for the probes; what pairs need of them is fetched as _later says.
+    docs: d (key, never null), t (what tells rows of one key apart), text; no two rows with the same d and t.
     """
     places = docs.select("d", "t", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", _trimmed(F.col("line"))).where("line != ''")
-    occurrences = places.select("d", "t", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), sketch(F.col("line")).alias("sketch"))
-    classes = occurrences.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("sketch").alias("sketch"))
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    firsts = classes.select("first.d", "first.t", "first.pos", "id")
-
-    known = docs.where(F.col("d") != _NO_KEY).agg(F.min("d").alias("low"), F.max("d").alias("high")).first()
-    low, high = float(known.low or 0), float(known.high or 0)
-    early = F.greatest(F.lit(0), F.floor((F.col("d").cast("double") - low) / (high - low + 1) * (_RANGES - 1))).cast("long")
-    near = _texts(docs, _by_document(classes.select("first.d", "first.t", "first.pos", "id", "sketch"))).withColumn("length", F.char_length("line")).where(F.col("length") >= every)
-    # two numbers in one make a narrower row, and so less to shuffle
-    index = near.select(F.col("id").alias("b"), F.shiftleft(early, 32).bitwiseOR(F.col("sketch")).alias("word"), F.explode(index_keys(F.col("line"), F.col("length"), most, every)).alias("key"))
-    probes = near.select(F.col("id").alias("a"), "sketch", F.inline(probe_keys(F.col("line"), F.col("length"), most, every)))
-    probes = probes.select("a", "key", F.shiftleft(F.col("flips").cast("long"), 32).bitwiseOR(F.col("sketch")).alias("asks"))
-
-    # each key's earliest line stands for the key's lines
-    index = index.repartition("key")
-    heads = index.groupBy("key").agg(F.min_by("b", "word").alias("head"), F.min("word").alias("word"), F.count(F.lit(1)).alias("lines"))
-    flips = F.shiftright(F.col("asks"), 32)
-    fits = (F.col("a") != F.col("head")) & _fits(F.col("asks"), flips, F.col("word"))
-    met = probes.join(heads, "key").where(fits | (F.col("lines") > 1) & (F.col("a") != F.col("head")))
-    met = written(met.select("key", "a", "asks", "head", fits.alias("fits"), (F.col("lines") > 1).alias("others")), "met")
-    settled = written(_later(docs, firsts, written(_pairs(F.col("a"), F.col("head"), met.where("fits")), "pairs"), most, every).select("id", F.lit(True).alias("linked")), "settled")
+    occurrences = places.select("d", "t", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    classes = written(occurrences.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+
+    near = places.select("d", "line", _id(F.xxhash64("line")).alias("id"), F.char_length("line").alias("length")).where(F.col("length") >= every)
+    line, length = F.col("line"), F.col("length")
+    # each key's earliest line stands for the key's lines; copies are combined before they are shuffled
+    index = near.select("d", "id", F.explode(index_keys(line, length, most, every)).alias("key"))
+    heads = index.groupBy("key").agg(F.min_by("id", "d").alias("head"), F.min("id").alias("low"), F.max("id").alias("high"))
+    heads = written(heads.select("key", "head", (F.col("low") != F.col("high")).alias("others")), "heads")
+    probes = near.select("id", F.inline(probe_keys(line, length, most, every))).select("key", F.col("id").bitwiseOR(F.col("own")).alias("probe"))
+    met = probes.join(heads, "key").where(_id(F.col("probe")) != F.col("head"))
+    met = written(met.select("key", _id(F.col("probe")).alias("id"), (F.col("probe") != _id(F.col("probe"))).alias("own"), "head", "others").distinct(), "met")
+
+    ids = met.select(F.explode(F.array("id", "head")).alias("id")).distinct()
+    texts = written(_fetched(docs, classes, ids), "texts")
+    settled = written(_later(texts, _pairs(F.col("id"), F.col("head"), met), most, every).withColumn("linked", F.lit(True)), "settled")
 
     # lines that are not settled meet the other lines of their keys
-    open_a = met.where("others").join(settled.withColumnRenamed("id", "a"), "a", "left").select("key", "a", "asks", "head", F.col("linked").isNull().alias("open_a"))
-    keys = open_a.select("key", "head").distinct()
-    others = index.join(keys, "key").where(F.col("b") != F.col("head")).join(settled.withColumnRenamed("id", "b"), "b", "left").select("key", "b", "word", F.col("linked").isNull().alias("open_b"))
-    more = open_a.join(others, "key").where((F.col("a") != F.col("b")) & (F.col("open_a") | F.col("open_b")) & _fits(F.col("asks"), flips, F.col("word")))
-    last = _later(docs, firsts, written(_pairs(F.col("a"), F.col("b"), more), "pairs"), most, every).select("id", F.lit(True).alias("linked"))
+    open_ids = texts.join(settled, ["h", "g"], "left").select("id", "sketch", F.col("linked").isNull().alias("open"))
+    crowd = written(met.where("others").join(open_ids, "id").select("key", "id", "own", "sketch", "open"), "crowd")
+    a, b = crowd.alias("a"), crowd.where("own").alias("b")
+    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (F.col("a.open") | F.col("b.open")) & _fits(F.col("a.sketch"), F.col("b.sketch"), most)
+    more = written(_pairs(F.col("a.id"), F.col("b.id"), a.join(b, meets)), "pairs")
+    last = _later(texts, more, most, every).withColumn("linked", F.lit(True))
 
     linked = settled.unionByName(last).distinct()
-    repeated = classes.join(linked, "id", "left").where("n > 1 or linked").select("h", "g", "first", "linked")
+    repeated = classes.join(linked, ["h", "g"], "left").where("n > 1 or linked").select("h", "g", "first", "linked")
     goes = F.coalesce("linked", F.lit(False)) | (F.struct("d", "t", "pos") != F.col("first"))
-    return occurrences.drop("sketch").join(repeated, ["h", "g"]).where(goes).groupBy("d", "t").agg(F.collect_set("pos").alias("gone"))
+    return occurrences.join(repeated, ["h", "g"]).where(goes).groupBy("d", "t").agg(F.collect_set("pos").alias("gone"))
 
 
 _NO_KEY = -(1 << 63)
@@ -266,8 +256,7 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     """docs with the remaining lines in the text column, and how many lines there were and how many went, in columns
     of these names (which replace columns of docs); counts None: docs' own columns only.
 
-    The places that go are written first, so Spark knows their size: they are sent to the documents while they are
-    few, and meet them in a shuffle when they are not.
+    The places that go grow with the documents, so they meet them in a shuffle.
     """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     number = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NO_KEY))
@@ -278,7 +267,7 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     once = docs.select(number.alias("d"), tie.alias("t"), whole.alias("text"))
     if tied and _repeats(once, "d", "t"):
         once = once.dropDuplicates(["d", "t"])
-    gone = written(removals(once, most, every), "removals")
+    gone = removals(once, most, every).hint("merge")
     held = docs.select(number.alias("d"), tie.alias("t"), whole.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.lit(0).alias("_")).alias("x"))
     found = held.join(gone, ["d", "t"], "left")
     taken = {c.lower() for c in counts or ()}
