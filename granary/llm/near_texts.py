@@ -1,32 +1,38 @@
 """One document of each component of near duplicates: texts whose sets of five-word shingles have Jaccard 0.8 or more.
 
+SimHash comes first (granary.llm.simhash, with five words): fingerprints within three bits are found by multi-index
+hashing, and the texts of a pair are compared. That settles copies and texts that differ in a few places. It cannot
+find all pairs, as texts of similarity 0.8 differ by some ten of 64 bits, and no table of 64 bits is selective at that
+distance; an exact join of shingles finds the others.
+
 No pair is lost: the shingles of all texts have one order, and two sets that are similar enough share one of their
 first n - ceil(least * n) + 1 shingles. The order puts shingles that are common in a sample of texts last, so that
 passages of many documents bring no pairs together; it decides the cost alone, and any sample gives the same result.
 Every pair that meets is verified on its texts.
 
-Only links that join components are needed. In a first round the texts that share a shingle are compared with one of
-them, which settles groups of near copies in as many pairs as they have texts; in a second round texts that still
-are in different components are compared, where they share a shingle.
+Only links that join components are needed. In a first round each text that shares shingles with others is compared
+with one of them: of the texts that stand for its shingles, each the one that shares most with others, the one that
+it shares most with. That settles groups of near copies in as many pairs as they have texts. In a second round texts
+that still are in different components are compared, where they share a shingle.
 
 Words are cut and lowered as in granary.llm.simhash: null counts as empty, fewer words than a shingle has make one
 shingle, and texts with the same set (the empty one too) are duplicates. Shingles and sets are told apart by 64-bit
-hashes.
+hashes. Repeated rows are duplicates; keys are whole numbers, and a null key is the smallest. Very long texts are read
+whole. An empty table gives no rows. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from . import simhash
+from .common import shuffle_width, written
 from .components import components
-from .simhash import SEED
+from .simhash import SEED, shingle_hashes
 
 WORDS, LEAST = 5, (4, 5)
 #: The texts of the sample, the count that makes a shingle common there, and the ids that are sent to every task at most.
@@ -35,17 +41,15 @@ SAMPLE, COMMON, SENT = 20_000, 4, 1_000_000
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The XXH64 values of the text's shingles, ascending, each once."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(found)
-    if len(found) <= words:
-        parts = [joined]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        starts = np.r_[0, ends[:-1] + 1]
-        parts = [joined[a:b] for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts)))
+    return np.unique(shingle_hashes(text, words).astype(np.uint64))
+
+
+def outline(found: np.ndarray) -> np.ndarray:
+    """512 bits: whether a set has an odd number of shingles in each of 512 classes of hashes.
+
+    Two sets differ in at least as many shingles as their outlines do in bits.
+    """
+    return np.packbits((np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +69,7 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(held: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """place, id (a hash of the set of shingles), n and prefix (the first of them in the order) of every row."""
+    """place, id (a hash of the set of shingles), n, prefix (the first of them in the order), fp and outline of every row."""
     keys, counts = _common(held.select("text"), words)
     up, down = least
 
@@ -77,14 +81,16 @@ def _prefixes(held: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
 
     def of(parts):
         for part in parts:
-            sets = [shingles(x, words) for x in part.column(1).to_pylist()]
+            hashes = [shingle_hashes(x, words) for x in part.column(1).to_pylist()]
+            prints = np.frombuffer(b"".join(map(simhash.majority, hashes)), ">i8").astype(np.int64)
+            sets = [np.unique(h.astype(np.uint64)) for h in hashes]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             firsts = [ordered(s)[: len(s) + up * len(s) // -down + 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), prefix], names=["place", "id", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), prefix, pa.array(prints), pa.array([outline(s) for s in sets], pa.list_(pa.int64()))], names=["place", "id", "n", "prefix", "fp", "outline"])
 
-    return held.select("place", "text").mapInArrow(of, f"place {held.schema['place'].dataType.simpleString()}, id long, n int, prefix array<long>")
+    return held.select("place", "text").mapInArrow(of, f"place {held.schema['place'].dataType.simpleString()}, id long, n int, prefix array<long>, fp long, outline array<long>")
 
 
 def _can(least: tuple[int, int], n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -95,14 +101,21 @@ def _can(least: tuple[int, int], n: Column, pos: Column, m: Column, at: Column)
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, held: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    """The pairs (a, b) whose texts are similar enough.
+
+    Sets that are so similar differ in few shingles, so pairs whose outlines differ in more bits need no texts.
+    """
+    up, down = least
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = (firsts.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("outline").alias(f"outline_{c}")) for c in "ab")
+    differ = F.aggregate(F.zip_with("outline_a", "outline_b", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
+    pairs = pairs.join(x, "a").join(y, "b").where((up + down) * differ <= (down - up) * (F.col("n_a").cast("long") + F.col("n_b")))
+    pairs = written(pairs.select("a", "b"), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = written(firsts.join(ids, "id", "left_semi").select("place", "id"), "wanted")
     if wanted.count() <= SENT:
         wanted = F.broadcast(wanted)  # else the join is Spark's to choose, and texts are shuffled for it
     texts = written(held.join(wanted, "place").dropDuplicates(["id"]).select("id", "text"), "texts")
-    up, down = least
 
     def of(parts):
         for part in parts:
@@ -118,10 +131,23 @@ def _verified(pairs: DataFrame, firsts: DataFrame, held: DataFrame, words: int,
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(of, "a long, b long"), "verified")
 
 
+def _by_fingerprint(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids whose fingerprints are equal or within three bits: one id stands for a fingerprint."""
+    prints = written(rows.groupBy("fp").agg(F.min("id").alias("one")), "prints")
+    near = simhash.links(prints.select("fp").repartition(shuffle_width(rows.sparkSession), "fp"))
+    x, y = (prints.select(F.col("fp").alias(c), F.col("one").alias(f"one_{c}")) for c in "ab")
+    apart = near.join(x, "a").join(y, "b").select(F.col("one_a").alias("a"), F.col("one_b").alias("b"))
+    equal = rows.select("id", "fp").distinct().join(prints, "fp").select(F.col("id").alias("a"), F.col("one").alias("b"))
+    return apart.unionByName(equal).where("a != b")
+
+
 def labels(held: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame]:
     """id and place of every row of held (place, text), and node and root of every id that has a link."""
     rows = written(_prefixes(held, words, least), "prefixes")
-    firsts = written(rows.groupBy("id").agg(F.min("place").alias("place")), "sets")
+    firsts = written(rows.groupBy("id").agg(F.min("place").alias("place"), F.min("n").alias("n"), F.any_value("outline").alias("outline")), "sets")
+    close = _verified(_by_fingerprint(rows), firsts, held, words, least)
+    settled = written(components(close).select(F.col("node").alias("id"), "root"), "settled")
+
     # copies are reduced to one entry before they are dealt out
     entries = rows.select("id", "n", F.posexplode("prefix").alias("pos", "key")).groupBy("key", "id").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     entries = entries.repartition("key")
@@ -130,12 +156,12 @@ def labels(held: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST)
 
     # the text whose shingles most others have stands for each of its shingles; each text meets one of those only
     degree = entries.groupBy("id").agg(F.sum("held").alias("degree"))
-    ranked = entries.join(degree, "id")
-    heads = ranked.groupBy("key").agg(F.max(F.struct("degree", "id", "n", "pos")).alias("one"))
-    star = ranked.join(heads, "key").where((F.col("id") != F.col("one.id")) & _can(least, F.col("n"), F.col("pos"), F.col("one.n"), F.col("one.pos")))
+    ranked = entries.join(degree, "id").join(settled, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    heads = ranked.groupBy("key").agg(F.max(F.struct("degree", "id", "n", "pos", "root")).alias("one"))
+    star = ranked.join(heads, "key").where((F.col("root") != F.col("one.root")) & _can(least, F.col("n"), F.col("pos"), F.col("one.n"), F.col("one.pos")))
     met = star.groupBy("id", F.col("one.id").alias("one")).agg(F.count(F.lit(1)).alias("times"), F.max("one.degree").alias("degree"))
     best = met.groupBy("id").agg(F.max(F.struct("times", "degree", "one"))["one"].alias("one"))
-    links = _verified(best.select(F.col("id").alias("a"), F.col("one").alias("b")), firsts, held, words, least)
+    links = close.unionByName(_verified(best.select(F.col("id").alias("a"), F.col("one").alias("b")), firsts, held, words, least))
 
     known = components(links).select(F.col("node").alias("id"), "root")
     placed = entries.drop("held").join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -27,24 +27,29 @@ from .components import components
 BITS, SHINGLE, SEED = 64, 3, 42
 
 
-def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> bytes:
-    """Eight bytes, the highest bit first: a bit is set if over half of the shingles' XXH64 values have it."""
+def shingle_hashes(text: str | None, words: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of each run of so many words, repeats included; of the whole sequence if it has fewer; big-endian."""
     found = (text or "").encode().lower().split()  # on bytes: A-Z only, and white space of ASCII only
-    if not found:
-        return bytes(8)
-    if len(found) < words:
-        shingles = [b" ".join(found)]
+    joined = b" ".join(found)
+    if len(found) <= words:
+        parts = [joined] if found else []
     else:
-        joined = b" ".join(found)
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
         starts = np.r_[0, ends[:-1] + 1]
-        shingles = [joined[a:b] for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+        parts = [joined[a:b] for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts, repeat(seed))), ">u8")
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """Eight bytes, the highest bit first: a bit is set if over half of the hashes have it."""
     total = np.zeros(BITS, np.int64)
-    for k in range(0, len(shingles), 1 << 16):
-        part = shingles[k : k + (1 << 16)]
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, part, repeat(seed))), np.uint8).reshape(-1, 8)
-        total += np.unpackbits(hashes, axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * total > len(shingles)).tobytes()
+    for k in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes)).tobytes()
+
+
+def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> bytes:
+    return majority(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
