@@ -53,6 +53,11 @@ def key_hash(key: Column) -> Column:
     return F.sha2(key, 256)
 
 
+def key_prefix(key: Column) -> Column:
+    """What a listing shows of a key: its first ten characters."""
+    return F.concat(F.left(key, F.lit(10)), F.lit("..."))
+
+
 def name_valid(name: Column) -> Column:
     return name.rlike("^[A-Za-z0-9_.-]{2,64}$")
 

@@ -115,13 +115,30 @@ def backoff(attempt: Column, initial: float, factor: float, most: float) -> Colu
     return F.least(F.lit(initial) * F.pow(F.lit(factor), attempt), F.lit(most))
 
 
+def retryable(kind: Column) -> Column:
+    """Whether an error may pass by itself: input and output, a timeout, or someone else's change at the same time."""
+    return F.coalesce(kind.isin("Io", "Timeout", "ConcurrentModification"), F.lit(False))
+
+
+def time_ago(at: Column, now: Column) -> Column:
+    """never (no time or zero), just now, 5 minutes ago, 3 hours ago, 2 days ago."""
+    past = now - at
+    ago = lambda n, unit: F.format_string(f"%d {unit} ago", F.floor(past / n).cast("long"))
+    return F.when(at.isNull() | (at == 0), "never").when(past < 60, "just now").when(past < 3600, ago(60, "minutes")).when(past < 86400, ago(3600, "hours")).otherwise(ago(86400, "days"))
+
+
+def use_level(utilisation: Column) -> Column:
+    """none, low (under a half), fair (under four fifths) or good."""
+    return F.when(utilisation.isNull(), "none").when(utilisation < 0.5, "low").when(utilisation < 0.8, "fair").otherwise("good")
+
+
 def duration_text(seconds: Column) -> Column:
-    """45s, 3m 5s, 2h 1m, 4d 3h."""
+    """45s, 3m 5s, 2h 1m, 4d 3h 2m."""
     s = seconds.cast("long")
     whole = lambda n: F.floor(s / n).cast("long")
     return (
         F.when(s < 60, F.format_string("%ds", s))
         .when(s < 3600, F.format_string("%dm %ds", whole(60), s % 60))
         .when(s < 86400, F.format_string("%dh %dm", whole(3600), whole(60) % 60))
-        .otherwise(F.format_string("%dd %dh", whole(86400), whole(3600) % 24))
+        .otherwise(F.format_string("%dd %dh %dm", whole(86400), whole(3600) % 24, whole(60) % 60))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import nearest_ranks, top
@@ -52,3 +52,16 @@ def status_histogram(log: DataFrame) -> DataFrame:
 
 def latency_percentiles(log: DataFrame, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     return nearest_ranks(log, "op", "elapsed", list(percents))
+
+
+def counters(log: DataFrame, by: dict[str, Column], amount: str) -> DataFrame:
+    """metric, label, n, total: how many rows, and how much of an amount, for each value of several labels at once."""
+    each = F.explode(F.array(*(F.struct(F.lit(metric).alias("metric"), label.alias("label")) for metric, label in by.items())))
+    rows = log.select(each.alias("by"), F.col(amount).alias("_amount"))
+    return rows.groupBy("by.metric", "by.label").agg(F.count(F.lit(1)).alias("n"), F.sum("_amount").alias("total"))
+
+
+def latency_means(log: DataFrame) -> DataFrame:
+    """op, n, total, mean of elapsed; sums are decimal, so they do not depend on the order of rows."""
+    total = F.sum(F.col("elapsed").cast("decimal(18,4)"))
+    return log.groupBy("op").agg(F.count(F.lit(1)).alias("n"), total.alias("total")).withColumn("mean", F.col("total").cast("double") / F.col("n"))

@@ -91,6 +91,31 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key), key, "left_anti")
 
 
+def delete_partition(files: DataFrame, partition_id: int) -> tuple[DataFrame, DataFrame]:
+    """The files that stay, and those of the partition, which go."""
+    of = F.col("partition_id") == partition_id
+    return files.where(~F.coalesce(of, F.lit(False))), files.where(of)
+
+
+def live_set(*tables: DataFrame, column: str) -> DataFrame:
+    """The values of a column that any of the tables has, each once."""
+    out = tables[0].select(column)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(column))
+    return out.distinct()
+
+
+def listing_after(files: DataFrame, last: tuple | None = None, limit: int = 200) -> DataFrame:
+    """The next page, newest first, after the last row (create_time, file_id) of the page before.
+
+    A filter on the key takes the place of an offset, so a deep page costs no more than the first.
+    """
+    if last is not None:
+        at, file_id = last
+        files = files.where((F.col("create_time") < at) | (F.col("create_time") == at) & (F.col("file_id") < file_id))
+    return top(files, [F.desc("create_time"), F.desc("file_id")], limit)
+
+
 def reference_deltas(added: DataFrame, removed: DataFrame) -> DataFrame:
     """block_id, delta: references gained less those lost; blocks without a change are left out."""
     plus = added.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))

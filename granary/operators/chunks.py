@@ -11,6 +11,8 @@ from .ordered import fold
 
 #: Bytes before a block's first chunk.
 BLOCK_HEADER = 72
+#: Blocks that a file's pool can number in 16 bits.
+MOST_BLOCKS = 65_535
 
 
 def chunks(objects: DataFrame, chunk_size: int, key: str = "file_id", data: str = "content", algorithm: str = "sha256") -> DataFrame:
@@ -22,6 +24,12 @@ def chunks(objects: DataFrame, chunk_size: int, key: str = "file_id", data: str
     return cut.select(key, "idx", F.octet_length("bytes").cast("long").alias("size"), content_hash(F.col("bytes"), algorithm).alias("hash"), F.crc32("bytes").alias("crc"), "bytes")
 
 
+def identified(cut: DataFrame, key: str = "file_id") -> DataFrame:
+    """cut with an own hash for each chunk that has none (algorithm "none"), so that no two of those are taken as one."""
+    own = F.concat(F.lit("="), F.col(key).cast("string"), F.lit("#"), F.col("idx").cast("string"))
+    return cut.withColumn("hash", F.when(F.col("hash") == "", own).otherwise(F.col("hash")))
+
+
 def dedup_stats(cut: DataFrame) -> DataFrame:
     """One row: chunks, distinct chunks, raw and unique bytes. Hashes are reduced before anything meets in one task."""
     each = cut.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
@@ -54,7 +62,7 @@ def fill_blocks(winners: DataFrame, lane: str, order: list[str], block_size: int
             block, offset = block + 1, BLOCK_HEADER
         return (block, offset + row[stored]), (block, offset)
 
-    return fold(winners, lane, order, step, {"block_no": "long", "offset": "long"})
+    return fold(winners, lane, order, step, {"block_no": "long", "offset": "long"}, [raw, stored])
 
 
 def reference_counts(file_chunks: DataFrame) -> DataFrame:
@@ -67,3 +75,8 @@ def block_pool(file_chunks: DataFrame) -> DataFrame:
     first = file_chunks.groupBy("file_id", "block_id").agg(F.min("idx").alias("idx"))
     w = Window.partitionBy("file_id").orderBy("idx", "block_id")
     return first.select("file_id", "block_id", (F.row_number().over(w) - 1).cast("long").alias("pool_index"))
+
+
+def oversized_pools(file_chunks: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
+    """Files of more blocks than a pool can number: errors."""
+    return file_chunks.select("file_id", "block_id").distinct().groupBy("file_id").agg(F.count(F.lit(1)).alias("blocks")).where(F.col("blocks") > most)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 
-def fold(df: DataFrame, lane: str, order: list[str], step: Callable, out: dict[str, str]) -> DataFrame:
+def fold(df: DataFrame, lane: str, order: list[str], step: Callable, out: dict[str, str], reads: list[str]) -> DataFrame:
     """df with the columns that step(state, row) -> (state, values) yields for each row of a lane, in order.
 
-    A lane's rows stream through one task in Arrow batches; the state is None at a lane's start. Lanes are dealt to
+    reads: the columns that step looks at; all others stay in Arrow as they are. A lane's rows stream through one task in Arrow batches; the state is None at a lane's start. Lanes are dealt to
     tasks by hash and sorted there, so memory does not grow with a lane.
     """
     names = df.columns
@@ -24,9 +24,10 @@ def fold(df: DataFrame, lane: str, order: list[str], step: Callable, out: dict[s
         state, at = None, object()
         for batch in batches:
             rows = []
-            for row in batch.to_pylist():
-                if row[lane] != at:
-                    state, at = None, row[lane]
+            lanes, seen = batch.column(names.index(lane)).to_pylist(), batch.select(reads).to_pylist()
+            for own, row in zip(lanes, seen, strict=True):
+                if own != at:
+                    state, at = None, own
                 state, values = step(state, row)
                 rows.append(values)
             columns = list(zip(*rows, strict=True)) or [()] * len(out)

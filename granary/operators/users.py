@@ -23,6 +23,24 @@ def key_owner(key_hashes: DataFrame, accounts: DataFrame) -> DataFrame:
     return key_hashes.join(accounts.select("key_hash", "key_id", "parent_user"), "key_hash")
 
 
+def rotate(accounts: DataFrame, new_hashes: DataFrame) -> DataFrame:
+    """accounts with new key hashes (key_id, new_hash); the old ones are known no more."""
+    return accounts.join(new_hashes, "key_id", "left").withColumn("key_hash", F.coalesce("new_hash", "key_hash")).drop("new_hash")
+
+
+def touch(accounts: DataFrame, uses: DataFrame) -> DataFrame:
+    """accounts with the time of each key's last use (uses: key_id, at; many a key); it never goes back."""
+    last = uses.groupBy("key_id").agg(F.max("at").alias("_at"))
+    return accounts.join(last, "key_id", "left").withColumn("last_used", F.greatest("last_used", "_at")).drop("_at")
+
+
+def save_users(users: DataFrame, rows: DataFrame) -> DataFrame:
+    """users with rows inserted or replaced by name; a root user stays root and enabled whatever a row says."""
+    kept = users.where("is_root").select("username", F.lit(True).alias("_root"))
+    rows = rows.join(kept, "username", "left").withColumn("is_root", F.coalesce("_root", "is_root")).withColumn("enabled", F.coalesce("_root", "enabled")).drop("_root")
+    return users.join(rows, "username", "left_anti").unionByName(rows)
+
+
 def effective(users: DataFrame, accounts: DataFrame, now: Column) -> DataFrame:
     """What each account may really do now: its scopes and its user's, while both are enabled and it has not expired."""
     u = users.select(F.col("username").alias("parent_user"), F.col("scopes").alias("_user_scopes"), F.col("enabled").alias("_user_enabled"))

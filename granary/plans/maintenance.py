@@ -47,11 +47,6 @@ def block_totals(used: DataFrame) -> DataFrame:
     )
 
 
-def sorted_blocks(used: DataFrame, column: str, descending: bool = False, limit: int = 200) -> DataFrame:
-    """The first blocks by one column, with place; blocks without a value come first either way."""
-    return top(used, [F.desc_nulls_first(column) if descending else F.asc_nulls_first(column), F.asc("block_id")], limit)
-
-
 SORTED_BY = ("block_id", "size", "live_bytes", "utilisation", "ref_count", "create_time")
 
 
@@ -64,6 +59,25 @@ def block_places(used: DataFrame, columns: tuple[str, ...] = SORTED_BY) -> DataF
     return placed.select("block_id", F.split_part("_order", F.lit(" "), F.lit(1)).alias("sorted_by"), F.split_part("_order", F.lit(" "), F.lit(2)).alias("direction"), "place")
 
 
+def result_rows(grouped: DataFrame, committed: DataFrame) -> DataFrame:
+    """For each source block of the committed groups what a merge does with it, and a last row (block_id null) for all:
+    old and new bytes, what is saved (negative where a block grows), live chunks. grouped: with live_chunks."""
+    kept = grouped.join(committed.select("lane", "group_no"), ["lane", "group_no"], "left_semi")
+    sums = [F.sum("size").alias("old_bytes"), F.sum("live_bytes").alias("new_bytes"), F.sum(F.col("size") - F.col("live_bytes")).alias("bytes_saved"), F.sum("live_chunks").alias("live_chunks")]
+    return kept.rollup("block_id").agg(*sums)
+
+
+def merge_actions(moved: DataFrame, codec: str) -> DataFrame:
+    """moved (with each chunk's codec) and action: a chunk of the target's codec is copied as it lies, others are
+    compressed anew."""
+    return moved.withColumn("action", F.when(F.col("codec") == codec, "copy").otherwise("recompress"))
+
+
+def sealed_if_dead(blocks: DataFrame) -> DataFrame:
+    """Blocks after a pass that seals those that nothing refers to, which makes them free to go."""
+    return blocks.withColumn("sealed", F.col("sealed") | (F.col("ref_count") == 0))
+
+
 def candidates(used: DataFrame, pinned: DataFrame, options: CompactionOptions, now: int) -> DataFrame:
     """Sealed blocks worth rewriting, with the reason: low_util, undersized or both. Pinned and young blocks stay."""
     low = F.col("utilisation") < options.threshold
@@ -83,7 +97,7 @@ def groups(found: DataFrame, options: CompactionOptions, lane: Column) -> DataFr
             number, held = number + 1, 0
         return (number, held + row["live_bytes"]), (number,)
 
-    return fold(found.withColumn("lane", lane), "lane", ["live_bytes", "block_id"], step, {"group_no": "long"})
+    return fold(found.withColumn("lane", lane), "lane", ["live_bytes", "block_id"], step, {"group_no": "long"}, ["live_bytes"])
 
 
 def commits(grouped: DataFrame, options: CompactionOptions) -> DataFrame:
@@ -106,7 +120,7 @@ def within_budget(groups_: DataFrame, budget: int, headroom: int) -> DataFrame:
         fits = free >= row["live_bytes"] + headroom
         return free - row["live_bytes"] * fits, (fits,)
 
-    return fold(groups_, "lane", ["group_no"], step, {"fits": "boolean"}).where("fits").drop("fits")
+    return fold(groups_, "lane", ["group_no"], step, {"fits": "boolean"}, ["live_bytes"]).where("fits").drop("fits")
 
 
 def remap(file_chunks: DataFrame, moved: DataFrame) -> DataFrame:
@@ -137,6 +151,16 @@ def reclaimable(blocks: DataFrame, pinned: DataFrame) -> DataFrame:
     return blocks.where("ref_count = 0").join(pinned.select("block_id"), "block_id", "left_anti")
 
 
+def pass_counters(blocks: DataFrame, pinned: DataFrame, files: DataFrame, events: DataFrame, partitions_before: int, events_before: int) -> DataFrame:
+    """What one collection pass removes beside dedup rows: blocks and their bytes, files of expired time partitions and
+    how many such partitions there are, and audit events that are too old."""
+    b = reclaimable(blocks, pinned).agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    old = files.where(F.col("partition_id") < partitions_before)
+    f = old.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("partitions"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
+    a = events.agg(F.count_if(F.col("ts") < events_before).alias("audit_rows"))
+    return one_row(b, f, a)
+
+
 def collection_summary(blocks: DataFrame, pinned: DataFrame, dedup: DataFrame, files: DataFrame, hours: int = 24) -> DataFrame:
     """What a collection pass removes: blocks, bytes, dedup rows; and the time partitions that hold no file."""
     gone = reclaimable(blocks, pinned)
@@ -163,6 +187,24 @@ def scrub_report(scrubbed: DataFrame) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("blocks_checked"), F.count_if(F.col("faults") > 0).alias("blocks_damaged"), F.sum("chunks").alias("chunks_checked"), F.sum("faults").alias("faults"), F.sum("bytes").alias("bytes_checked"))
 
 
+#: Faults that a report lists; it counts all.
+REPORTED = 100
+
+
+def scrub_errors(scrubbed: DataFrame, order: list[str], limit: int = REPORTED) -> DataFrame:
+    """The first faults in an order, with place; the limit is the report's."""
+    return top(scrubbed.where("fault is not null"), [F.asc(c) for c in order], limit)
+
+
+def located(file_chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """file_chunks with the path of each chunk's container, or an error where its block is not known.
+
+    blocks: block_id, path.
+    """
+    joined = file_chunks.join(blocks.select("block_id", "path"), "block_id", "left")
+    return joined.withColumn("error", F.when(F.col("path").isNull(), F.concat(F.lit("no block "), F.col("block_id").cast("string"))))
+
+
 def repair(files: DataFrame, file_chunks: DataFrame, blocks: DataFrame, dedup: DataFrame, present: DataFrame) -> dict[str, DataFrame]:
     """What to remove where containers are missing: their blocks, the files that use them, and their dedup rows."""
     missing = blocks.select("block_id").join(present.select("block_id"), "block_id", "left_anti")

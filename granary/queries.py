@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,21 +9,9 @@ from . import relations as R
 from .functions import access, content, names
 from .operators import audit, catalog, chunks, ordered, users
 from .plans import maintenance, reads
+from .registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 # chunks
@@ -211,12 +197,11 @@ def block_totals(spark, sf_dir):
     return maintenance.block_totals(_used(spark, sf_dir))
 
 
-@query(f"""WITH {R.STORE} SELECT block_id, 'up' AS direction, row_number() OVER (ORDER BY utilisation ASC NULLS FIRST, block_id) - 1 AS place FROM used QUALIFY place < 200
-  UNION ALL SELECT block_id, 'down' AS direction, row_number() OVER (ORDER BY utilisation DESC NULLS FIRST, block_id) - 1 AS place FROM used QUALIFY place < 200""")
+@query(f"""WITH {R.STORE} SELECT block_id, 'up' AS direction, row_number() OVER (ORDER BY utilisation ASC NULLS FIRST, block_id) - 1 AS place FROM used
+  UNION ALL SELECT block_id, 'down' AS direction, row_number() OVER (ORDER BY utilisation DESC NULLS FIRST, block_id) - 1 AS place FROM used""")
 def block_sort_orders(spark, sf_dir):
-    """SRT-6: the first page of blocks either way, by one column; block_sort_places has all blocks and columns."""
-    up, down = (maintenance.sorted_blocks(_used(spark, sf_dir), "utilisation", d).select("block_id", F.lit(n).alias("direction"), "place") for n, d in (("up", False), ("down", True)))
-    return up.unionByName(down)
+    """SRT-6: the place of every block by utilisation, either way; block_sort_places has six columns."""
+    return maintenance.block_places(_used(spark, sf_dir), ("utilisation",)).select("block_id", "direction", "place")
 
 
 @query(f"WITH {R.STORE} " + " UNION ALL ".join(f"SELECT block_id, '{c}' AS sorted_by, '{n}' AS direction, row_number() OVER (ORDER BY {c} {o} NULLS FIRST, block_id) - 1 AS place FROM used" for c in maintenance.SORTED_BY for n, o in (("up", "ASC"), ("down", "DESC"))))
@@ -552,7 +537,7 @@ def name_functions(spark, sf_dir):
     )
 
 
-@query("""SELECT o_orderkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm ' || s % 60 || 's' WHEN s < 86400 THEN s // 3600 || 'h ' || s // 60 % 60 || 'm' ELSE s // 86400 || 'd ' || s // 3600 % 24 || 'h' END AS age
+@query("""SELECT o_orderkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm ' || s % 60 || 's' WHEN s < 86400 THEN s // 3600 || 'h ' || s // 60 % 60 || 'm' ELSE s // 86400 || 'd ' || s // 3600 % 24 || 'h ' || s // 60 % 60 || 'm' END AS age
   FROM (SELECT o_orderkey, CAST(o_orderkey * 7 AS BIGINT) AS s FROM orders)""")
 def durations(spark, sf_dir):
     """FN-19."""
@@ -565,3 +550,6 @@ def elided_sizes(spark, sf_dir):
     d = R.table(spark, sf_dir, "documents").select("doc_id", F.least("n_chars", F.lit(1000)).alias("size"))
     stored = content.stored_size(F.col("size"), F.lit(1000))
     return d.select("doc_id", stored.alias("stored"), content.effective_size(stored, F.lit(1000).cast("long")).alias("effective"), names.partition_id(F.col("doc_id") * 3600, 6).alias("partition_id"))
+
+
+from . import queries_store  # noqa: E402, F401 - registers more queries

@@ -7,8 +7,8 @@ from dataclasses import dataclass, fields, replace
 
 from ..functions.content import ALGORITHMS
 
-#: Names that older configurations used, and what to say about them.
-RENAMED = {"time_partition_hours_legacy": "time_partition_hours"}
+#: Keys of older configurations, and what takes their place now.
+RETIRED = {"auto_compact_min_size_bytes": "undersize_ratio", "auto_compact_min_benefit_bytes": "compaction_threshold"}
 
 
 @dataclass(frozen=True)
@@ -55,13 +55,13 @@ TEMPLATES = {
 
 
 def from_toml(text: str, template: str = "general") -> Options:
-    """Options from TOML (all at the top level or in [storage]); unknown and renamed keys are errors."""
+    """Options from TOML (all at the top level or in [storage]); unknown and retired keys are errors."""
     found = tomllib.loads(text)
     found = found.get("storage", found)
     known = {f.name for f in fields(Options)}
     for k in found:
-        if k in RENAMED:
-            raise ValueError(f"{k} is now called {RENAMED[k]}")
+        if k in RETIRED:
+            raise ValueError(f"{k} is no longer an option; {RETIRED[k]} decides what it did")
         if k not in known:
             raise ValueError(f"unknown option {k}")
     return replace(TEMPLATES[template], **found).checked()

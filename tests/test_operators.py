@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import access, content, names
-from granary.operators import audit, catalog, chunks, ordered
+from granary.operators import audit, catalog, chunks, ordered, users
 from granary.plans import maintenance, reads
 
 
@@ -169,3 +169,73 @@ def test_empty_tables(spark):
     assert chunks.dedup_stats(cut).first().chunks is None and reads.whole(cut).count() == 0
     assert catalog.totals(spark.createDataFrame([], "file_size long"), spark.createDataFrame([], "size long")).first().dedup_ratio == 1.0
     assert ordered.nearest_ranks(spark.createDataFrame([], "op string, elapsed double"), "op", "elapsed", [50]).count() == 0
+
+
+def test_chunks_without_hashes_keep_apart(spark):
+    """Two files of different content: both come back whole, and nothing of them is taken as the other's."""
+    files = spark.createDataFrame([("a", b"x" * 10), ("b", b"y" * 10)], "file_id string, content binary")
+    cut = chunks.identified(chunks.chunks(files, 4, algorithm="none"))
+    assert chunks.dedup_stats(cut).first().unique_chunks == 6
+    index = spark.createDataFrame([], "hash string, block_id long, offset long")
+    assert {r.stored for r in chunks.resolve(cut, index, [F.col("file_id"), F.col("idx")]).collect()} == {"new"}
+    assert sorted((r.file_id, bytes(r.content)) for r in reads.whole(cut.drop("hash").join(cut.select("file_id", "idx", "hash"), ["file_id", "idx"])).collect()) == [("a", b"x" * 10), ("b", b"y" * 10)]
+
+
+def test_long_files_come_back_in_order(spark):
+    data = bytes(range(256)) * 40
+    files = spark.createDataFrame([("a", data), ("b", b""), ("c", data[:7])], "file_id string, content binary")
+    assert {r.file_id: bytes(r.content) for r in reads.whole(chunks.chunks(files, 3).repartition(7)).collect()} == {"a": data, "b": b"", "c": data[:7]}
+
+
+def test_pages_by_key_are_pages_by_offset(spark):
+    files = spark.createDataFrame([(f"f{k}", k // 3) for k in range(25)], "file_id string, create_time long")
+    pages, last = [], None
+    while page := sorted(catalog.listing_after(files, last, 7).collect(), key=lambda r: r.place):
+        pages += page
+        last = page[-1].create_time, page[-1].file_id
+    assert [r.file_id for r in pages] == [r.file_id for r in files.orderBy(F.desc("create_time"), F.desc("file_id")).collect()]
+
+
+def test_fold_leaves_other_columns_alone(spark):
+    df = spark.createDataFrame([(k % 2, k, k + 1, bytes([k]), [k], {"k": k}) for k in range(20)], "lane int, k int, n int, raw binary, many array<int>, map map<string,int>")
+    got = ordered.fold(df, "lane", ["k"], lambda s, r: ((s or 0) + r["n"], ((s or 0) + r["n"],)), {"total": "long"}, ["n"]).collect()
+    for r in got:
+        assert r.total == sum(k + 1 for k in range(r.lane, r.k + 1, 2)) and bytes(r.raw) == bytes([r.k]) and r.many == [r.k] and r.map == {"k": r.k}
+
+
+def test_keys_and_users(spark):
+    keys = spark.createDataFrame([(1, "h1", 5), (2, "h2", None)], "key_id int, key_hash string, last_used long")
+    turned = users.rotate(keys, spark.createDataFrame([(1, "n1")], "key_id int, new_hash string"))
+    assert rows(turned.orderBy("key_id"), "key_id", "key_hash") == [(1, "n1"), (2, "h2")]
+    used = users.touch(turned, spark.createDataFrame([(1, 3), (2, 7), (2, 6), (9, 1)], "key_id int, at long"))
+    assert rows(used.orderBy("key_id"), "key_id", "last_used") == [(1, 5), (2, 7)]
+    people = spark.createDataFrame([("root", True, True), ("ann", True, False)], "username string, enabled boolean, is_root boolean")
+    saved = users.save_users(people, spark.createDataFrame([("root", False, False), ("ann", False, False), ("bo", True, False)], people.schema))
+    assert sorted(tuple(r) for r in saved.collect()) == [("ann", False, False), ("bo", True, False), ("root", True, True)]
+    found = users.key_owner(spark.createDataFrame([("n1",), ("zz",)], "key_hash string"), turned.withColumn("parent_user", F.lit("ann")))
+    assert rows(found, "key_id", "parent_user") == [(1, "ann")]
+
+
+def test_small_functions(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("v")).first().v
+    assert get(names.download_header(F.lit("a b\u00e9.txt"))) == "attachment; filename=\"a b__.txt\"; filename*=UTF-8''a%20b%C3%A9.txt"
+    assert [get(content.from_hex(F.lit(x))) for x in ("00ff", "0", "zz", "")] == [bytearray(b"\0\xff"), None, None, bytearray()]
+    assert [get(names.retryable(F.lit(x))) for x in ("Io", "NotFound")] == [True, False] and get(names.retryable(F.lit(None).cast("string"))) is False
+    assert [get(access.scopes_valid(F.array(*map(F.lit, s)))) for s in (("read",), ("read", "root"))] == [True, False]
+    assert [get(names.duration_text(F.lit(s))) for s in (45, 185, 7260, 356_520)] == ["45s", "3m 5s", "2h 1m", "4d 3h 2m"]
+    events = spark.createDataFrame([(1,), (5,)], "ts long")
+    assert audit.retained(events, 5).count() == 1
+    files = spark.createDataFrame([("a", 1), ("b", 2)], "file_id string, create_time long")
+    assert [r.file_id for r in catalog.newest_first(files).collect()] == ["b", "a"]
+
+
+def test_codec_sizes_are_those_of_the_library(spark):
+    import pyarrow as pa
+
+    raw = [b"abc" * 100, b"", bytes(range(256))]
+    df = spark.createDataFrame([(x,) for x in raw], "raw binary")
+    for codec, level in (("zstd", 1), ("zstd", 9), ("lz4", 0)):
+        c = pa.Codec("zstd", level) if codec == "zstd" else pa.Codec("lz4")
+        got = df.select(F.octet_length(content.compress(F.col("raw"), codec, level)).alias("n")).collect()
+        assert sorted(r.n for r in got) == sorted(len(c.compress(x)) for x in raw)

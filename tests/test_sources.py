@@ -1,9 +1,9 @@
-"""Readers, options, snapshots and streams."""
+"""Readers, options, exports and streams."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from granary.sources import files, options, snapshots
+from granary.sources import exports, files, options
 from granary.streaming import ingest
 
 
@@ -17,10 +17,16 @@ def test_containers_and_objects(spark, tmp_path):
 
 
 def test_metrics(spark):
-    text = ["# HELP x", "puts_total 12", "gets_total{kind=\"a\"} 3", "put_seconds_count 4", "put_seconds_sum 2", "put_seconds{quantile=\"0.5\"} 0.25", "nonsense line here"]
-    got = {r.name: r for r in files.metrics(spark.createDataFrame([(x,) for x in text], "value string")).collect()}
-    assert set(got) == {"puts_total", "put_seconds"}
-    assert got["puts_total"].value == 12 and got["put_seconds"].mean == 0.5 and got["put_seconds"].quantiles == {"0.5": 0.25}
+    text = [
+        "# HELP x", "# TYPE put_seconds summary", "# TYPE gets_total counter", "", "puts_total 12", 'gets_total{kind="a",why="it \\"is\\", {so}"} 3 1700000000000', 'gets_total{kind="b"} 4', "put_seconds_count 4",
+        "put_seconds_sum 2", 'put_seconds{quantile="0.5"} 0.25', 'put_seconds{quantile="0.9"} 1e-1', "depth -Inf", "odd NaN", "nonsense line here", "broken{a=1} x", "9bad 1", "orphan_sum 7", "late 1 2 3",
+    ]
+    got = {(r.name, tuple(sorted((r.labels or {}).items()))): r for r in files.metrics(spark.createDataFrame([(x,) for x in text], "value string")).collect()}
+    assert set(got) == {("puts_total", ()), ("gets_total", (("kind", "a"), ("why", 'it "is", {so}'))), ("gets_total", (("kind", "b"),)), ("put_seconds", ()), ("depth", ()), ("odd", ()), ("orphan_sum", ())}
+    assert got["puts_total", ()].value == 12 and got["gets_total", (("kind", "b"),)].kind == "counter" and got["orphan_sum", ()].value == 7
+    whole = got["put_seconds", ()]
+    assert (whole.kind, whole["count"], whole["sum"], whole.mean, whole.quantiles) == ("summary", 4, 2, 0.5, {"0.5": 0.25, "0.9": 0.1})
+    assert [r.at for r in files.samples(spark.createDataFrame([(text[5],)], "value string")).collect()] == [1700000000000]
 
 
 def test_options():
@@ -28,16 +34,35 @@ def test_options():
     for bad in ("chunk_size = 1", "codec = 'gzip'", "nothing = 1", "compaction_threshold = 2.0", "block_size = 600\nchunk_size = 700"):
         with pytest.raises(ValueError):
             options.from_toml(bad)
+    for retired in options.RETIRED:
+        with pytest.raises(ValueError, match="no longer"):
+            options.from_toml(f"[storage]\n{retired} = 1")
     assert all(t.checked() for t in options.TEMPLATES.values())
 
 
-def test_snapshots(spark, tmp_path):
-    root = str(tmp_path / "store")
-    assert snapshots.latest(spark, root) is None
-    assert snapshots.commit(spark, root, {"files": spark.range(3), "blocks": spark.range(1)}) == 1
-    assert snapshots.commit(spark, root, {"files": spark.range(5), "blocks": spark.range(2)}) == 2
-    assert snapshots.read(spark, root, "files").count() == 5 and snapshots.read(spark, root, "files", 1).count() == 3
-    assert snapshots.retain(spark, root, 1) == [1] and snapshots.latest(spark, root) == 2
+def test_exports(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame([("s", p, c.encode()) for p, c in r], "subtree string, path string, content binary")
+    one, two, target = (str(tmp_path / n) for n in ("one", "two", "target"))
+    whole = exports.write_export(rows(("a", "1"), ("b", "2")), one)
+    exports.write_export(rows(("a", "1"), ("b", "3"), ("c", "")), two, whole)
+    assert sorted(r.path for r in spark.read.parquet(f"{two}/entries").collect()) == ["b", "c"]
+    back = exports.restore(spark, [one, two], target)
+    assert sorted((r.path, bytes(r.content)) for r in back.collect()) == [("a", b"1"), ("b", b"3"), ("c", b"")]
+    with pytest.raises(Exception, match="(?i)exist"):
+        exports.restore(spark, [one], target)
+    assert exports.restore(spark, [one], target, force=True).count() == 2
+    with pytest.raises(ValueError, match="holds a"):
+        exports.restore(spark, [two], str(tmp_path / "other"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        exports.write_export(rows(("a", "1")), one)
+    exports.manifest(spark, one).withColumn("version", F.lit(9)).write.parquet(f"{tmp_path}/later/manifest")
+    with pytest.raises(ValueError, match="version 9"):
+        exports.restore(spark, [str(tmp_path / "later")], str(tmp_path / "other"))
+
+
+def test_manifest_lines(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"subtree": "s", "path": "a/b", "size": 3, "content_hash": "00"}\n')
+    assert [tuple(r) for r in files.manifest(spark, str(tmp_path / "m.json")).collect()] == [("s", "a/b", 3, "00")]
 
 
 def test_stream_ingest(spark, sf, tmp_path):
