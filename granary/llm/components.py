@@ -1,6 +1,8 @@
 """Connected components of a table of links, by alternating star contraction (large star, small star).
 
-Every round is a grouped minimum and a join on the links; nothing but two numbers a round comes to the driver.
+Every round is a grouped minimum and a join on the links; nothing but two numbers a round comes to the driver. A node
+with very many links is one key of that join, whose side of links Spark splits where it is skewed (the minimum's side
+has one row a node). Links with a null end or of a node to itself join nothing; no links give no rows.
 """
 
 from __future__ import annotations
