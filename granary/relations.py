@@ -44,12 +44,17 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """block_id, region, size, create_time, sealed, ref_count. A block was full when all its references were live."""
-    full = references(spark, sf_dir).groupBy("block_id", "hash").agg(F.min("compressed_size").alias("s")).groupBy("block_id").agg(F.sum("s").alias("full"))
-    counts = references(spark, sf_dir, live=True).groupBy("block_id").agg(F.count(F.lit(1)).alias("ref_count"))
+    """block_id, region, size, create_time, sealed, ref_count. A block was full when all its references were live.
+
+    References are read once: each block and content has its size and how many of its references are live.
+    """
+    kept = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), (F.col("o_orderstatus") != "F").cast("int").alias("live"))
+    each = references(spark, sf_dir).join(kept, "file_id", "left").groupBy("block_id", "hash").agg(F.min("compressed_size").alias("s"), F.sum(F.coalesce("live", F.lit(0))).alias("n"))
+    sums = each.groupBy("block_id").agg(F.sum("s").alias("full"), F.sum("n").alias("n"))
     size = (F.coalesce("full", F.lit(0)) * (1 + F.col("region"))).cast("long")
-    out = regions(spark, sf_dir).join(full, "block_id", "left").join(counts, "block_id", "left")
-    return out.select("block_id", "region", size.alias("size"), (F.col("block_id") * 1000).alias("create_time"), (F.col("s_acctbal") < 9000).alias("sealed"), F.coalesce("ref_count", F.lit(0)).alias("ref_count"))
+    count = F.when(F.col("region") != 2, F.coalesce("n", F.lit(0))).otherwise(0).cast("long")
+    out = regions(spark, sf_dir).join(sums, "block_id", "left")
+    return out.select("block_id", "region", size.alias("size"), (F.col("block_id") * 1000).alias("create_time"), (F.col("s_acctbal") < 9000).alias("sealed"), count.alias("ref_count"))
 
 
 def pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
