@@ -229,7 +229,8 @@ def removals(docs: DataFrame, most: int = THRESHOLD, every: int = EVERY) -> Data
     last = _later(texts, more, most, every).withColumn("linked", F.lit(True))
 
     linked = settled.unionByName(last).distinct()
-    repeated = classes.join(linked, ["h", "g"], "left").where("n > 1 or linked").select("h", "g", "first", "linked")
+    # a table of its own, so that Spark can split the places of a line that very many documents have
+    repeated = written(classes.join(linked, ["h", "g"], "left").where("n > 1 or linked").select("h", "g", "first", "linked"), "repeated")
     goes = F.coalesce("linked", F.lit(False)) | (F.struct("d", "t", "pos") != F.col("first"))
     return occurrences.join(repeated, ["h", "g"]).where(goes).groupBy("d", "t").agg(F.collect_set("pos").alias("gone"))
 
