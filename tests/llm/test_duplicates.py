@@ -125,7 +125,7 @@ def test_line_dedup_is_brute_force(spark, most):
     base += [" ".join(r.choice(words) for _ in range(9))[: r.randrange(10, 28)].strip() for _ in range(10)]  # about the lengths where another edit is allowed
     rows = [(k, "\n".join(r.choice([changed(r, r.choice(base), 3), r.choice(base), "", "  " + r.choice(base), "\t" + r.choice(base) + "\r"]) for _ in range(r.randrange(9))), "x", k) for k in range(60)]
     rows += [(200, None, "x", 1), (201, "", "x", 1), (None, base[0] + "\na line of its own that is long enough", "x", 1), (5, "same key", None, None), (9, "twice\ntwice", "y", 2), (9, "twice\ntwice", "y", 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, d string, t long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, d string, t long").withColumn("N_lines", F.lit("own"))
     got = line_dedup.without_repeated_lines(docs, most=most).collect()
     hashes = {(x.doc_id, x.text): x.h for x in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     seen, want, done = [], [], {}
@@ -142,17 +142,16 @@ def test_line_dedup_is_brute_force(spark, most):
             done[key, text] = "\n".join(kept)
         want.append((key, done[key, text]))
     assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted(want, key=str)
-    assert set(docs.columns) < set(got[0].asDict())
-    assert line_dedup.without_repeated_lines(docs.withColumns({"N_lines": F.lit("own"), "x": F.lit(1)})).select("n_lines", "x").schema.simpleString() == "struct<n_lines:bigint,x:int>"
-    assert line_dedup.without_repeated_lines(docs.withColumn("n_lines", F.lit("own")), counts=None).select("n_lines").distinct().collect() == [("own",)]
-    assert line_dedup.without_repeated_lines(docs.where(F.lit(False))).count() == 0
+    assert list(got[0].asDict()) == ["doc_id", "text", "d", "t", "n_lines", "n_removed"] and all(isinstance(x.n_lines, int) for x in got)
+    none = line_dedup.without_repeated_lines(docs.where(F.lit(False)), counts=None)
+    assert none.columns == docs.columns and none.count() == 0
 
 
 def test_variants_of_one_line_make_few_pairs(spark, monkeypatch):
     """Variants are paired with one of them, in whatever order they come; those too far from it meet each other."""
     r = random.Random(4)
-    line = "".join(r.choice("abcdefgh ") for _ in range(120))
-    lines = [line[:k] + c + line[k + 1 :] for k in range(120) for c in "xyzuvw01234"]
+    line = "".join(r.choice("abcdefgh ") for _ in range(60))
+    lines = [line[:k] + c + line[k + 1 :] for k in range(60) for c in "xyzuvw01234"]
     r.shuffle(lines)
     counted = []
     monkeypatch.setattr(line_dedup, "_pairs", lambda a, b, rows, own=line_dedup._pairs: counted.append(own(a, b, rows)) or counted[-1])
