@@ -30,28 +30,29 @@ def range_bounds(docs: DataFrame, key: str, count: int) -> list[int]:
     return sorted(found or [])
 
 
+def _below(value: F.Column, bounds: F.Column, count: int, equal: bool) -> F.Column:
+    """How many of the ascending bounds are below the value (or equal to it), found in steps of halved size."""
+
+    def step(found: F.Column, size: F.Column) -> F.Column:
+        bound = F.get(bounds, found + size - 1)  # null behind the last one
+        return F.when(bound <= value if equal else bound < value, found + size).otherwise(found)
+
+    sizes = [1 << k for k in reversed(range(count.bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, sizes)), F.lit(0), step)
+
+
 def range_of(key: F.Column, tie: F.Column, bounds: list[int]) -> F.Column:
     """The number of the range that a row lies in, by a search of the bounds in as many steps as their logarithm.
 
     Rows in order of (key, tie) have ascending numbers. tie: a hash; a key that is a bound several times is dealt to
     all of its ranges by it.
     """
-    places: dict[int, list[int]] = {}
-    for k, b in enumerate(bounds):
-        places.setdefault(b, []).append(k)
-    known = [(b, at[0], len(at)) for b, at in places.items()]
-    own = comparable(key)
+    if not bounds:
+        return F.lit(0)
+    own, known = comparable(key), F.array(*(F.lit(b).cast("long") for b in bounds))
     share = (F.shiftright(tie, 33) + (1 << 30)).cast("double") / (1 << 31)
-
-    def search(low: int, high: int) -> F.Column:
-        if low == high:
-            return F.lit(known[low - 1][1] + known[low - 1][2] if low else 0)
-        mid = (low + high) // 2
-        bound, first, times = known[mid]
-        equal = F.lit(first) if times == 1 else (F.lit(first) + F.floor(share * (times + 1))).cast("int")
-        return F.when(own < bound, search(low, mid)).when(own == bound, equal).otherwise(search(mid + 1, high))
-
-    return search(0, len(known)).cast("int")
+    low, times = _below(own, known, len(bounds), False), _below(own, known, len(bounds), True) - _below(own, known, len(bounds), False)
+    return (low + F.when(times > 1, F.floor(share * (times + 1))).otherwise(0)).cast("int")
 
 
 def with_next(docs: DataFrame, key: str, text: str, work: Callable[[list[tuple], str], list[tuple]], schema: str, arrow: pa.Schema, size: int = 300_000) -> DataFrame:
