@@ -17,7 +17,8 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 # chunks
 
 
-@query(f"WITH {R.chunked_sql(1024)} SELECT CAST(count(*) AS BIGINT) AS chunks, count(DISTINCT hash) AS unique_chunks, CAST(sum(size) AS BIGINT) AS raw_bytes, (SELECT CAST(sum(s) AS BIGINT) FROM (SELECT min(size) AS s FROM chunks GROUP BY hash)) AS unique_bytes FROM chunks")
+@query(f"""WITH {R.chunked_sql(1024)} SELECT CAST(count(*) AS BIGINT) AS chunks, count(DISTINCT hash) AS unique_chunks, CAST(sum(size) AS BIGINT) AS raw_bytes, (SELECT CAST(sum(s) AS BIGINT)
+  FROM (SELECT min(size) AS s FROM chunks GROUP BY hash)) AS unique_bytes FROM chunks""")
 def chunk_dedup_stats(spark, sf_dir):
     """CHK-1, CHK-3, FN-1, AGG-3: how much storing each chunk once saves."""
     return chunks.dedup_stats(R.chunked(spark, sf_dir, 1024))
@@ -47,7 +48,8 @@ def chunk_resolution(spark, sf_dir):
     return chunks.resolve(cut, index, [F.col("doc_id"), F.col("idx")]).select("doc_id", "idx", "hash", "stored")
 
 
-@query(f"""WITH RECURSIVE {R.chunked_sql(1024)}, unique_chunks AS (SELECT hash, min(doc_id * 1000000 + idx) AS place, min(size) AS size FROM chunks GROUP BY 1),
+@query(f"""WITH RECURSIVE {R.chunked_sql(1024)}, unique_chunks AS (SELECT hash, min(doc_id * 1000000 + idx) AS place, min(size) AS size
+  FROM chunks GROUP BY 1),
   numbered AS (SELECT *, substr(hash, 1, 2) AS lane, row_number() OVER (PARTITION BY substr(hash, 1, 2) ORDER BY place, hash) AS n FROM unique_chunks),
   filled AS (SELECT lane, n, hash, size, CAST(0 AS BIGINT) AS block_no, CAST(72 AS BIGINT) AS "offset" FROM numbered WHERE n = 1
     UNION ALL SELECT x.lane, x.n, x.hash, x.size, CASE WHEN f."offset" + f.size + x.size >= 65536 THEN f.block_no + 1 ELSE f.block_no END,
@@ -85,13 +87,18 @@ def compression_ratio(spark, sf_dir):
 # catalog
 
 
-@query(f"WITH {R.FILES}, hits AS (SELECT * FROM files WHERE contains(lower(file_name), 'src1/en') OR contains(file_id, 'src1/en')) SELECT place, file_id, file_size FROM (SELECT *, row_number() OVER (ORDER BY file_size DESC, create_time ASC, file_id DESC) - 1 AS place FROM hits) WHERE place >= 5 AND place < 30")
+@query(f"""WITH {R.FILES}, hits AS (SELECT * FROM files
+  WHERE contains(lower(file_name), 'src1/en') OR contains(file_id, 'src1/en')) SELECT place, file_id, file_size
+  FROM (SELECT *, row_number() OVER (ORDER BY file_size DESC, create_time ASC, file_id DESC) - 1 AS place FROM hits)
+  WHERE place >= 5 AND place < 30""")
 def file_listing_page(spark, sf_dir):
     """SRT-1, FLT-1, FLT-10: a page of search hits, largest first, with the ties' order."""
     return catalog.listing(R.files(spark, sf_dir), "SRC1/en", sort="file_size", offset=5, limit=25).select("place", "file_id", "file_size")
 
 
-@query(f"WITH {R.FILES} SELECT place, file_id, create_time FROM (SELECT *, row_number() OVER (ORDER BY create_time DESC, file_id DESC) - 1 AS place FROM files WHERE partition_id IN (0, 1, 5)) WHERE place < 200")
+@query(f"""WITH {R.FILES} SELECT place, file_id, create_time
+  FROM (SELECT *, row_number() OVER (ORDER BY create_time DESC, file_id DESC) - 1 AS place FROM files
+  WHERE partition_id IN (0, 1, 5)) WHERE place < 200""")
 def file_listing_allowed(spark, sf_dir):
     """FLT-2, SRC-1, SRC-4: the newest files of the partitions that a key may see."""
     return catalog.listing(R.files(spark, sf_dir), allowed=["0", "1", "5"]).select("place", "file_id", "create_time")
@@ -103,7 +110,9 @@ def partition_stats(spark, sf_dir):
     return catalog.by_partition(R.files(spark, sf_dir))
 
 
-@query(f"WITH {R.FILES}, {R.STORE} SELECT files, logical_bytes, blocks, disk_bytes, CASE WHEN disk_bytes = 0 THEN 1.0 ELSE greatest(logical_bytes / disk_bytes, 1.0) END AS dedup_ratio FROM (SELECT count(*) AS files, CAST(sum(file_size) AS BIGINT) AS logical_bytes FROM files), (SELECT count(*) AS blocks, CAST(sum(size) AS BIGINT) AS disk_bytes FROM blocks)")
+@query(f"""WITH {R.FILES}, {R.STORE} SELECT files, logical_bytes, blocks, disk_bytes, CASE WHEN disk_bytes = 0 THEN 1.0 ELSE greatest(logical_bytes / disk_bytes, 1.0) END AS dedup_ratio
+  FROM (SELECT count(*) AS files, CAST(sum(file_size) AS BIGINT) AS logical_bytes
+  FROM files), (SELECT count(*) AS blocks, CAST(sum(size) AS BIGINT) AS disk_bytes FROM blocks)""")
 def catalog_stats(spark, sf_dir):
     """AGG-2, SRC-16."""
     return catalog.totals(R.files(spark, sf_dir), R.blocks(spark, sf_dir))
@@ -137,14 +146,16 @@ def conflict_policy(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("SELECT conv_id AS file_id, turn AS arrival, md5(text) AS hash FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE turn = last")
+@query("""SELECT conv_id AS file_id, turn AS arrival, md5(text) AS hash
+  FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE turn = last""")
 def overwrite_survivors(spark, sf_dir):
     """SNK-5, SNK-8: the content that each id ends up with."""
     arrivals = R.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("arrival"), F.md5("text").alias("hash"))
     return catalog.survivors(arrivals, "overwrite")
 
 
-@query(f"""WITH {R.STORE}, d AS (SELECT block_id, sum(n) AS delta FROM (SELECT block_id, 1 AS n FROM live_refs UNION ALL SELECT block_id, -1 FROM refs) GROUP BY 1)
+@query(f"""WITH {R.STORE}, d AS (SELECT block_id, sum(n) AS delta FROM (SELECT block_id, 1 AS n FROM live_refs
+  UNION ALL SELECT block_id, -1 FROM refs) GROUP BY 1)
   SELECT block_id, greatest(CAST(b.ref_count + coalesce(delta, 0) AS BIGINT), 0) AS ref_count, CAST(coalesce(delta, 0) AS BIGINT) AS delta FROM blocks b LEFT JOIN d USING (block_id)""")
 def reference_deltas(spark, sf_dir):
     """SNK-5, SNK-6, SNK-9, CHK-9, SET-4, FN-21: new counts after a swap of references."""
@@ -159,13 +170,16 @@ def ref_counts(spark, sf_dir):
     return chunks.reference_counts(R.references(spark, sf_dir))
 
 
-@query(f"WITH {R.STORE}, f AS (SELECT file_id, block_id, min(idx) AS idx FROM refs GROUP BY 1, 2) SELECT file_id, block_id, row_number() OVER (PARTITION BY file_id ORDER BY idx, block_id) - 1 AS pool_index FROM f")
+@query(f"""WITH {R.STORE}, f AS (SELECT file_id, block_id, min(idx) AS idx
+  FROM refs GROUP BY 1, 2) SELECT file_id, block_id, row_number() OVER (PARTITION BY file_id ORDER BY idx, block_id) - 1 AS pool_index
+  FROM f""")
 def block_pool(spark, sf_dir):
     """CHK-7."""
     return chunks.block_pool(R.references(spark, sf_dir))
 
 
-@query(f"WITH {R.STORE} SELECT file_id, chunks, o_orderstatus FROM (SELECT file_id, count(*) AS chunks FROM refs WHERE block_id = 3 GROUP BY 1) JOIN orders ON o_orderkey = file_id")
+@query(f"""WITH {R.STORE} SELECT file_id, chunks, o_orderstatus FROM (SELECT file_id, count(*) AS chunks FROM refs
+  WHERE block_id = 3 GROUP BY 1) JOIN orders ON o_orderkey = file_id""")
 def block_detail(spark, sf_dir):
     """JOIN-11, SRC-6, JOIN-2."""
     files = R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), "o_orderstatus")
@@ -191,13 +205,15 @@ def block_utilization(spark, sf_dir):
     return _used(spark, sf_dir).select("block_id", "size", "ref_count", "live_bytes", "utilisation")
 
 
-@query(f"WITH {R.STORE} SELECT count(*) AS blocks, CAST(sum(size) AS BIGINT) AS size, CAST(sum(live_bytes) AS BIGINT) AS live_bytes, count(*) FILTER (NOT sealed) AS unsealed, count(*) FILTER (ref_count = 0) AS orphans, count(*) FILTER (sealed AND utilisation < 0.5) AS low FROM used")
+@query(f"""WITH {R.STORE} SELECT count(*) AS blocks, CAST(sum(size) AS BIGINT) AS size, CAST(sum(live_bytes) AS BIGINT) AS live_bytes, count(*) FILTER (NOT sealed) AS unsealed, count(*) FILTER (ref_count = 0) AS orphans, count(*) FILTER (sealed AND utilisation < 0.5) AS low
+  FROM used""")
 def block_totals(spark, sf_dir):
     """AGG-14, FLT-13."""
     return maintenance.block_totals(_used(spark, sf_dir))
 
 
-@query(f"""WITH {R.STORE} SELECT block_id, 'up' AS direction, row_number() OVER (ORDER BY utilisation ASC NULLS FIRST, block_id) - 1 AS place FROM used
+@query(f"""WITH {R.STORE} SELECT block_id, 'up' AS direction, row_number() OVER (ORDER BY utilisation ASC NULLS FIRST, block_id) - 1 AS place
+  FROM used
   UNION ALL SELECT block_id, 'down' AS direction, row_number() OVER (ORDER BY utilisation DESC NULLS FIRST, block_id) - 1 AS place FROM used""")
 def block_sort_orders(spark, sf_dir):
     """SRT-6: the place of every block by utilisation, either way; block_sort_places has six columns."""
@@ -216,7 +232,8 @@ def gc_reclaim(spark, sf_dir):
     return maintenance.reclaimable(R.blocks(spark, sf_dir), R.pinned(spark, sf_dir)).select("block_id", "size")
 
 
-@query(f"WITH {R.STORE}, gone AS (SELECT block_id FROM blocks WHERE ref_count = 0 AND block_id NOT IN (SELECT block_id FROM pinned)) SELECT hash, block_id FROM dedup WHERE block_id NOT IN (SELECT block_id FROM gone)")
+@query(f"""WITH {R.STORE}, gone AS (SELECT block_id FROM blocks WHERE ref_count = 0 AND block_id NOT IN (SELECT block_id
+  FROM pinned)) SELECT hash, block_id FROM dedup WHERE block_id NOT IN (SELECT block_id FROM gone)""")
 def dedup_purge(spark, sf_dir):
     """SNK-11, SRC-8: the dedup index after a collection pass."""
     return catalog.purge_dedup(R.dedup(spark, sf_dir), maintenance.reclaimable(R.blocks(spark, sf_dir), R.pinned(spark, sf_dir)))
@@ -301,7 +318,8 @@ def remap_chunks(spark, sf_dir):
     return maintenance.remap(refs, _moved(spark, sf_dir)).select("file_id", "idx", "hash", "block_id", "offset", "compressed_size")
 
 
-@query(f"WITH RECURSIVE {_CANDIDATES}{_MOVED} SELECT count(*) AS unmatched FROM refs r WHERE block_id IN (SELECT block_id FROM moved) AND NOT EXISTS (SELECT 1 FROM moved m WHERE m.block_id = r.block_id AND m.hash = r.hash)")
+@query(f"""WITH RECURSIVE {_CANDIDATES}{_MOVED} SELECT count(*) AS unmatched FROM refs r WHERE block_id IN (SELECT block_id
+  FROM moved) AND NOT EXISTS (SELECT 1 FROM moved m WHERE m.block_id = r.block_id AND m.hash = r.hash)""")
 def remap_errors(spark, sf_dir):
     """JOIN-7's guard: references (deleted ones too) that no moved chunk serves."""
     return maintenance.unmatched(R.references(spark, sf_dir), _moved(spark, sf_dir)).agg(F.count(F.lit(1)).alias("unmatched"))
@@ -319,7 +337,8 @@ def repair_plan(spark, sf_dir):
     return ordered.one_row(*counts)
 
 
-@query(f"WITH {R.STORE} SELECT s_suppkey + (CASE WHEN s_acctbal > 5000 THEN 500000 ELSE 0 END) AS block_id, CASE WHEN s_acctbal < 2000 THEN 'keep' WHEN s_acctbal <= 5000 THEN 'quarantine' ELSE 'delete' END AS action FROM supplier")
+@query(f"""WITH {R.STORE} SELECT s_suppkey + (CASE WHEN s_acctbal > 5000 THEN 500000 ELSE 0 END) AS block_id, CASE WHEN s_acctbal < 2000 THEN 'keep' WHEN s_acctbal <= 5000 THEN 'quarantine' ELSE 'delete' END AS action
+  FROM supplier""")
 def startup_actions(spark, sf_dir):
     """MNT-8, SRC-12, STR-5: what to do with each container found at start."""
     s = R.table(spark, sf_dir, "supplier")
@@ -372,7 +391,8 @@ def range_read(spark, sf_dir):
     return reads.byte_ranges(cut, requests, files).select("request_id", "status", F.sha2("content", 256).alias("hash"))
 
 
-@query("""WITH h AS (SELECT doc_id, n_chars AS size, header FROM documents, (VALUES ('bytes=0-99'), ('bytes=500-'), ('bytes=-100'), ('bytes=0-1,2-3'), ('items=1-2'), ('bytes=5-3'), ('bytes=-'), ('bytes=x')) v(header))
+@query("""WITH h AS (SELECT doc_id, n_chars AS size, header
+  FROM documents, (VALUES ('bytes=0-99'), ('bytes=500-'), ('bytes=-100'), ('bytes=0-1,2-3'), ('items=1-2'), ('bytes=5-3'), ('bytes=-'), ('bytes=x')) v(header))
   SELECT doc_id, header, CASE WHEN header = 'bytes=0-99' THEN 'ok' WHEN header = 'bytes=500-' THEN CASE WHEN size > 500 THEN 'ok' ELSE 'unsatisfiable' END WHEN header = 'bytes=-100' THEN 'ok'
       WHEN header = 'bytes=0-1,2-3' THEN 'multi' WHEN header = 'bytes=5-3' THEN 'unsatisfiable' ELSE 'malformed' END AS status,
     CASE WHEN header = 'bytes=0-99' THEN 0 WHEN header = 'bytes=500-' AND size > 500 THEN 500 WHEN header = 'bytes=-100' THEN greatest(size - 100, 0) END AS first,
@@ -388,7 +408,8 @@ def range_headers(spark, sf_dir):
 # audit and operations
 
 
-@query(f"WITH {R.AUDIT} SELECT row_number() OVER (ORDER BY ts DESC, seq DESC) - 1 AS place, ts, seq, actor_key_id, action FROM audit WHERE ts BETWEEN 1704153600 AND 1705276800 AND starts_with(action, 'auth.p') QUALIFY place < 200")
+@query(f"""WITH {R.AUDIT} SELECT row_number() OVER (ORDER BY ts DESC, seq DESC) - 1 AS place, ts, seq, actor_key_id, action
+  FROM audit WHERE ts BETWEEN 1704153600 AND 1705276800 AND starts_with(action, 'auth.p') QUALIFY place < 200""")
 def audit_page(spark, sf_dir):
     """SRC-9, FLT-3, SRT-2."""
     return audit.page(R.audit(spark, sf_dir), 1704153600, 1705276800, action_prefix="auth.p").select("place", "ts", "seq", "actor_key_id", "action")
@@ -406,7 +427,8 @@ def audit_sequence(spark, sf_dir):
     return audit.numbered(R.audit(spark, sf_dir).select("ts", F.col("seq").alias("event_id")))
 
 
-@query("SELECT event_id, CASE WHEN user_id * 5 < 400 THEN 'ok' WHEN user_id * 5 < 500 THEN 'denied' ELSE 'error' END AS outcome, '10.0.0.' || user_id AS client FROM events")
+@query("""SELECT event_id, CASE WHEN user_id * 5 < 400 THEN 'ok' WHEN user_id * 5 < 500 THEN 'denied' ELSE 'error' END AS outcome, '10.0.0.' || user_id AS client
+  FROM events""")
 def audit_outcomes(spark, sf_dir):
     """FN-15, FN-16."""
     e = R.table(spark, sf_dir, "events")
@@ -414,7 +436,8 @@ def audit_outcomes(spark, sf_dir):
     return e.select("event_id", names.audit_outcome(F.col("user_id") * 5).alias("outcome"), names.client_address(forwarded, F.concat(F.lit("10.0.0."), F.col("user_id"))).alias("client"))
 
 
-@query(f"""WITH {R.OPERATIONS}, r AS (SELECT op, elapsed, row_number() OVER (PARTITION BY op ORDER BY elapsed) - 1 AS k, count(*) OVER (PARTITION BY op) AS n FROM operations),
+@query(f"""WITH {R.OPERATIONS}, r AS (SELECT op, elapsed, row_number() OVER (PARTITION BY op ORDER BY elapsed) - 1 AS k, count(*) OVER (PARTITION BY op) AS n
+  FROM operations),
   p AS (SELECT unnest([50, 95, 99]) AS percent) SELECT DISTINCT op, percent, elapsed FROM r, p WHERE k = CAST(round_even(percent / 100.0 * (n - 1), 0) AS BIGINT)""")
 def latency_percentiles(spark, sf_dir):
     """AGG-16, AGG-15: nearest-rank percentiles, half to even."""
@@ -433,7 +456,9 @@ def status_histogram(spark, sf_dir):
     return audit.status_histogram(R.operations(spark, sf_dir))
 
 
-@query("SELECT event_id, user_id, age FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events) WHERE age <= 60")
+@query("""SELECT event_id, user_id, age
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events)
+  WHERE age <= 60""")
 def latest_samples(spark, sf_dir):
     """WIN-6: the last 60 samples of each series; the limit is the feature."""
     return ordered.latest(R.table(spark, sf_dir, "events"), ["user_id"], F.struct("ts", "event_id").desc(), 60).select("event_id", "user_id", F.col("age").cast("long").alias("age"))
@@ -451,13 +476,15 @@ def access_checks(spark, sf_dir):
     return a.select("key_id", *(access.has_scope(s, w).alias(n) for w, n in (("read", "may_read"), ("write", "may_write"), ("admin", "is_admin"))), access.key_valid(F.col("enabled"), F.col("expires_at"), F.lit(1000)).alias("valid"), access.owns(s, F.col("parent_user"), F.lit("u7")).alias("owns_u7"))
 
 
-@query(f"""WITH {R.PEOPLE} SELECT key_id, array_to_string(list_sort(list_distinct(flatten(list_transform(scopes, lambda s: CASE s WHEN 'operator' THEN ['read', 'write'] WHEN 'viewer' THEN ['read'] ELSE [s] END)))), ',') AS scopes FROM accounts""")
+@query(f"""WITH {R.PEOPLE} SELECT key_id, array_to_string(list_sort(list_distinct(flatten(list_transform(scopes, lambda s: CASE s WHEN 'operator' THEN ['read', 'write'] WHEN 'viewer' THEN ['read'] ELSE [s] END)))), ',') AS scopes
+  FROM accounts""")
 def scope_expansion(spark, sf_dir):
     """SET-3."""
     return R.accounts(spark, sf_dir).select("key_id", F.array_join(access.expanded_scopes(F.col("scopes")), ",").alias("scopes"))
 
 
-@query(f"""WITH {R.PEOPLE}, x AS (SELECT a.key_id, a.parent_user, a.enabled AND (expires_at IS NULL OR 1000 < expires_at) AND coalesce(u.enabled, FALSE) AS active, a.scopes AS s, u.scopes AS t FROM accounts a LEFT JOIN users u ON a.parent_user = u.username),
+@query(f"""WITH {R.PEOPLE}, x AS (SELECT a.key_id, a.parent_user, a.enabled AND (expires_at IS NULL OR 1000 < expires_at) AND coalesce(u.enabled, FALSE) AS active, a.scopes AS s, u.scopes AS t
+  FROM accounts a LEFT JOIN users u ON a.parent_user = u.username),
   y AS (SELECT *, flatten(list_transform(s, lambda v: CASE v WHEN 'operator' THEN ['read', 'write'] WHEN 'viewer' THEN ['read'] ELSE [v] END)) AS es, flatten(list_transform(t, lambda v: CASE v WHEN 'operator' THEN ['read', 'write'] WHEN 'viewer' THEN ['read'] ELSE [v] END)) AS et FROM x)
   SELECT key_id, parent_user, active, CASE WHEN active THEN array_to_string(list_sort(list_distinct(list_filter(es, lambda v: list_contains(et, v)))), ',') ELSE '' END AS effective FROM y""")
 def effective_permissions(spark, sf_dir):
@@ -466,7 +493,8 @@ def effective_permissions(spark, sf_dir):
     return found.withColumn("effective", F.array_join("effective", ","))
 
 
-@query(f"WITH {R.PEOPLE} SELECT username, (SELECT count(*) FROM accounts WHERE parent_user = username) AS accounts FROM users WHERE NOT (username IN (SELECT username FROM users WHERE NOT enabled) AND NOT is_root)")
+@query(f"""WITH {R.PEOPLE} SELECT username, (SELECT count(*) FROM accounts WHERE parent_user = username) AS accounts FROM users
+  WHERE NOT (username IN (SELECT username FROM users WHERE NOT enabled) AND NOT is_root)""")
 def user_cascade(spark, sf_dir):
     """JOIN-10, SRT-5: users and their accounts after the disabled users have gone."""
     u, a = users.delete_user(R.users(spark, sf_dir), R.accounts(spark, sf_dir), R.users(spark, sf_dir).where("not enabled").select("username"))
@@ -474,7 +502,8 @@ def user_cascade(spark, sf_dir):
     return u.join(n, "username", "left").select("username", F.coalesce("accounts", F.lit(0)).alias("accounts"))
 
 
-@query(f"WITH {R.PEOPLE} SELECT count(*) FILTER (list_contains(scopes, 'admin')) AS admins, count(*) FILTER (list_contains(scopes, 'admin')) = 1 AS last FROM accounts")
+@query(f"""WITH {R.PEOPLE} SELECT count(*) FILTER (list_contains(scopes, 'admin')) AS admins, count(*) FILTER (list_contains(scopes, 'admin')) = 1 AS last
+  FROM accounts""")
 def last_admin(spark, sf_dir):
     """AGG-13."""
     return users.last_admin(R.accounts(spark, sf_dir))
@@ -488,7 +517,8 @@ def scope_subset(spark, sf_dir):
     return R.accounts(spark, sf_dir).join(u, "parent_user").select("key_id", access.scopes_within(F.col("scopes"), F.col("parent")).alias("allowed"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS key_id, CASE WHEN p_size < 10 THEN NULL ELSE [p_brand, p_type] END AS requested, CASE WHEN p_size > 40 THEN NULL WHEN p_size > 20 THEN [p_brand] ELSE [p_type, p_brand, 'x'] END AS parent FROM part)
+@query("""WITH p AS (SELECT p_partkey AS key_id, CASE WHEN p_size < 10 THEN NULL ELSE [p_brand, p_type] END AS requested, CASE WHEN p_size > 40 THEN NULL WHEN p_size > 20 THEN [p_brand] ELSE [p_type, p_brand, 'x'] END AS parent
+  FROM part)
   SELECT key_id, requested IS NULL OR parent IS NULL OR list_has_all(parent, requested) AS allowed,
     array_to_string(CASE WHEN requested IS NULL THEN parent WHEN parent IS NULL OR list_has_all(parent, requested) THEN requested END, ',') AS partitions FROM p""")
 def partition_grants(spark, sf_dir):
@@ -544,7 +574,8 @@ def durations(spark, sf_dir):
     return R.table(spark, sf_dir, "orders").select("o_orderkey", names.duration_text(F.col("o_orderkey") * 7).alias("age"))
 
 
-@query("SELECT doc_id, CASE WHEN size = 1000 THEN NULL ELSE size END AS stored, size AS effective, doc_id * 3600 // 21600 AS partition_id FROM (SELECT doc_id, CAST(least(n_chars, 1000) AS BIGINT) AS size FROM documents)")
+@query("""SELECT doc_id, CASE WHEN size = 1000 THEN NULL ELSE size END AS stored, size AS effective, doc_id * 3600 // 21600 AS partition_id
+  FROM (SELECT doc_id, CAST(least(n_chars, 1000) AS BIGINT) AS size FROM documents)""")
 def elided_sizes(spark, sf_dir):
     """CHK-8, FN-5: sizes that are stored only where they differ from the file's chunk size."""
     d = R.table(spark, sf_dir, "documents").select("doc_id", F.least("n_chars", F.lit(1000)).alias("size"))

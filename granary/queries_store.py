@@ -19,7 +19,8 @@ from .sources import exports
 # lookups and errors
 
 
-@query(f"""WITH {R.FILES} SELECT w.file_id AS asked, f.file_id, f.file_size FROM (VALUES ('doc-1'), ('doc-17'), ('doc-none')) w(file_id) LEFT JOIN files f USING (file_id)""")
+@query(f"""WITH {R.FILES} SELECT w.file_id AS asked, f.file_id, f.file_size
+  FROM (VALUES ('doc-1'), ('doc-17'), ('doc-none')) w(file_id) LEFT JOIN files f USING (file_id)""")
 def file_lookup(spark, sf_dir):
     """SRC-2, SRC-3: one file by its key, and a key that no file has."""
     files = R.files(spark, sf_dir)
@@ -33,7 +34,8 @@ def block_lookup(spark, sf_dir):
     return catalog.lookup(R.blocks(spark, sf_dir), "block_id", 5).select("block_id", "region", "size", "ref_count")
 
 
-@query(f"WITH {R.FILES} SELECT file_id, create_time, row_number() OVER (ORDER BY create_time DESC, file_id DESC) - 1 AS place FROM files WHERE create_time < 360000 QUALIFY place < 50")
+@query(f"""WITH {R.FILES} SELECT file_id, create_time, row_number() OVER (ORDER BY create_time DESC, file_id DESC) - 1 AS place
+  FROM files WHERE create_time < 360000 QUALIFY place < 50""")
 def file_listing_after(spark, sf_dir):
     """SRT-1: the page after a known row; the limit is the page's."""
     return catalog.listing_after(R.files(spark, sf_dir), (360_000, ""), 50).select("file_id", "create_time", "place")
@@ -63,7 +65,8 @@ def scrub_errors(spark, sf_dir):
     return maintenance.scrub_errors(maintenance.scrub(stored), ["block_id", "doc_id", "idx"]).select("place", "block_id", "doc_id", "idx", "fault")
 
 
-@query(f"""WITH {R.chunked_sql(1024)} SELECT doc_id, idx, size, sha256(from_hex(digits)) AS content FROM chunks WHERE hash IN (SELECT hash FROM chunks WHERE doc_id = 3 AND idx = 0)""")
+@query(f"""WITH {R.chunked_sql(1024)} SELECT doc_id, idx, size, sha256(from_hex(digits)) AS content FROM chunks
+  WHERE hash IN (SELECT hash FROM chunks WHERE doc_id = 3 AND idx = 0)""")
 def chunk_read(spark, sf_dir):
     """SRC-11: the stored chunks of one hash, read and checked."""
     stored = R.chunked(spark, sf_dir, 1024)
@@ -75,7 +78,8 @@ def chunk_read(spark, sf_dir):
 # chunks without hashes, sets, partitions
 
 
-@query(f"""WITH {R.chunked_sql(1024)}, c AS (SELECT size, CASE WHEN lang = 'fr' THEN '=' || doc_id || '#' || idx ELSE hash END AS hash FROM chunks JOIN documents USING (doc_id))
+@query(f"""WITH {R.chunked_sql(1024)}, c AS (SELECT size, CASE WHEN lang = 'fr' THEN '=' || doc_id || '#' || idx ELSE hash END AS hash
+  FROM chunks JOIN documents USING (doc_id))
   SELECT CAST(count(*) AS BIGINT) AS chunks, count(DISTINCT hash) AS unique_chunks, CAST(sum(size) AS BIGINT) AS raw_bytes, (SELECT CAST(sum(s) AS BIGINT) FROM (SELECT min(size) AS s FROM c GROUP BY hash)) AS unique_bytes FROM c""")
 def hashless_dedup(spark, sf_dir):
     """CHK-3, FN-1: French documents are stored without hashes, so each of their chunks is its own."""
@@ -97,7 +101,9 @@ def partition_deletion(spark, sf_dir):
     return kept.select("file_id", F.lit(False).alias("removed")).unionByName(gone.select("file_id", F.lit(True).alias("removed")))
 
 
-@query(f"WITH {R.STORE}, n AS (SELECT block_id, 1 AS size, TRUE AS sealed FROM blocks WHERE region = 1 UNION ALL SELECT -1, 1, TRUE) SELECT block_id, size, sealed FROM n UNION ALL SELECT block_id, size, sealed FROM blocks WHERE block_id NOT IN (SELECT block_id FROM n)")
+@query(f"""WITH {R.STORE}, n AS (SELECT block_id, 1 AS size, TRUE AS sealed FROM blocks WHERE region = 1
+  UNION ALL SELECT -1, 1, TRUE) SELECT block_id, size, sealed FROM n UNION ALL SELECT block_id, size, sealed FROM blocks
+  WHERE block_id NOT IN (SELECT block_id FROM n)""")
 def block_upserts(spark, sf_dir):
     """SNK-8: blocks with those of region 1 replaced and one inserted."""
     blocks = R.blocks(spark, sf_dir)
@@ -105,7 +111,8 @@ def block_upserts(spark, sf_dir):
     return catalog.upsert(blocks.select("block_id", "size", "sealed"), rows.select("block_id", F.lit(1).cast("long").alias("size"), F.lit(True).alias("sealed")), "block_id")
 
 
-@query("SELECT r_name AS subtree, CAST(n_nationkey AS VARCHAR) AS path, sha256(n_name || CASE WHEN n_regionkey = 1 THEN '!' ELSE '' END) AS content_hash FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("""SELECT r_name AS subtree, CAST(n_nationkey AS VARCHAR) AS path, sha256(n_name || CASE WHEN n_regionkey = 1 THEN '!' ELSE '' END) AS content_hash
+  FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def export_restore(spark, sf_dir):
     """SNK-16, SNK-17, SRC-15: a whole export, one of what has changed since (region 1), and both restored."""
     named = R.table(spark, sf_dir, "nation").join(R.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -151,7 +158,8 @@ def compaction_one_budget(spark, sf_dir):
     return maintenance.within_budget(committed, budget=9000, headroom=500).select("group_no")
 
 
-@query(f"""WITH RECURSIVE {_CANDIDATES}{_MOVED} SELECT new_block_id, count(*) FILTER (block_id % 3 = 0) AS copied, count(*) FILTER (block_id % 3 <> 0) AS recompressed, CAST(coalesce(sum(new_size) FILTER (block_id % 3 = 0), 0) AS BIGINT) AS copied_bytes FROM moved GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_CANDIDATES}{_MOVED} SELECT new_block_id, count(*) FILTER (block_id % 3 = 0) AS copied, count(*) FILTER (block_id % 3 <> 0) AS recompressed, CAST(coalesce(sum(new_size) FILTER (block_id % 3 = 0), 0) AS BIGINT) AS copied_bytes
+  FROM moved GROUP BY 1""")
 def merge_codecs(spark, sf_dir):
     """MNT-3: chunks that a merge copies as they lie (their codec is the target's), and those it compresses anew."""
     codec = F.when(F.col("block_id") % 3 == 0, "zstd").when(F.col("block_id") % 3 == 1, "lz4").otherwise("none")
@@ -215,7 +223,8 @@ def key_changes(spark, sf_dir):
     return catalog.delete(keys, segment("FURNITURE").select(F.col("c_custkey").alias("key_id")), "key_id").select("key_id", "key_hash", "last_used")
 
 
-@query(f"""WITH {R.PEOPLE} SELECT username, CASE WHEN username = 'u0' OR (enabled AND username NOT IN ('u1', 'u2')) THEN TRUE ELSE FALSE END AS enabled, is_root FROM users UNION ALL SELECT 'new', TRUE, FALSE""")
+@query(f"""WITH {R.PEOPLE} SELECT username, CASE WHEN username = 'u0' OR (enabled AND username NOT IN ('u1', 'u2')) THEN TRUE ELSE FALSE END AS enabled, is_root
+  FROM users UNION ALL SELECT 'new', TRUE, FALSE""")
 def user_updates(spark, sf_dir):
     """API-7: users created and updated; the root user cannot be disabled."""
     known = R.users(spark, sf_dir).select("username", "enabled", "is_root")
@@ -223,7 +232,8 @@ def user_updates(spark, sf_dir):
     return users.save_users(known, rows)
 
 
-@query(f"WITH {R.PEOPLE} SELECT parent_user, count(*) AS accounts, count(*) FILTER (len(scopes) > 0 AND list_has_all(['admin', 'read', 'write', 'operator', 'viewer'], scopes)) AS valid FROM accounts WHERE parent_user = 'u3' GROUP BY 1")
+@query(f"""WITH {R.PEOPLE} SELECT parent_user, count(*) AS accounts, count(*) FILTER (len(scopes) > 0 AND list_has_all(['admin', 'read', 'write', 'operator', 'viewer'], scopes)) AS valid
+  FROM accounts WHERE parent_user = 'u3' GROUP BY 1""")
 def accounts_of_user(spark, sf_dir):
     """API-7, FN-14: a user's accounts, and whether their scopes are known ones."""
     a = users.accounts_of(R.accounts(spark, sf_dir), "u3")
@@ -243,7 +253,8 @@ def hex_guards(spark, sf_dir):
     return R.table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(raw)).alias("digest"), F.octet_length(raw).alias("bytes"))
 
 
-@query("""SELECT p_partkey, 'attachment; filename="' || n || '"; filename*=UTF-8''''' || replace(replace(n, ' ', '%20'), '/', '%2F') AS header FROM (SELECT p_partkey, p_name || '/' || p_partkey || '.txt' AS n FROM part)""")
+@query("""SELECT p_partkey, 'attachment; filename="' || n || '"; filename*=UTF-8''''' || replace(replace(n, ' ', '%20'), '/', '%2F') AS header
+  FROM (SELECT p_partkey, p_name || '/' || p_partkey || '.txt' AS n FROM part)""")
 def download_headers(spark, sf_dir):
     """FN-10; tests hold names beyond ASCII to explicit cases."""
     return R.table(spark, sf_dir, "part").select("p_partkey", names.download_header(F.concat("p_name", F.lit("/"), F.col("p_partkey"), F.lit(".txt"))).alias("header"))
@@ -259,14 +270,16 @@ def retry_plan(spark, sf_dir):
     return e.select("event_id", "kind", again.alias("again"), F.when(again, names.backoff(F.col("attempt"), 100.0, 2.0, 2000.0)).alias("delay"))
 
 
-@query(f"""WITH {R.OPERATIONS} SELECT 'operations' AS metric, op AS label, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total FROM operations GROUP BY op
+@query(f"""WITH {R.OPERATIONS} SELECT 'operations' AS metric, op AS label, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total
+  FROM operations GROUP BY op
   UNION ALL SELECT 'statuses', CAST(status AS VARCHAR), count(*), CAST(sum(bytes) AS BIGINT) FROM operations GROUP BY status""")
 def labelled_counters(spark, sf_dir):
     """AGG-18: counters by label, for each of two labels, in one pass."""
     return audit.counters(R.operations(spark, sf_dir), {"operations": F.col("op"), "statuses": F.col("status").cast("string")}, "bytes")
 
 
-@query(f"""WITH {R.OPERATIONS} SELECT op, count(*) AS n, sum(CAST(elapsed AS DECIMAL(18, 4))) AS total, CAST(round(CAST(sum(CAST(elapsed AS DECIMAL(18, 4))) AS DOUBLE) / count(*), 6) AS DOUBLE) AS mean FROM operations GROUP BY op""")
+@query(f"""WITH {R.OPERATIONS} SELECT op, count(*) AS n, sum(CAST(elapsed AS DECIMAL(18, 4))) AS total, CAST(round(CAST(sum(CAST(elapsed AS DECIMAL(18, 4))) AS DOUBLE) / count(*), 6) AS DOUBLE) AS mean
+  FROM operations GROUP BY op""")
 def latency_means(spark, sf_dir):
     """AGG-15: count, sum and mean of each operation's time."""
     return audit.latency_means(R.operations(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
