@@ -146,22 +146,21 @@ def labels(held: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST)
     rows = written(_prefixes(held, words, least), "prefixes")
     firsts = written(rows.groupBy("id").agg(F.min("place").alias("place"), F.min("n").alias("n"), F.any_value("outline").alias("outline")), "sets")
     close = _verified(_by_fingerprint(rows), firsts, held, words, least)
-    settled = written(components(close).select(F.col("node").alias("id"), "root"), "settled")
 
-    # copies are reduced to one entry before they are dealt out
-    entries = rows.select("id", "n", F.posexplode("prefix").alias("pos", "key")).groupBy("key", "id").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    entries = entries.repartition("key")
+    # copies are reduced to one row, so each set deals out its prefix once
+    entries = rows.select("id", "n", "prefix").dropDuplicates(["id"]).select("id", "n", F.posexplode("prefix").alias("pos", "key")).repartition("key")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     entries = written(entries.join(shared, "key"), "entries")
 
     # the text whose shingles most others have stands for each of its shingles; each text meets one of those only
     degree = entries.groupBy("id").agg(F.sum("held").alias("degree"))
-    ranked = entries.join(degree, "id").join(settled, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    heads = ranked.groupBy("key").agg(F.max(F.struct("degree", "id", "n", "pos", "root")).alias("one"))
-    star = ranked.join(heads, "key").where((F.col("root") != F.col("one.root")) & _can(least, F.col("n"), F.col("pos"), F.col("one.n"), F.col("one.pos")))
+    ranked = entries.join(degree, "id")
+    heads = ranked.groupBy("key").agg(F.max(F.struct("degree", "id", "n", "pos")).alias("one"))
+    star = ranked.join(heads, "key").where((F.col("id") != F.col("one.id")) & _can(least, F.col("n"), F.col("pos"), F.col("one.n"), F.col("one.pos")))
     met = star.groupBy("id", F.col("one.id").alias("one")).agg(F.count(F.lit(1)).alias("times"), F.max("one.degree").alias("degree"))
     best = met.groupBy("id").agg(F.max(F.struct("times", "degree", "one"))["one"].alias("one"))
-    links = close.unionByName(_verified(best.select(F.col("id").alias("a"), F.col("one").alias("b")), firsts, held, words, least))
+    best = best.select(F.least("id", "one").alias("a"), F.greatest("id", "one").alias("b")).join(close, ["a", "b"], "left_anti")
+    links = close.unionByName(_verified(best, firsts, held, words, least))
 
     known = components(links).select(F.col("node").alias("id"), "root")
     placed = entries.drop("held").join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
