@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import shuffle_width, written
+from .common import cleared, fresh_path, shuffle_width, written
 from .components import components
 from .simhash import SEED, shingle_hashes
 
@@ -105,17 +105,8 @@ def _verified(pairs: DataFrame, firsts: DataFrame, held: DataFrame, words: int,
 
     Sets that are so similar differ in few shingles, so pairs whose outlines differ in more bits need no texts.
     """
-    up, down = least
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = (firsts.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("outline").alias(f"outline_{c}")) for c in "ab")
-    differ = F.aggregate(F.zip_with("outline_a", "outline_b", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
-    pairs = pairs.join(x, "a").join(y, "b").where((up + down) * differ <= (down - up) * (F.col("n_a").cast("long") + F.col("n_b")))
-    pairs = written(pairs.select("a", "b"), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = written(firsts.join(ids, "id", "left_semi").select("place", "id"), "wanted")
-    if wanted.count() <= SENT:
-        wanted = F.broadcast(wanted)  # else the join is Spark's to choose, and texts are shuffled for it
-    texts = written(held.join(wanted, "place").dropDuplicates(["id"]).select("id", "text"), "texts")
+    spark, (up, down) = held.sparkSession, least
+    path = fresh_path(spark, "verified")
 
     def of(parts):
         for part in parts:
@@ -126,9 +117,21 @@ def _verified(pairs: DataFrame, firsts: DataFrame, held: DataFrame, words: int,
                 keep.append(down * both >= up * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(of, "a long, b long"), "verified")
+    with cleared(spark):  # pairs and texts are of no use once the links are written
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        x, y = (firsts.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("outline").alias(f"outline_{c}")) for c in "ab")
+        differ = F.aggregate(F.zip_with("outline_a", "outline_b", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
+        pairs = pairs.join(x, "a").join(y, "b").where((up + down) * differ <= (down - up) * (F.col("n_a").cast("long") + F.col("n_b")))
+        pairs = written(pairs.select("a", "b"), "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = written(firsts.join(ids, "id", "left_semi").select("place", "id"), "wanted")
+        if wanted.count() <= SENT:
+            wanted = F.broadcast(wanted)  # else the join is Spark's to choose, and texts are shuffled for it
+        texts = written(held.join(wanted, "place").dropDuplicates(["id"]).select("id", "text"), "texts")
+        x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+        y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+        pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(of, "a long, b long").write.parquet(path)
+    return spark.read.schema("a long, b long").parquet(path)
 
 
 def _by_fingerprint(rows: DataFrame) -> DataFrame:
