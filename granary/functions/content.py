@@ -42,11 +42,25 @@ def stored_size(size: Column, chunk_size: Column) -> Column:
     return F.nullif(size, chunk_size)
 
 
-def format_bytes(n: Column) -> Column:
-    """1023 B, 1.00 KB, ... up to TB, with two decimals above bytes."""
-    out = F.format_string("%d B", n.cast("long"))
-    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1 << 10 * power, F.format_string(f"%.2f {unit}", n / float(1 << 10 * power))).otherwise(out)
+#: Units above bytes, each 1024 times the one before.
+UNITS = ("KB", "MB", "GB", "TB")
+
+
+def _two_decimals(v: Column) -> Column:
+    """A double of 1 or more with two decimals. Its exact value is rounded, a tie to the even digit, as C does."""
+    whole, one = F.floor(v), 1 << 52
+    part = ((v - whole) * float(one)).cast("long") * 100
+    hundredths, rest = F.shiftright(part, 52), part.bitwiseAND(F.lit(one - 1))
+    up = (rest > one // 2) | ((rest == one // 2) & (hundredths % 2 == 1))
+    hundredths = hundredths + up.cast("long")
+    return F.format_string("%d.%02d", whole + F.when(hundredths == 100, 1).otherwise(0), hundredths % 100)
+
+
+def format_bytes(n: Column, largest: str = "TB") -> Column:
+    """1023 B, 1.00 KB, ... up to the largest unit, with two decimals above bytes; null for null."""
+    out = F.when(n.isNotNull(), F.format_string("%d B", n.cast("long")))
+    for power, unit in enumerate(UNITS[: UNITS.index(largest) + 1], 1):
+        out = F.when(n >= 1 << 10 * power, F.concat(_two_decimals(n.cast("double") / float(1 << 10 * power)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

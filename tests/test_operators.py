@@ -66,6 +66,13 @@ def test_format_bytes(spark):
     assert got == ["0 B", "1023 B", "1.00 KB", "1.00 MB", "1.00 GB"]
 
 
+def test_format_bytes_units_and_ties(spark):
+    n = [None, 1024 + 128, 1024 + 384, (1 << 20) - 1, 1 << 40, 1005 << 30]
+    df = spark.createDataFrame([(x,) for x in n], "n long").select(content.format_bytes(F.col("n")).alias("tb"), content.format_bytes(F.col("n"), "GB").alias("gb"))
+    got = [tuple(r) for r in df.collect()]
+    assert got == [(None, None), ("1.12 KB", "1.12 KB"), ("1.38 KB", "1.38 KB"), ("1024.00 KB", "1024.00 KB"), ("1.00 TB", "1024.00 GB"), ("1005.00 GB", "1005.00 GB")]
+
+
 def test_file_ids(spark):
     ids = ["ok/id", "é", "é", "", "a\tb", "a/../b", "/a", "a//b", "x" * 1024, "x" * 1025]
     df = spark.createDataFrame([(x,) for x in ids], "i string").select(names.normalised_id(F.col("i")).alias("i"))
