@@ -12,7 +12,8 @@ import functools
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -21,14 +22,18 @@ from tokenizers import Tokenizer
 #: Unicode's letters, numbers and white space among the code points up to U+017F.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", "\\t-\\r \u0085\u00a0"
 _SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
-#: The pre-tokenizers' patterns over those code points.
-_BYTE_LEVEL = re.compile(f"{_SUFFIXES}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-_WORDS = re.compile(f"{_SUFFIXES}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+#: Stands between chunks that are split together; beyond the code points that the fast split covers.
+_BETWEEN = "\ue000"
+#: The pre-tokenizers' patterns over those code points, and the mark between chunks, where a chunk ends.
+_BYTE_LEVEL = re.compile(f"{_BETWEEN}|{_SUFFIXES}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}{_BETWEEN}]+|[{SPACES}]+(?![^{SPACES}{_BETWEEN}])|[{SPACES}]+")
+_WORDS = re.compile(f"{_BETWEEN}|{_SUFFIXES}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}{_BETWEEN}]+")
 #: What the fast split does not cover. U+0130 is left out because its lower case is two code points.
 _BEYOND_BYTES = re.compile("[^\u0001-įı-ſ]|  |<\\|")
 _BEYOND_WORDS = re.compile("[^\u0000-\u001b -įı-ſ]|<\\|")
-#: Bytes, by estimate, that one worker remembers for one file; beyond it the dictionary starts anew.
+#: Bytes, by estimate, that one worker remembers for one file; beyond it the dictionary starts anew from the last batch.
 REMEMBERED = 120_000_000
+#: Characters of the longest piece of the last batch that outlasts a new start.
+KEPT = 100
 
 
 def path(name: str) -> str:
@@ -65,6 +70,12 @@ def byte_level(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(BYTE_ALPHABET)
 
 
+def byte_levels(pieces: list[str]) -> list[str]:
+    """byte_level of many pieces at once, as far as none holds the character that stands between them."""
+    found = byte_level("\0".join(pieces)).split(BYTE_ALPHABET[0])
+    return found if len(found) == len(pieces) else list(map(byte_level, pieces))
+
+
 def _byte_chunks(text: str) -> list[str] | None:
     if ("  " in text or "<|" in text or "\0" in text) if text.isascii() else _BEYOND_BYTES.search(text):
         return None
@@ -103,26 +114,28 @@ class Remembered:
         self.chunks, self.pieces = FAST.get(os.path.basename(file), (lambda _: None, None))
         self.values_of, self.limit, self.known, self.held = values_of, limit, {}, 0
 
+    def values(self, chunks: list[str]) -> list:
+        return self.values_of([[byte_level(p) for p in self.pieces(c)] for c in chunks])
+
     def learn(self, batch: list[list[str]]) -> dict:
         """What is known, with all chunks of the batch. A chunk counts for its text, its value and their objects."""
         seen = set().union(*batch)
         unknown = list(seen.difference(self.known))
         size = sum(map(len, unknown)) * 6 + 200 * len(unknown)
         if self.held + size > self.limit:
-            self.known, self.held, unknown = {}, 0, list(seen)
-            size = sum(map(len, unknown)) * 6 + 200 * len(unknown)
+            self.known = {c: self.known[c] for c in seen.intersection(self.known)}
+            self.held = sum(map(len, self.known)) * 6 + 200 * len(self.known)
         self.held += size
-        split = [[byte_level(p) for p in self.pieces(c)] for c in unknown]
-        self.known.update(zip(unknown, self.values_of(split), strict=True))
+        self.known.update(zip(unknown, self.values(unknown) if unknown else [], strict=True))
         return self.known
 
-    def over(self, texts: list[str | None], whole: Callable[[str], object]) -> Iterator:
-        """For each text the list of its chunks' values, or whole(text) where the fast split does not hold. Null: empty."""
+    def over(self, texts: list[str | None], whole: Callable[[str], object], gathered: Callable[[Iterator], object] = list) -> Iterator:
+        """For each text its chunks' values, gathered, or whole(text) where the fast split does not hold. Null: empty."""
         for batch in batches(texts):
             parts = [self.chunks(x) for x in batch]
             value = self.learn([p for p in parts if p is not None]).__getitem__
             for text, part in zip(batch, parts, strict=True):
-                yield whole(text) if part is None else list(map(value, part))
+                yield whole(text) if part is None else gathered(map(value, part))
             if self.held > self.limit:
                 self.known, self.held = {}, 0
 
@@ -140,13 +153,56 @@ def batches(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[st
         yield batch
 
 
+class RememberedIds(Remembered):
+    """Chunk to its ids as bytes. Unknown chunks are split together and their pieces are encoded once, so that chunks
+    that differ in punctuation share the word; pieces are remembered within the same bound as chunks. Ids stay in flat
+    arrays, as objects for each chunk cost more than encoding it."""
+
+    def __init__(self, file: str, limit: int = REMEMBERED):
+        super().__init__(file, None, limit)
+        self.tokens, self.words, self.words_held = tokenizer(file).model.tokenize, {}, 0
+
+    @staticmethod
+    def _size(words: Collection[str]) -> int:
+        return sum(map(len, words)) * 6 + 200 * len(words)
+
+    def values(self, chunks: list[str]) -> list[bytes]:
+        flat = self.pieces(_BETWEEN.join(chunks))
+        seen = set(flat)
+        self.words[_BETWEEN] = _NO_ID.tobytes()
+        new = list(seen.difference(self.words))
+        ids, counts = array("I"), array("q")
+        for form in byte_levels(new):
+            found = [t.id for t in self.tokens(form)]
+            ids.extend(found)
+            counts.append(len(found))
+        self.words.update(zip(new, _cut(ids.tobytes(), 4 * np.cumsum(counts), 0), strict=True))
+        self.words_held += self._size(new)
+        data = b"".join(map(self.words.__getitem__, flat)) + _NO_ID.tobytes()
+        if self.words_held > self.limit:
+            self.words = {p: self.words[p] for p in seen if len(p) <= KEPT}
+            self.words_held = self._size(self.words)
+        return _cut(data, 4 * np.flatnonzero(np.frombuffer(data, "<u4") == _NO_ID), 4)
+
+
+#: Stands between the ids of chunks; no vocabulary is so large.
+_NO_ID = np.array(0xFFFFFFFF, "<u4")
+
+
+def _cut(data: bytes, ends: np.ndarray, between: int) -> list[bytes]:
+    """The parts of data that end there, with so many bytes between them."""
+    out, start = [], 0
+    for end in ends.tolist():
+        out.append(data[start:end])
+        start = end + between
+    return out
+
+
 @functools.cache
 def _library(file: str) -> Remembered:
-    tokens = tokenizer(file).model.tokenize
-    return Remembered(file, lambda chunks: [np.array([t.id for p in pieces for t in tokens(p)], "<u4").tobytes() for pieces in chunks])
+    return RememberedIds(file)
 
 
 def encode(texts: list[str | None], file: str) -> Iterator[bytes]:
     """Each whole text's ids by the tokenizers library, as little-endian unsigned 32-bit integers; null counts as empty."""
-    for found in _library(file).over(texts, lambda x: [np.array(tokenizer(file).encode(x, add_special_tokens=False).ids, "<u4").tobytes()]):
-        yield b"".join(found)
+    return _library(file).over(texts, lambda x: np.array(tokenizer(file).encode(x, add_special_tokens=False).ids, "<u4").tobytes(), b"".join)

@@ -60,6 +60,20 @@ def test_a_forgetful_worker_gives_the_same(monkeypatch):
     assert list(small.over(texts, lambda t: t)) == list(large.over(texts, lambda t: t))
 
 
+@pytest.mark.parametrize("file", [BYTE, WORD])
+def test_words_are_encoded_once(file):
+    marks = ["", ",", ".", "!\n", "'s", "\n\n", "\t"]
+    texts = [" ".join(f"{w}{m}" for w in ("zebrafish", "Örtchen", "x1y2")) for m in marks] + mixed(200, 5) + [" ", "", "\n", "a\n", "a\n \nb", "'", "' s"]
+    small, large = pretokens.RememberedIds(file, limit=2000), pretokens.RememberedIds(file)
+    calls, tokens = [], large.tokens
+    large.tokens = lambda p: calls.append(p) or tokens(p)
+    want = [packed(i) for i in ids_of(texts, file)]
+    for r in (small, large):
+        got = [x for k in range(0, len(texts), 20) for x in r.over(texts[k : k + 20], lambda x: packed(ids_of([x], file)[0]), b"".join)]
+        assert got == want
+    assert len(calls) == len(set(calls))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(k, t, k) for k, t in enumerate(EDGES)] + [(None, "no key", 0), (3, "same key", 1), (3, "same key", 1)]
