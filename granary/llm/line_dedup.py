@@ -92,51 +92,35 @@ def within(a: Column, b: Column, most: int) -> Column:
     return F.when(close & (m >= most) & (n >= 1), _let(pair, edits) <= most).otherwise(close & (F.levenshtein(a, b) <= most))
 
 
-def _segment(length: Column, k: int, count: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of the k-th of count segments of a line of that length; the longer ones come last."""
-    size, longer = F.floor(length / count).cast("int"), (length % count).cast("int")
-    first_longer = count - longer
-    start = 1 + size * k + F.greatest(F.lit(k) - first_longer, F.lit(0))
-    return start.cast("int"), (size + F.when(F.lit(k) >= first_longer, 1).otherwise(0)).cast("int")
+def _specs(most: int) -> list[tuple[int, int, int, int]]:
+    """(t, shorter, k, shift): for t allowed edits and a partner that is shorter by so many characters, how far the
+    substrings of a line that can be the partner's k-th segment start from the segment's own place.
 
-
-def _key(line: Column, length: Column, k: int, most: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(most * 16 + k), F.substring(line, start, size))
-
-
-def index_keys(line: Column, length: Column, most: int, every: int) -> Column:
-    """The keys of a line's own segments."""
-    found = F.array().cast("array<bigint>")
-    for t in range(1, most + 1):
-        found = F.when(length >= t * every, F.array(*(_key(line, length, k, t, *_segment(length, k, t + 1)) for k in range(t + 1)))).otherwise(found)
-    return found
+    Before the k-th segment there are at most k edits (an edit more, and an earlier segment is whole), behind it at
+    most t - k; both bound how far the substring's start can be from the segment's.
+    """
+    cases = [(t, shorter, k) for t in range(1, most + 1) for shorter in range(t + 1) for k in range(t + 1)]
+    return [(t, shorter, k, shift) for t, shorter, k in cases for shift in range(max(-k, shorter - (t - k)), min(k, shorter + (t - k)) + 1)]
 
 
-def _probes(line: Column, length: Column, shorter: int, t: int) -> list[Column]:
-    """(key, own) of the substrings that can be a segment of a partner that is shorter by so many characters.
+def keyed(lines: DataFrame, most: int, every: int, own: bool = False) -> DataFrame:
+    """lines (line, length, others) with key and own, a row for every substring that can be a segment of a partner that
+    is shorter or of equal length; own: for the line's own segments only, which are what others look for.
 
-    Before the k-th segment there are at most k edits (an edit more, and an earlier segment is whole), behind it at
-    most t - k; both bound how far the substring's start can be from the segment's. own: it is a segment of the line.
+    The partner's length says how many edits are allowed. Its t + 1 segments are of nearly equal size; the longer ones
+    come last. Cases are rows and not columns, so that the code Spark makes for them stays small.
     """
-    out = []
-    for k in range(t + 1):
-        start, size = _segment(length - shorter, k, t + 1)
-        low, high = max(-k, shorter - (t - k)), min(k, shorter + (t - k))
-        out += [F.struct(_key(line, length - shorter, k, t, start + shift, size).alias("key"), F.lit(int(not shorter and not shift)).cast("long").alias("own")) for shift in range(low, high + 1)]
-    return out
-
-
-def probe_keys(line: Column, length: Column, most: int, every: int) -> Column:
-    """(key, own) for every partner that is shorter or of equal length; the shorter line says how many edits are allowed."""
-    none = F.array().cast("array<struct<key:bigint,own:bigint>>")
-    parts = []
-    for shorter in range(most + 1):
-        part = none
-        for t in range(max(shorter, 1), most + 1):
-            part = F.when(length - shorter >= t * every, F.array(*_probes(line, length, shorter, t))).otherwise(part)
-        parts.append(part)
-    whole = F.array(*(p for shorter in range(most + 1) for p in _probes(line, length, shorter, most)))
-    return F.when(length >= most * every + most, whole).otherwise(F.concat(*parts))
+    specs = [x for x in _specs(most) if not own or (x[1], x[3]) == (0, 0)]
+    cases = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("t", "shorter", "k", "shift"), x, strict=True))) for x in specs))
+    names = [c for c in lines.columns if c != "length"]
+    each = lines.select(*lines.columns, F.explode(cases).alias("_x")).withColumn("_n", F.col("length") - F.col("_x.shorter"))
+    n, t, k = F.col("_n"), F.col("_x.t"), F.col("_x.k")
+    each = each.where((n >= t * every) & ((t == most) | (n < (t + 1) * every)))
+    size, longer = F.floor(n / (t + 1)).cast("int"), k - (t + 1) + n % (t + 1)
+    start = 1 + size * k + F.greatest(longer, F.lit(0)) + F.col("_x.shift")
+    key = F.xxhash64(n.cast("int"), t * 16 + k, F.substring("line", start, size + F.when(longer >= 0, 1).otherwise(0)))
+    itself = (F.col("_x.shorter") == 0) & (F.col("_x.shift") == 0)
+    return each.select(*names, key.alias("key"), itself.cast("long").alias("own"))
 
 
 def sketch(line: Column) -> Column:
@@ -207,12 +191,11 @@ def removals(docs: DataFrame, most: int = THRESHOLD, every: int = EVERY) -> Data
     classes = written(occurrences.groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
 
     near = places.select("d", "line", _id(F.xxhash64("line")).alias("id"), F.char_length("line").alias("length")).where(F.col("length") >= every)
-    line, length = F.col("line"), F.col("length")
     # each key's earliest line stands for the key's lines; copies are combined before they are shuffled
-    index = near.select("d", "id", F.explode(index_keys(line, length, most, every)).alias("key"))
+    index = keyed(near, most, every, own=True).select("d", "id", "key")
     heads = index.groupBy("key").agg(F.min_by("id", "d").alias("head"), F.min("id").alias("low"), F.max("id").alias("high"))
     heads = written(heads.select("key", "head", (F.col("low") != F.col("high")).alias("others")), "heads")
-    probes = near.select("id", F.inline(probe_keys(line, length, most, every))).select("key", F.col("id").bitwiseOR(F.col("own")).alias("probe"))
+    probes = keyed(near, most, every).select("key", F.col("id").bitwiseOR(F.col("own")).alias("probe"))
     met = probes.join(heads, "key").where(_id(F.col("probe")) != F.col("head"))
     met = written(met.select("key", _id(F.col("probe")).alias("id"), (F.col("probe") != _id(F.col("probe"))).alias("own"), "head", "others").distinct(), "met")
 

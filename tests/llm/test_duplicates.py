@@ -147,6 +147,33 @@ def test_line_dedup_is_brute_force(spark, most):
     assert none.columns == docs.columns and none.count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_probes_are_rows_of_a_plain_loop(spark, most):
+    """Every substring that can be a partner's segment, in the places of a plain loop; the operator makes no arrays of keys."""
+    every, r = 12, random.Random(most)
+    lines = ["".join(r.choice("abcdé ") for _ in range(n)) for n in (*range(12, 60), 200)]
+    df = spark.createDataFrame([(x, len(x)) for x in lines], "line string, length int")
+
+    def plain(x, own):
+        for shorter in range(1 if own else most + 1):
+            n = len(x) - shorter
+            t = min(most, n // every)
+            if t >= max(shorter, 1):
+                sizes = [n // (t + 1) + (k >= t + 1 - n % (t + 1)) for k in range(t + 1)]
+                for k in range(t + 1):
+                    for shift in range(max(-k, shorter - (t - k)), min(k, shorter + (t - k)) + 1):
+                        if not own or not shift:
+                            at = sum(sizes[:k]) + shift
+                            yield x, n, 16 * t + k, x[at : at + sizes[k]], int(not shorter and not shift)
+
+    for own in (False, True):
+        got = line_dedup.keyed(df, most, every, own)
+        assert "xxhash64" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "inline" not in plan
+        want = spark.createDataFrame([p for x in lines for p in plain(x, own)], "line string, n int, at int, part string, own long")
+        want = want.select("line", F.xxhash64("n", "at", "part").alias("key"), "own")
+        assert sorted(map(tuple, got.select("line", "key", "own").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_variants_of_one_line_make_few_pairs(spark, monkeypatch):
     """Variants are paired with one of them, in whatever order they come; those too far from it meet each other."""
     r = random.Random(4)
