@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -83,6 +85,17 @@ def top(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
     return df.orderBy(*keys).limit(n).withColumn("place", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Write the rows to the folder that driver and executors share and read them again, for what is used more than once."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{root or tempfile.mkdtemp(prefix='shared-')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def places(df: DataFrame, group: str, value: str, tie: str, count: int = 64) -> DataFrame:
     """df with place (from 0) of every row of a group: by value (a double, nulls first), then by tie (a number).
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.content import clamped, content_hash
-from ..operators.ordered import fold, one_row, places, top
+from ..operators.ordered import fold, one_row, places, top, written
 
 
 @dataclass(frozen=True)
@@ -30,9 +30,10 @@ def live_bytes(file_chunks: DataFrame) -> DataFrame:
     return each.groupBy("block_id").agg(F.sum("size").alias("live_bytes"), F.count(F.lit(1)).alias("live_chunks"))
 
 
-def utilisation(blocks: DataFrame, live: DataFrame) -> DataFrame:
-    """blocks with live_bytes (0 without references) and utilisation: 0 to 1, null for a block of size 0."""
-    joined = blocks.join(live, "block_id", "left").fillna(0, ["live_bytes", "live_chunks"])
+def utilisation(blocks: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """blocks with live_bytes (0 without references) and utilisation: 0 to 1, null for a block of size 0. live None:
+    blocks have the live bytes already."""
+    joined = blocks if live is None else blocks.join(live, "block_id", "left").fillna(0, ["live_bytes", "live_chunks"])
     return joined.withColumn("utilisation", F.when(F.col("size") > 0, clamped(F.col("live_bytes") / F.col("size"), 0.0, 1.0)))
 
 
@@ -52,7 +53,8 @@ SORTED_BY = ("block_id", "size", "live_bytes", "utilisation", "ref_count", "crea
 
 def block_places(used: DataFrame, columns: tuple[str, ...] = SORTED_BY) -> DataFrame:
     """block_id, sorted_by, direction, place: every block in the order of each column either way; blocks without a value
-    come first, equal ones go by block_id. Values are compared as doubles."""
+    come first, equal ones go by block_id. Values are compared as doubles. used is worked out once and written."""
+    used = written(used.select("block_id", *(c for c in columns if c != "block_id")), "used")
     orders = [(c, n, sign * F.col(c).cast("double")) for c in columns for n, sign in (("up", 1), ("down", -1))]
     each = F.inline(F.array(*(F.struct(F.lit(f"{c} {n}").alias("_order"), v.alias("_value")) for c, n, v in orders)))
     placed = places(used.select("block_id", each), "_order", "_value", "block_id")

@@ -23,3 +23,11 @@ def test_query_places_more_than_a_page(spark):
     blocks = spark.read.parquet("/root/testdata/sf0.1/supplier.parquet").count()
     assert blocks > 200
     assert queries.QUERIES["block_sort_places"](spark, "/root/testdata/sf0.1").count() == 12 * blocks
+
+
+def test_references_are_read_once(spark, sf):
+    for name in ("block_sort_places", "block_sort_orders"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_suppkey" not in plan
+    used = queries.QUERIES["block_utilization"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert used.count("lineitem.parquet") == 1
