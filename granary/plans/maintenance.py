@@ -221,6 +221,16 @@ def startup_actions(containers: DataFrame, blocks: DataFrame) -> DataFrame:
     return containers.join(known, "block_id", "left").select("block_id", action.alias("action"))
 
 
+#: References for each task, where blocks are dealt out to be sorted.
+DEALT = 1_000_000
+
+
+def by_block(file_chunks: DataFrame, rows: int) -> DataFrame:
+    """file_chunks dealt by block to more tasks the more rows there are, so that what a task sorts does not grow."""
+    width = max(int(file_chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT))
+    return file_chunks.repartition(width, "block_id")
+
+
 def reseal(file_chunks: DataFrame, header: int = 72) -> DataFrame:
     """For each block the end of its last known chunk and whether its chunks cover it without a gap or an overlap."""
     unique = file_chunks.groupBy("block_id", "hash").agg(F.min("offset").alias("offset"), F.min("compressed_size").alias("size"))

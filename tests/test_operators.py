@@ -246,3 +246,10 @@ def test_codec_sizes_are_those_of_the_library(spark):
         c = pa.Codec("zstd", level) if codec == "zstd" else pa.Codec("lz4")
         got = df.select(F.octet_length(content.compress(F.col("raw"), codec, level)).alias("n")).collect()
         assert sorted(r.n for r in got) == sorted(len(c.compress(x)) for x in raw)
+
+
+def test_blocks_are_dealt_by_their_rows(spark):
+    df = spark.range(100).selectExpr("id % 7 AS block_id", "id AS hash", "1L AS compressed_size", "72 + id AS offset")
+    few, many = maintenance.by_block(df, 100), maintenance.by_block(df, 20 * maintenance.DEALT + 1)
+    assert many.rdd.getNumPartitions() == 21 and few.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, maintenance.reseal(many).collect())) == sorted(map(tuple, maintenance.reseal(df).collect()))
