@@ -42,6 +42,8 @@ def stored_size(size: Column, chunk_size: Column) -> Column:
     return F.nullif(size, chunk_size)
 
 
+#: Rows of an Arrow batch where whole texts meet Python, so that they do not add up in a worker; the session's setting.
+BATCH = "512"
 #: Units above bytes, each 1024 times the one before.
 UNITS = ("KB", "MB", "GB", "TB")
 
