@@ -59,23 +59,42 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside the block go when it ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextlib.contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
-    """Delete what operators wrote for themselves inside the block. Their results must have been written by then."""
+    """Delete what operators wrote for themselves inside the block, and what their queries shuffled. Their results must
+    have been written by then, under a path that was taken outside the block."""
     _written.append([])
     try:
-        yield
+        with brief_shuffles(spark):
+            yield
     finally:
         for path in _written.pop():
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Cut lineage: write the rows to the path and read them again."""
+    with brief_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write the rows to the shared folder and read them again."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, fresh_path(df.sparkSession, what))
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -13,7 +13,9 @@ Every pair that meets is verified on its texts.
 Only links that join components are needed. In a first round each text that shares shingles with others is compared
 with one of them: of the texts that stand for its shingles, each the one that shares most with others, the one that
 it shares most with. That settles groups of near copies in as many pairs as they have texts. In a second round texts
-that still are in different components are compared, where they share a shingle.
+that still are in different components are compared, where they share enough of their first shingles: up to four, as
+similar sets of many shingles must. Pairs of long texts that have one in common by chance grow with the square of the
+table; few of them have more.
 
 Words are cut and lowered as in granary.llm.simhash: null counts as empty, fewer words than a shingle has make one
 shingle, and texts with the same set (the empty one too) are duplicates. Shingles and sets are told apart by 64-bit
@@ -30,13 +32,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cleared, fresh_path, shuffle_width, written
+from .common import cleared, fresh_path, shuffle_width, stored, written
 from .components import components
 from .simhash import SEED, shingle_hashes
 
 WORDS, LEAST = 5, (4, 5)
 #: The texts of the sample, the count that makes a shingle common there, and the ids that are sent to every task at most.
 SAMPLE, COMMON, SENT = 20_000, 4, 1_000_000
+#: So many shingles beyond the first are asked of a pair of the second round at most.
+MORE = 3
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -45,11 +49,22 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def outline(found: np.ndarray) -> np.ndarray:
-    """512 bits: whether a set has an odd number of shingles in each of 512 classes of hashes.
+    """A bit for each class of hashes, by their lowest bits: whether a set has an odd number of shingles in it.
 
-    Two sets differ in at least as many shingles as their outlines do in bits.
+    Two sets differ in at least as many shingles as their outlines do in bits. There are 512 classes, or the power of
+    two from the number of shingles on, as fewer would be filled evenly. The halves of an outline, one xor the other,
+    are the outline of half as many classes.
     """
-    return np.packbits((np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
+    classes = max(512, 1 << (len(found) - 1).bit_length())
+    return np.packbits((np.bincount((found & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """The bits in which two outlines differ; 0 if they are of very different length."""
+    k = F.least(F.size(a), F.size(b))
+    a, b = (F.when(F.size(x) == 2 * k, F.zip_with(F.slice(x, 1, k), F.slice(x, k + 1, k), lambda v, w: v.bitwiseXOR(w))).otherwise(x) for x in (a, b))
+    bits = F.aggregate(F.zip_with(a, b, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
+    return F.when(F.size(a) == F.size(b), bits).otherwise(0)
 
 
 def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +115,29 @@ def _can(least: tuple[int, int], n: Column, pos: Column, m: Column, at: Column)
     return (up + down) * shared >= up * (n.cast("long") + m)
 
 
+def _least_shared(least: tuple[int, int], n: Column, m: Column) -> tuple[Column, Column]:
+    """k, and the place before which (counted from the end of either set) similar enough sets of n and m share k shingles.
+
+    If they share need at least, need - k come after the k-th, in both. That it is so within both prefixes, and that it
+    is not much farther than the first one can be, bounds k.
+    """
+    up, down = least
+    need = F.ceil(up * (n.cast("long") + m) / (up + down))
+    k = 1 + F.least(F.lit(MORE), F.floor((F.least(n, m) - need) / 8), need - F.ceil(up * F.greatest(n, m).cast("long") / down))
+    return k, k - need
+
+
+def _shared(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """id, n, pos, key, held of each shingle of a prefix (docs: id, n, prefix) that a text of similar size has there too; held: the texts that have it."""
+    up, down = least
+    of_key = Window.partitionBy("key")
+    near = of_key.orderBy("n")
+    entries = docs.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
+    sized = entries.withColumns({"below": F.lag("n").over(near), "above": F.lead("n").over(near), "held": F.count(F.lit(1)).over(of_key)})
+    similar = (down * F.col("below").cast("long") >= up * F.col("n").cast("long")) | (down * F.col("n").cast("long") >= up * F.col("above").cast("long"))
+    return sized.where(similar).drop("below", "above")
+
+
 def _verified(pairs: DataFrame, firsts: DataFrame, held: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough.
 
@@ -120,7 +158,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, held: DataFrame, words: int,
     with cleared(spark):  # pairs and texts are of no use once the links are written
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         x, y = (firsts.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("outline").alias(f"outline_{c}")) for c in "ab")
-        differ = F.aggregate(F.zip_with("outline_a", "outline_b", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
+        differ = _differ(F.col("outline_a"), F.col("outline_b"))
         pairs = pairs.join(x, "a").join(y, "b").where((up + down) * differ <= (down - up) * (F.col("n_a").cast("long") + F.col("n_b")))
         pairs = written(pairs.select("a", "b"), "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -144,17 +182,27 @@ def _by_fingerprint(rows: DataFrame) -> DataFrame:
     return apart.unionByName(equal).where("a != b")
 
 
+def _deal(held: DataFrame, words: int, least: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """place, id and fp of every row; place, n and outline of each id; the shingles that ids share."""
+    spark = held.sparkSession
+    paths = [fresh_path(spark, x) for x in ("rows", "sets", "entries")]
+    with cleared(spark):  # prefixes are most of what this writes
+        docs = fresh_path(spark, "docs")
+        with cleared(spark):
+            found = written(_prefixes(held, words, least), "prefixes")
+            rows = stored(found.select("place", "id", "fp"), paths[0])
+            firsts = stored(found.groupBy("id").agg(F.min("place").alias("place"), F.min("n").alias("n"), F.any_value("outline").alias("outline")), paths[1])
+            # copies are reduced to one row, so each set deals out its prefix once
+            docs = stored(found.select("id", "n", "prefix").dropDuplicates(["id"]), docs)
+        return rows, firsts, stored(_shared(docs, least), paths[2])
+
+
 def labels(held: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame]:
     """id and place of every row of held (place, text), and node and root of every id that has a link."""
-    rows = written(_prefixes(held, words, least), "prefixes")
-    firsts = written(rows.groupBy("id").agg(F.min("place").alias("place"), F.min("n").alias("n"), F.any_value("outline").alias("outline")), "sets")
+    spark = held.sparkSession
+    rows, firsts, entries = _deal(held, words, least)
     close = _verified(_by_fingerprint(rows), firsts, held, words, least)
 
-    # copies are reduced to one row, so each set deals out its prefix once
-    entries = rows.select("id", "n", "prefix").dropDuplicates(["id"]).select("id", "n", F.posexplode("prefix").alias("pos", "key")).repartition("key")
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    entries = written(entries.join(shared, "key"), "entries")
-
     # the text whose shingles most others have stands for each of its shingles; each text meets one of those only
     degree = entries.groupBy("id").agg(F.sum("held").alias("degree"))
     ranked = entries.join(degree, "id")
@@ -166,15 +214,20 @@ def labels(held: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST)
     links = close.unionByName(_verified(best, firsts, held, words, least))
 
     known = components(links).select(F.col("node").alias("id"), "root")
-    placed = entries.drop("held").join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("largest"))
-    placed = written(placed.join(most, "key"), "placed")
-    # each pair has an end outside the largest component of its shingle; members of that one never meet each other
-    a, b = placed.where("root != largest").alias("a"), placed.alias("b")
-    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.largest")) | (F.col("a.id") < F.col("b.id")))
-    meets = meets & _can(least, F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
-    more = _verified(a.join(b, meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), firsts, held, words, least)
+    path = fresh_path(spark, "met")
+    with cleared(spark):
+        placed = entries.drop("held").join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+        most = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("largest"))
+        placed = written(placed.join(most, "key"), "placed")
+        # each pair has an end outside the largest component of its shingle; members of that one never meet each other
+        a, b = placed.where("root != largest").alias("a"), placed.alias("b")
+        meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.largest")) | (F.col("a.id") < F.col("b.id")))
+        meets = meets & (F.greatest(F.col("a.pos") - F.col("a.n"), F.col("b.pos") - F.col("b.n")) < _least_shared(least, F.col("a.n"), F.col("b.n"))[1])
+        shares = a.join(b, meets).groupBy(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+        shares = shares.agg(F.count(F.lit(1)).alias("both"), F.max(F.least("a.n", "b.n")).alias("n"), F.max(F.greatest("a.n", "b.n")).alias("m"))
+        more = stored(shares.where(F.col("both") >= _least_shared(least, F.col("n"), F.col("m"))[0]).select("a", "b"), path)
+    more = _verified(more, firsts, held, words, least)
     return rows.select("id", "place"), components(links.unionByName(more))
 
 
@@ -182,7 +235,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """docs with one row of each component: that of the smallest key (nulls first; ties by a hash of the text). least: a fraction."""
     place = F.struct(F.coalesce(F.col(f"x.{key}").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.coalesce(F.col(f"x.{text}"), F.lit(""))).alias("t")).alias("place")
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("x")).select("x", place)
-    rows, label = labels(held.select("place", F.coalesce(F.col("x")[text], F.lit("")).alias("text")), words, least)
-    named = rows.groupBy("id").agg(F.min("place").alias("place")).join(label, F.col("id") == F.col("node"), "left")
-    first = named.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("place").alias("place")).select("place").distinct()
-    return held.join(first, "place", "left_semi").dropDuplicates(["place"]).select("x.*")
+    path = fresh_path(docs.sparkSession, "first")
+    with cleared(docs.sparkSession):
+        rows, label = labels(held.select("place", F.coalesce(F.col("x")[text], F.lit("")).alias("text")), words, least)
+        named = rows.groupBy("id").agg(F.min("place").alias("place")).join(label, F.col("id") == F.col("node"), "left")
+        first = stored(named.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("place").alias("place")).select("place.*").distinct(), path)
+    # texts are dealt out once: by plain columns, and not by left_semi, which would be moved to before there are any
+    return held.select("x", "place.*").join(first, ["d", "t"]).dropDuplicates(["d", "t"]).select("x.*")
